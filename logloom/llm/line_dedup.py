@@ -154,4 +154,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "line_counts"])
 
-    return joined.mapInArrow(cut, schema.add("line_counts", StructType.fromDDL("n_lines bigint, n_dropped bigint")))
+    return joined.mapInArrow(cut, schema.add("line_counts", StructType().add("n_lines", "long").add("n_dropped", "long")))
