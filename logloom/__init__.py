@@ -1,0 +1 @@
+"""PostgreSQL server logs as Spark DataFrames, and reports over them."""
