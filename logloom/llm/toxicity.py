@@ -108,6 +108,25 @@ class Model:
         shared = np.bincount(suffix[k == 2], minlength=1 << GRAM_BITS) + 0.5
         self.shared = (shared / (shared[shared > 0.5].sum() + 128)).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        """Tables are mostly one value: only places that differ travel."""
+
+        def sparse(x: np.ndarray) -> tuple[int, np.float32, np.ndarray, np.ndarray]:
+            at = np.flatnonzero(x != x.min()).astype(np.int32)
+            return len(x), x.min(), at, x[at]
+
+        return {k: [sparse(x) for x in (v if isinstance(v, list) else [v])] for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        def dense(size: int, rest: np.float32, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+            out = np.full(size, rest, np.float32)
+            out[at] = x
+            return out
+
+        for k, v in state.items():
+            tables = [dense(*x) for x in v]
+            setattr(self, k, tables[0] if k == "shared" else tables)
+
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word."""
         if not words:
@@ -167,7 +186,10 @@ def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("cls"))
     # Bounded by max_labelled rows of an id and a label.
     some = known.select("id", "cls", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_labelled)
-    rows = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(some), "id").dropDuplicates(["t", "cls"])
+    held = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("binary").alias("t"))
+    # Equal texts teach once: the first id of each, found without moving texts.
+    once = held.select("id", "fp").join(F.broadcast(some), "id").groupBy("fp", "cls").agg(F.min(F.struct("h", "id")).alias("x")).select("fp", "cls", "x.h", "x.id")
+    rows = held.join(F.broadcast(once), ["id", "fp"])
     model = Model(gram_counts(rows.where("pmod(h, 4) <> 0").select("t", "cls")).toArrow())
     held = _features(rows.where("pmod(h, 4) = 0").select("cls", "t"), model, "cls", T.IntegerType()).toArrow()
     y, x = held.column(0).to_numpy().astype(float), np.stack([held.column(1 + i).to_numpy() for i in range(N_FEATURES)], 1)
