@@ -9,8 +9,10 @@ What is still open when a task ends is packed again, many tasks together, longes
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,7 +22,9 @@ from pyspark.sql import types as T
 from .common import written
 
 #: Words kept in each of the two generations of a worker's token cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: What a vocabulary's tokens at the end of a run of letters end with.
+END_MARK = "</w>"
 #: Tasks whose leftovers are packed together in the second round.
 MERGE_TASKS = 64
 
@@ -34,15 +38,37 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that normalising leaves as they are and no pattern splits: the same model without both.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END_MARK)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
+        """Words of lower-case letters alone are one run each, which ends at the one id with an end mark: many go in one text."""
+        plain = [w for w in words if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
+        self._encode_each(list(set(words).difference(plain)))
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cut) != len(part) + 1:
+                self._encode_each(part)
+                continue
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cut, cut[1:]):
+                self.young[w] = raw[a:b]
+
+    def _encode_each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.young[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            self.young[w] = np.array(e.ids, "<u4").tobytes()
 
     def texts(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, followed by the end id."""
@@ -50,20 +76,21 @@ class WordTokenizer:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = []
-        for w in set().union(*split) if split else ():
-            if w in young:
-                continue
-            if (got := old.get(w)) is not None:
-                young[w] = got
-                continue
+        unseen = set().union(*split).difference(young)
+        for w in unseen.intersection(old):
+            young[w] = old[w]
+        todo, built = set(), []
+        for w in unseen.difference(old):
             core = w.rstrip(".,")
             if not core or not core[-1].isalpha():
                 core = w
-            new.append((w, core.lower() if core.isascii() and "<|" not in core else core, w[len(core) :]))
-        todo = {x for _, core, tail in new for x in (core, tail) if x not in young}
-        self._encode(list(todo))
-        for w, core, tail in new:
+            low = core.lower() if core.isascii() and "<|" not in core else core
+            todo.add(low)
+            if low != w:
+                built.append((w, low, w[len(core) :]))
+        todo.update({tail for _, _, tail in built})
+        self._encode(list(todo.difference(young)))
+        for w, core, tail in built:
             young[w] = young[core] + young[tail]
         return [b"".join([*map(young.__getitem__, s), end]) for s in split]
 
