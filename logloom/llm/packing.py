@@ -77,7 +77,7 @@ class WordTokenizer:
         young, old = self.young, self.old
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         unseen = set().union(*split).difference(young)
-        for w in unseen.intersection(old):
+        for w in old.keys() & unseen:  # looks up the smaller side; intersection() would walk all of old
             young[w] = old[w]
         todo, built = set(), []
         for w in unseen.difference(old):
