@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, lower_ascii
+from .common import WORD
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -54,7 +54,11 @@ def repeated_words(words: Column, window: int) -> Column:
     def covered(w: Column) -> Column:
         n = F.size(w) - window + 1
         at = F.sequence(F.lit(1), n)
-        grams = F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64(*[F.element_at(w, i + k) for k in range(window)]).alias("h"), i.alias("i"))))
+        hashes = F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(window)]))
+
+        def of_hashes(h: Column) -> Column:
+            by_hash = lambda: F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), (k + 1).alias("i"))))
+            return F.when(F.size(F.array_distinct(h)) == n, F.lit(0).cast("long")).otherwise(let(by_hash(), of_sorted))
 
         def of_sorted(g: Column) -> Column:
             last = F.size(g)
@@ -66,7 +70,7 @@ def repeated_words(words: Column, window: int) -> Column:
             gaps = F.transform(s, lambda x, k: F.least(F.coalesce(F.try_element_at(s, k + 2), x + window) - x, F.lit(window)))
             return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(grams, of_sorted))
+        return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(hashes, of_hashes))
 
     return let(words, covered)
 
@@ -83,22 +87,23 @@ def divergence(p: Column, q: Column) -> Column:
     return let(F.struct(total(p).alias("p"), total(q).alias("q")), of)
 
 
-def _equals(word: str) -> Callable[[Column], Column]:
-    return lambda x: x == F.lit(word)
+def count_in(text: Column, character_class: str) -> Column:
+    """Code points of text in a character class: what is lost when its runs are taken out."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{character_class}+", ""))
 
 
 def measures(docs: DataFrame, rules: QualityRules, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """Counts and the two histograms (arrays of double) of each document."""
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-    d = d.withColumn("words", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    d = d.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    common = F.filter(F.transform("words", lambda w: F.rtrim(lower_ascii(w), F.lit(".,"))), lambda w: w.isin(*COMMON_WORDS))
-    count_of = lambda found: F.array(*[F.size(F.filter(found, _equals(w))).cast("double") for w in COMMON_WORDS])
-    classes = F.array(*[F.regexp_count("text", F.lit(c)).cast("double") for c in CHARACTER_CLASSES])
+    common = F.filter(F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,"))), lambda w: w.isin(*COMMON_WORDS))
+    count_of = lambda found: F.array(*[(F.size(found) - F.size(F.array_remove(found, w))).cast("double") for w in COMMON_WORDS])
+    classes = F.array(*[count_in(F.col("text"), c).cast("double") for c in CHARACTER_CLASSES])
     return d.select(
         "id", "lang", F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", f"{CHARACTER_CLASSES[0]}+", "")).cast("long").alias("word_chars"),
+        count_in(F.col("text"), "[#*$%&|<>]").cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), rules.window).alias("n_repeat_words"),
         let(classes, lambda c: F.concat(c, F.array(F.greatest(F.length("text") - F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))).alias("chars"),
