@@ -1,0 +1,74 @@
+"""Compressed logs told by their first bytes: gzip, bzip2, xz and Zstandard.
+
+Such files can't be split, so one file is one task's work; the task holds the compressed bytes
+(spark.sql.sources.binaryFile.maxLength at most) and decompresses them as a stream.
+"""
+
+from __future__ import annotations
+
+import bz2
+import gzip
+import io
+import lzma
+from collections.abc import Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# First bytes by codec, and the file name endings that promise one.
+MAGIC = {"gzip": b"\x1f\x8b", "bzip2": b"BZh", "xz": b"\xfd7zXZ\x00", "zstd": b"\x28\xb5\x2f\xfd"}
+ENDINGS = {".gz": "gzip", ".bz2": "bzip2", ".xz": "xz", ".zst": "zstd"}
+
+#: Bytes of lines in one Arrow batch, about.
+BATCH_BYTES = 4 << 20
+_SCHEMA = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("offset", pa.int64()), ("line", pa.string()), ("_cut", pa.bool_())])
+
+
+def codec_of(head: bytes) -> str | None:
+    """The codec that the first bytes show; None for plain text."""
+    return next((name for name, magic in MAGIC.items() if head.startswith(magic)), None)
+
+
+def opened(content: bytes, name: str) -> BinaryIO:
+    """Decompressed stream of a file's bytes; ValueError where its name promises a codec that its bytes don't show."""
+    codec = codec_of(content[:8])
+    promised = next((c for ending, c in ENDINGS.items() if name.endswith(ending)), None)
+    if promised and codec is None and content:
+        raise ValueError(f"{name} is not a {promised} file")
+    raw = io.BytesIO(content)
+    if codec == "zstd":
+        import zstandard
+
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
+    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[codec](raw) if codec else raw
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            path, rows, held, at, no = path.as_py(), [], 0, 0, 0
+            with opened(content.as_py() or b"", path) as f:
+                while raw := f.readline():
+                    line = raw.decode("utf-8", "replace")
+                    rows.append((path, no, at, (line.removeprefix("﻿") if at == 0 else line).removesuffix("\n"), not raw.endswith(b"\n")))
+                    at, no, held = at + len(raw), no + 1, held + len(raw)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA, strict=True)], schema=_SCHEMA)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def read_compressed_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(file, seq, offset, line, _cut) of compressed or plain files; offsets are of the decompressed text.
+
+    _cut marks a last line without its newline. Files without lines give no rows.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    # Small batches: a row is a whole file.
+    files = reader.load(path).select("path", F.col("content"))
+    return files.mapInArrow(_lines, "file string, seq bigint, offset bigint, line string, _cut boolean")

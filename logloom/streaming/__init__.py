@@ -1,0 +1,184 @@
+"""Following a directory of growing logs: a streaming source of whole records' lines.
+
+Every batch ends at a record's end: the last line is held back until its newline is there, and
+where records span lines, the last record is held back until the next one starts. So no state is
+kept between batches, and a batch read again after a failure is the same byte ranges.
+"""
+
+from __future__ import annotations
+
+import fnmatch
+import os
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions import TIMESTAMP
+from ..operators import CONTINUATIONS, good_records, parse_jsonlog, parse_lines
+from ..prefix import LABEL, compile_prefix
+from ..schema import LogReadOptions
+
+#: Bytes of a file's start that tell it from another of the same name.
+HEAD_BYTES = 64
+#: Bytes of one file that one task reads.
+SPLIT_BYTES = 64 << 20
+
+
+def record_start(o: LogReadOptions) -> str | None:
+    """Regular expression of a record's first line; None where every line is a record."""
+    if o.format == "csv":
+        return TIMESTAMP + ","
+    if o.format == "stderr" and o.line_prefix:
+        labels = "" if o.split_continuations else f"(?!(?:{'|'.join(CONTINUATIONS)}):)"
+        return r"(?![ \t])" + compile_prefix(o.line_prefix)[0] + labels + LABEL
+    return r"(?![ \t\r\n])" if o.format == "stderr" else None
+
+
+@dataclass
+class Range(InputPartition):
+    path: str
+    #: Lines whose first byte is in [start, end) are this task's; the range to cut begins at `begin`.
+    begin: int
+    start: int
+    end: int
+
+
+def whole_records(path: str, size: int, starts: re.Pattern | None, max_bytes: int) -> int:
+    """Where the last whole record of the first `size` bytes ends.
+
+    Looks back from the end, in growing steps, for a line that starts a record; a record larger
+    than max_bytes is handed over up to its last whole line.
+    """
+    step = 1 << 16
+    with open(path, "rb") as f:
+        while True:
+            at = max(0, size - step)
+            f.seek(at)
+            tail = f.read(size - at)
+            last = tail.rfind(b"\n") + 1
+            if starts is None and (last or not at):
+                return at + last if last else 0
+            if starts is not None and last:
+                end = last
+                while end > 0:
+                    begin = tail.rfind(b"\n", 0, end - 1) + 1
+                    if begin == 0 and at > 0:
+                        break  # may be the middle of a line
+                    if starts.match(tail[begin:end].decode("utf-8", "replace")):
+                        return at + begin
+                    end = begin
+            if at == 0 or step > max_bytes:
+                return at + last if last and at else 0
+            step *= 4
+
+
+class FollowReader(DataSourceStreamReader):
+    """Offsets are {path: [end, head as hex, size]}: a file smaller than its old end, or of another head, is another file."""
+
+    def __init__(self, options: dict):
+        self.directory, self.glob = options["path"], options.get("glob", "*")
+        self.starts = re.compile(options["starts"], re.DOTALL) if options.get("starts") else None
+        self.max_bytes = int(options.get("maxrecordbytes", 16 << 20))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        names = sorted(n for n in os.listdir(self.directory) if fnmatch.fnmatchcase(n, self.glob))
+        paths = [p for n in names if os.path.isfile(p := os.path.join(self.directory, n))]
+        out = {}
+        for i, path in enumerate(paths):
+            with open(path, "rb") as f:
+                head = f.read(HEAD_BYTES)
+                size = f.seek(0, os.SEEK_END)
+            # A file with a later one after it grows no more: its last record is whole.
+            end = size if i + 1 < len(paths) else whole_records(path, size, self.starts, self.max_bytes)
+            out[path] = [end, head.hex(), size]
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, (stop, head, size) in sorted(end.items()):
+            begin, old, _ = start.get(path, (0, "", 0))
+            if size < begin or not head.startswith(old):
+                begin = 0
+            out += [Range(path, begin, at, min(at + self.split, stop)) for at in range(begin, stop, self.split)]
+        return out
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        with open(partition.path, "rb") as f:
+            at = partition.start
+            if at > partition.begin:
+                f.seek(at - 1)
+                at += len(f.readline()) - 1  # the line that began before is another task's
+            f.seek(at)
+            while at < partition.end and (raw := f.readline()):
+                line = raw.decode("utf-8", "replace")
+                yield partition.path, at, (line.removeprefix("﻿") if at == 0 else line).removesuffix("\n"), not raw.endswith(b"\n")
+                at += len(raw)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class LogFollow(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "logfollow"
+
+    def schema(self) -> str:
+        return "file string, offset bigint, line string, _cut boolean"
+
+    def streamReader(self, schema) -> FollowReader:
+        return FollowReader(dict(self.options))
+
+
+def follow_lines(spark: SparkSession, directory: str, options: LogReadOptions, glob: str = "*", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Streaming (file, offset, seq, line, _cut) of the files in a directory that driver and executors share.
+
+    New files and appended lines come with each trigger. A missing directory is an error, an empty
+    one is not. The checkpoint of the query that reads it keeps the places reached.
+    """
+    spark.dataSource.register(LogFollow)
+    reader = spark.readStream.format("logfollow").option("glob", glob).option("splitbytes", str(split_bytes)).option("maxrecordbytes", str(options.max_record_bytes))
+    if starts := record_start(options):
+        reader = reader.option("starts", starts)
+    return reader.load(directory).withColumn("seq", F.col("offset"))
+
+
+def follow_jsonlog(spark: SparkSession, directory: str, options: LogReadOptions = LogReadOptions("json"), glob: str = "*.json") -> DataFrame:
+    """Streaming records of jsonlog files: one line, one record, so no windows and no state."""
+    return good_records(parse_jsonlog(follow_lines(spark, directory, options, glob), options))
+
+
+def follow_records(spark: SparkSession, directory: str, options: LogReadOptions, sink: Callable[[DataFrame, int], None], checkpoint: str, glob: str = "*", **trigger) -> StreamingQuery:
+    """Hands each batch's records, good and malformed (_malformed), of any stated format to sink(records, batch id)."""
+    if options.format == "auto":
+        raise ValueError("a followed directory needs a stated format")
+
+    def batch(lines: DataFrame, no: int) -> None:
+        sink(parse_lines(lines, options), no)
+
+    lines = follow_lines(spark, directory, options, glob)
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def streaming_peaks(records: DataFrame, bucket: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
+    """Records, problems and durations a time bucket; a bucket is final once the watermark has passed it."""
+    from ..plans import WARNING
+
+    w = F.window("time", bucket)
+    return records.where("time IS NOT NULL").withWatermark("time", delay).groupBy(w).agg(
+        F.count("*").alias("records"), F.count_if(F.col("severity_rank") >= WARNING).alias("problems"), F.count_if(F.col("duration_ns").isNotNull()).alias("slow")
+    ).select(F.col("window.start").alias("start"), "records", "problems", "slow")
+
+
+def streaming_counts(records: DataFrame) -> DataFrame:
+    """Running counts by database and severity; the state is one row a pair."""
+    return records.groupBy("database", "severity").agg(F.count("*").alias("count"))
