@@ -9,9 +9,11 @@ until one is missing gives a count back.
 Scoring: P(w|h) = (kept(h, w) + left(h) * P(w)) / (all_kept(h) + left(h)), which sums to at most
 one; P(w) is the exact add-0.1 unigram estimate, which also stands alone where a history is unknown.
 
-The filter is of bounded size: the least count of a kept pair is the smallest (2 or more) whose
-entries fit MAX_FILTER_BYTES. Exact word counts are broadcast up to a checked number of words;
-beyond it they are joined to the words of each document.
+All pairs seen LEAST times or more are kept, however large the input; the number of segments grows
+with the text. A filter of up to MAX_FILTER_BYTES is broadcast. Beyond it the distinct pairs of each
+block of documents go to the segments of their histories, which send back their levels. Exact word
+counts are broadcast up to a checked number of words; beyond it they are joined to the words of each
+document.
 """
 
 from __future__ import annotations
@@ -22,19 +24,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_partitions, written
 
+#: Least count of a kept pair.
+LEAST = 2
+#: A filter of up to so many bytes is broadcast.
 MAX_FILTER_BYTES = 64 << 20
+#: Bytes of training text for each segment, about.
+SEGMENT_BYTES = 16 << 20
 #: Exact word counts are broadcast up to so many words (12 bytes each).
 MAX_BROADCAST_WORDS = 8_000_000
 #: About one false positive in 10,000 probes while the filter has room.
 BITS_PER_ENTRY, PROBES = 20, 10
 #: Words that a map task gathers before it sends counts.
 FLUSH = 4_000_000
+#: Words of a block of documents whose pairs are sent to segments together.
+BLOCK = 1_000_000
+#: Pairs that a segment looks up together.
+ANSWER = 500_000
 LEVELS = 64
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n</s>"))
@@ -127,7 +139,7 @@ def gram_counts(texts: DataFrame, segments: int) -> DataFrame:
     return texts.mapInArrow(run, SENT)
 
 
-MERGED = "segment int, words binary, word_counts binary, n long, v long, keys binary, counts binary, histories binary, types binary, once binary, sizes array<long>"
+MERGED = "segment int, words binary, word_counts binary, n long, v long, keys binary, counts binary, histories binary, types binary, once binary, bits long"
 
 
 def merged_counts(sent: DataFrame, segments: int) -> DataFrame:
@@ -144,12 +156,8 @@ def merged_counts(sent: DataFrame, segments: int) -> DataFrame:
             types, once = np.diff(np.r_[start, len(h)]), np.add.reduceat((c == 1).astype(np.int64), start)
             some, often = once < types, c > 1
             kept = k[often], c[often], h[start][some], types[some], once[some]
-            sizes, least = [], 2
-            while not sizes or sizes[-1]:
-                sizes.append(bits_for(entries(*kept, least)))
-                least *= 2
-            row = (segment, w.tobytes(), n.tobytes(), int(n.sum()), len(w), *(x.tobytes() for x in kept), sizes)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()))
+            row = (segment, w.tobytes(), n.tobytes(), int(n.sum()), len(w), *(x.tobytes() for x in kept), bits_for(entries(*kept, LEAST)))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MERGED.split(", ")])
 
         for batch in batches:
@@ -253,23 +261,138 @@ class Filter:
         return out
 
 
-def score_pairs(key: np.ndarray, c: np.ndarray, n: int, v: int, f: Filter) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the base probability and of the model's, of tokens by their pair and exact training count."""
-    base = (c + 0.1) / (n + 0.1 * (v + 1))
-    history, at = np.unique(key >> np.uint64(32), return_inverse=True)
+def pair_levels(pair: np.ndarray, f: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pairs: their level and their history's place; of each history its two levels."""
+    history, at = np.unique(pair >> np.uint64(32), return_inverse=True)
     history = history << np.uint64(32)
-    kept = mass_value(f.levels(KEPT, history))
+    kept, left, level = f.levels(KEPT, history), np.zeros(len(history), np.int64), np.zeros(len(pair), np.int64)
     known = np.flatnonzero(kept)
-    left = np.zeros(len(history))
-    left[known] = np.maximum(mass_value(f.levels(LEFT, history[known])), 1.0)
+    left[known] = f.levels(LEFT, history[known])
+    m = np.flatnonzero(kept[at])
+    level[m] = f.levels(PAIR, pair[m])
+    return level, at, kept, left
+
+
+def base_probability(c: np.ndarray, n: int, v: int) -> np.ndarray:
+    return (c + 0.1) / (n + 0.1 * (v + 1))
+
+
+def model_probability(base: np.ndarray, c: np.ndarray, level: np.ndarray, kept: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+    """By base probability, exact training count, and levels of the pair and of its history."""
     model = base.copy()
-    m = np.flatnonzero(kept[at] > 0)
-    if len(m):
-        pair, of = np.unique(key[m], return_inverse=True)
-        got = np.minimum(count_value(f.levels(PAIR, pair), f.least)[of], kept[at[m]])
-        got = np.where(c[m] >= f.least, np.minimum(got, c[m]), 0)  # a pair is never more frequent than its word
-        model[m] = (got + left[at[m]] * base[m]) / (kept[at[m]] + left[at[m]])
-    return np.log10(base), np.log10(model)
+    m = np.flatnonzero(kept)
+    of_kept, of_left = mass_value(kept[m]), np.maximum(mass_value(left[m]), 1.0)
+    got = np.minimum(count_value(level[m], least), of_kept)
+    got = np.where(c[m] >= least, np.minimum(got, c[m]), 0)  # a pair is never more frequent than its word
+    model[m] = (got + of_left * base[m]) / (of_kept + of_left)
+    return model
+
+
+def score_pairs(key: np.ndarray, c: np.ndarray, n: int, v: int, f: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the base probability and of the model's, of tokens by their pair and exact training count."""
+    base = base_probability(c, n, v)
+    pair, of = np.unique(key, return_inverse=True)
+    level, at, kept, left = pair_levels(pair, f)
+    return np.log10(base), np.log10(model_probability(base, c, level[of], kept[at[of]], left[at[of]], f.least))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as four runs of bytes, which compress better."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
+
+
+# A segment's filter (block null: bits in a), a block's pairs for a segment (a, b, c as packed), or a
+# block itself (segment -1): places of its words' entries, exact counts of the entries, where their
+# pair and its history change, words of each document, ids.
+ASKED = "segment int, block long, a binary, b binary, c binary, d binary, e binary"
+_ASKED = (("segment", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde"))
+
+
+def _asked(rows: list[tuple], ids: list[pa.Array | None], kind: pa.DataType) -> pa.RecordBatch:
+    held = [pa.array([None], pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in ids]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)), pa.concat_arrays(held)], names=[*(n for n, _ in _ASKED), "ids"])
+
+
+def _block_rows(ids: pa.Array, texts: list[np.ndarray], c: np.ndarray, place: bytes, segments: int, kind: pa.DataType) -> pa.RecordBatch:
+    key = np.concatenate([pairs(t) for t in texts])
+    # Words of one half hash but several counts stay apart.
+    order = np.lexsort((c, key))
+    k, n = key[order], c[order]
+    new_key = np.r_[True, k[1:] != k[:-1]]
+    new = new_key | np.r_[True, n[1:] != n[:-1]]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    pair = k[new_key]
+    h = pair >> np.uint64(32)
+    # Two runs over rows in other order make other blocks, whose parts never meet.
+    block = xxhash.xxh3_64_intdigest(place + key.tobytes() + repr(ids.to_pylist()).encode()) - 2**63
+    rows = [(-1, block, _planes(at), _planes(np.minimum(n[new], 2**32 - 1)), np.packbits(new_key[new]).tobytes(), np.packbits(np.r_[True, h[1:] != h[:-1]]).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes())]
+    cut = np.searchsorted(segment_of(pair, segments), np.arange(segments + 1))
+    for s in range(segments):
+        p = pair[cut[s] : cut[s + 1]]
+        if len(p):
+            rows.append((s, block, *_packed(p, np.ones(len(p), np.int64))[:3], None, None))
+    return _asked(rows, [ids, *[None] * (len(rows) - 1)], kind)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Levels for each (segment, block): of pairs, and of histories the kept and the left mass. Blocks pass."""
+    segment, filter_ = None, None
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def answers() -> pa.RecordBatch:
+        pair, of = np.unique(np.concatenate([p for _, p in held]), return_inverse=True)
+        level, at, kept, left = pair_levels(pair, filter_)
+        rows, first = [], 0
+        for block, p in held:
+            mine, h = of[first : first + len(p)], p >> np.uint64(32)
+            histories = at[mine[np.flatnonzero(np.r_[True, h[1:] != h[:-1]])]]
+            rows.append((segment, block, *(y.astype(np.uint8).tobytes() for y in (level[mine], kept[histories], left[histories])), None, None))
+            first += len(p)
+        return _asked(rows, [None] * len(rows), kind)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, block, *x = (c[i].as_py() for c in batch.columns[:7])
+            if held and (s != segment or size > ANSWER):
+                yield answers()
+                held, size = [], 0
+            if s == -1:
+                yield _asked([(s, block, *x)], [batch.column(7).slice(i, 1).flatten()], kind)
+                continue
+            if s != segment:
+                segment, filter_ = s, Filter(np.frombuffer(b"\0", np.uint8), np.array([0]), np.array([0]), LEAST)
+            if block is None:
+                filter_ = Filter(np.frombuffer(x[0] or b"\0", np.uint8), np.array([0]), np.array([8 * len(x[0])]), LEAST)
+                continue
+            held.append((block, _unpacked(*x[:3], b"")[0]))
+            size += len(held[-1][1])
+    if held:
+        yield answers()
+
+
+def _block_scores(of_block: tuple, answers: list[tuple], n: int, v: int) -> tuple[np.ndarray, ...]:
+    """Words, known words, base and model score of each document of a block."""
+    at, c = _from_planes(of_block[0]), _from_planes(of_block[1])
+    key = np.cumsum(_bits(of_block[2], len(c))) - 1
+    history = np.cumsum(_bits(of_block[3], key[-1] + 1)) - 1
+    level, kept, left = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in zip(*answers, strict=True))
+    if len(level) != len(history) or len(kept) != history[-1] + 1:
+        raise RuntimeError("a block's pairs came back incomplete")
+    base = base_probability(c, n, v)
+    model = np.log10(model_probability(base, c, level[key], kept[history[key]], left[history[key]], LEAST))
+    words = np.frombuffer(of_block[4], np.int64)
+    start = np.r_[0, np.cumsum(words)[:-1]]
+    return words, np.add.reduceat((c > 0).astype(np.int64)[at], start), np.add.reduceat(np.log10(base)[at], start), np.add.reduceat(model[at], start)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -281,30 +404,29 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    segments = max(64, shuffle_partitions(spark))
     text = F.coalesce(text_col, F.lit("")).cast("binary")
+    size = docs.where(training).agg(F.sum(F.octet_length(text))).first()[0] or 0
+    segments = max(64, shuffle_partitions(spark), size // SEGMENT_BYTES)
     merged = written(merged_counts(gram_counts(docs.where(training).select(text.alias("t")), segments), segments), "grams")
 
-    total = merged.agg(F.sum("n"), F.sum("v")).first()
-    n, v = total[0] or 0, total[1] or 0
-    # Bits of the whole filter, by the least count of a kept pair: 2, 4, 8, ...
-    sizes = {r.i: r.bits for r in merged.select(F.posexplode("sizes").alias("i", "bits")).groupBy("i").agg(F.sum("bits").alias("bits")).collect()}
-    least = 2 << next((i for i in sorted(sizes) if sizes[i] <= 8 * max_filter_bytes), 0)
+    total = merged.agg(F.sum("n"), F.sum("v"), F.sum("bits")).first()
+    n, v, bits = (x or 0 for x in total)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 arrays = [np.frombuffer(b, t) for b, t in zip(x, (np.uint64, np.int64, np.uint32, np.int64, np.int64), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([segment_bits(entries(*arrays, least))], pa.binary())], names=["segment", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([segment_bits(entries(*arrays, LEAST))], pa.binary())], names=["segment", "bits"])
 
-    # Bounded by max_filter_bytes.
-    parts = {r.segment: bytes(r.bits) for r in merged.select("segment", "keys", "counts", "histories", "types", "once").mapInArrow(build, "segment int, bits binary").collect()}
-    size = np.array([8 * len(parts.get(s, b"")) for s in range(segments)], np.int64)
-    filter_ = Filter(np.frombuffer(b"".join(parts.get(s, b"") for s in range(segments)) or b"\0", np.uint8), np.r_[0, np.cumsum(size)[:-1]] // 8, size, least)
-    held = spark.sparkContext.broadcast(filter_)
+    built = merged.select("segment", "keys", "counts", "histories", "types", "once").mapInArrow(build, "segment int, bits binary")
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
+    if bits <= 8 * max_filter_bytes:
+        parts = {r.segment: bytes(r.bits) for r in built.collect()}  # max_filter_bytes at most
+        size = np.array([8 * len(parts.get(s, b"")) for s in range(segments)], np.int64)
+        held = spark.sparkContext.broadcast(Filter(np.frombuffer(b"".join(parts.get(s, b"") for s in range(segments)) or b"\0", np.uint8), np.r_[0, np.cumsum(size)[:-1]] // 8, size, LEAST))
+
     def scored(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -316,9 +438,63 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 sums = np.diff(np.r_[start, len(c)]), np.add.reduceat((c > 0).astype(np.int64), start), np.full(len(texts), n), np.add.reduceat(base, start), np.add.reduceat(model, start)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(sums, arrow[1:], strict=True))], names=schema.names)
 
+    def asked(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
+        task, no = TaskContext.get().partitionId(), 0
+        ids, texts, c, size = [], [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                new = [tokens(t) for t in part.column(1).to_pylist()]
+                ids.append(part.column(0))
+                c.append(counts(part, new))
+                texts += new
+                size += len(c[-1])
+                if size > BLOCK:
+                    yield _block_rows(pa.concat_arrays(ids), texts, np.concatenate(c), b"%d %d " % (task, no), segments, arrow[0].type)
+                    ids, texts, c, size, no = [], [], [], 0, no + 1
+        if texts:
+            yield _block_rows(pa.concat_arrays(ids), texts, np.concatenate(c), b"%d %d " % (task, no), segments, arrow[0].type)
+
+    def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = ids = of_block = None
+        answers: list[tuple] = []
+
+        def out():
+            if of_block is None:
+                raise RuntimeError("pairs came back without their block")
+            words, known, base, model = _block_scores(of_block, answers, n, v)
+            sums = words, known, np.full(len(words), n), base, model
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(x, f.type) for x, f in zip(sums, arrow[1:], strict=True))], names=schema.names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s, b, *x = (c[i].as_py() for c in batch.columns[:7])
+                if b != block:
+                    if block is not None:
+                        yield out()
+                    block, of_block, answers = b, None, []
+                if s == -1:
+                    of_block, ids = x, batch.column(7).slice(i, 1).flatten()
+                else:
+                    answers.append(tuple(x[:3]))
+        if block is not None:
+            yield out()
+
+    def in_blocks(rows: DataFrame, counts) -> DataFrame:
+        """Scores by way of the segments; nothing but one segment's filter and one block is in memory."""
+        sent = T.StructType([*T._parse_datatype_string(ASKED).fields, T.StructField("ids", T.ArrayType(kind))])
+        of_ids = arrow[0].type
+        filters = built.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("a"), *[F.lit(None).cast("binary").alias(x) for x in "bcde"], F.lit(None).cast(T.ArrayType(kind)).alias("ids"))
+        both = rows.mapInArrow(lambda b: asked(b, counts), sent).unionByName(filters)
+        # A block goes to any task, a segment's pairs to the one of its filter, which comes first there.
+        both = both.repartition(segments, "segment", F.when(F.col("segment") == -1, F.col("block"))).sortWithinPartitions("segment", F.col("block").asc_nulls_first())
+        back = both.mapInArrow(lambda b: _answered(b, of_ids), sent)
+        return back.repartition(segments, "block").sortWithinPartitions("block", "segment").mapInArrow(summed_up, schema)
+
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = list(to_arrow_schema(schema))
+    run = (lambda rows, counts: rows.mapInArrow(lambda b: scored(b, counts), schema)) if bits <= 8 * max_filter_bytes else in_blocks
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     if v <= max_broadcast_words:
         got = merged.select("words", "word_counts").toArrow()
@@ -333,9 +509,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
             return np.where(words[at] == flat, often[at], 0)[back] if len(words) else np.zeros(len(back), np.int64)
 
-        out = rows.mapInArrow(lambda b: scored(b, from_table), schema)
+        out = run(rows, from_table)
     else:
-        out = _joined(rows, merged).mapInArrow(lambda b: scored(b, _from_row), schema)
+        out = run(_joined(rows, merged), _from_row)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -70,6 +70,20 @@ def test_small_filter_keeps_frequent_pairs(spark):
     assert small[0] >= 1.05 * small[1]  # no worse than a little below the base, in bounded memory
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_a_filter_too_large_to_broadcast_keeps_all_pairs(spark, monkeypatch, broadcast):
+    docs = spark.createDataFrame(corpus(), DOCS).repartition(3)
+    train = F.coalesce(F.col("doc_id") % 10 != 0, F.lit(False))
+    rows = lambda **k: sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(docs, train, **k).collect())
+    want = rows()
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 2000)  # more segments than by default
+    have = rows(max_filter_bytes=512, max_broadcast_words=broadcast)
+    assert len(have) == len(want)
+    for a, b in zip(have, want, strict=True):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-3, atol=1e-6)  # other segments, other false positives
+
+
 def test_nothing_to_learn_from(spark):
     assert lm.score(spark.createDataFrame([], DOCS), F.lit(True)).collect() == []
     r = lm.score(spark.createDataFrame([(1, "a b", "", "")], DOCS), F.lit(False)).first()
