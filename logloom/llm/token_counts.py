@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +40,12 @@ def vocabulary(path: str, end_mark: str = "</w>") -> list[tuple[int, ...]]:
     return out
 
 
+def marked(symbols: Iterable[int]) -> tuple[int, ...]:
+    """Last byte and END as one symbol, so that no piece takes a word's last byte and leaves its end behind."""
+    *body, last = symbols
+    return (*body[:-1], END + 1 + body[-1]) if last == END and body else (*body, last)
+
+
 class Automaton:
     """Trie over symbols; go[node][symbol], fail[node], popped[node]. Node 0 is the root, -1 is none."""
 
@@ -97,13 +103,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """<id_col>, n_words long, n_tokens long of each row.
 
     Words are maximal runs of characters other than blank and \\x09-\\x0D, A-Z lower-cased; each is
-    cut greedily into the longest tokens of a byte-level vocabulary with word ends. Null and empty
+    cut greedily into the longest tokens of a byte-level vocabulary with word ends; a word's last byte
+    is matched together with its end, so a vocabulary of all bytes spells every word. Null and empty
     texts have none. Null ids and repeated rows keep their rows. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _AUTOMATA:
-            _AUTOMATA[tokenizer_path] = Automaton(vocabulary(tokenizer_path)), {}
+            _AUTOMATA[tokenizer_path] = Automaton([marked(t) for t in vocabulary(tokenizer_path)]), {}
         automaton, known = _AUTOMATA[tokenizer_path]
         for batch in batches:
             words, tokens = [], []
@@ -115,8 +122,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                             if len(known) >= CACHE_WORDS:
                                 known.clear()
                                 for x in set(split):
-                                    known[x] = automaton.count((*x, END))
-                            known[w] = automaton.count((*w, END))
+                                    known[x] = automaton.count(marked((*x, END)))
+                            known[w] = automaton.count(marked((*w, END)))
                     words.append(len(split))
                     tokens.append(sum(map(known.__getitem__, split)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[id_col, "n_words", "n_tokens"])

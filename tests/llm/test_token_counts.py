@@ -1,7 +1,7 @@
 import random
 
 from logloom.llm.queries import tokenizer_path
-from logloom.llm.token_counts import END, Automaton, token_counts, vocabulary
+from logloom.llm.token_counts import END, Automaton, marked, token_counts, vocabulary
 
 
 def greedy(word, tokens):
@@ -35,3 +35,21 @@ def test_documents(spark):
         want.append((i, len(words), sum({w: greedy((*w, END), tokens) for w in set(words)}[w] for w in words)))
     assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_tokens) for r in got))) == sorted(map(repr, want))
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).collect() == []
+
+
+def test_every_word_is_spelt_to_its_end(spark):
+    tokens = vocabulary(tokenizer_path())
+    known = {marked(t) for t in tokens}
+    assert len(known) == len(tokens) and all((b,) in known and marked((b, END)) in known for b in range(256))
+    words = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        words.update((r.text or "").encode().lower().split())
+    words |= {"für".encode(), "ç".encode(), b"thre", b"reha"}
+    got = {r.w: r.n_tokens for r in token_counts(spark.createDataFrame([(w.decode(), w.decode()) for w in words], "w string, text string"), tokenizer_path(), "w").collect()}
+    for w in words:
+        symbols, n = marked((*w, END)), 0
+        while symbols:
+            length = next(k for k in range(len(symbols), 0, -1) if symbols[:k] in known)
+            symbols, n = symbols[length:], n + 1
+        assert got[w.decode()] == n, w
+        assert n > 1 or marked((*w, END)) in known, w  # never one token by failure
