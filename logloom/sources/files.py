@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import written
 from ..operators import good_records, parse_lines
 from ..prefix import detect_format, detect_prefix
 from ..schema import LogReadOptions
 
 #: Names that a directory is read for, by format.
 GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log"}
-#: Lines that detection looks at.
+#: Lines of a file that detection looks at, blank ones aside.
 HEAD_LINES = 200
 
 
@@ -29,19 +32,36 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no")).alias("seq"), F.col("value").alias("line"))
 
 
-def resolved(lines: DataFrame, o: LogReadOptions) -> LogReadOptions:
-    """o with format and prefix found from the first lines of the first file, where they are open."""
+def kinds(lines: DataFrame) -> DataFrame:
+    """(file, format, prefix) of each file, found from its own first lines."""
+
+    def found(rows):
+        head = rows.sort_values("no")["line"].tolist()
+        format_ = detect_format("\n".join(head))
+        return pd.DataFrame({"file": [rows["file"].iloc[0]], "format": [format_], "prefix": [detect_prefix(head)]})
+
+    order = Window.partitionBy("file").orderBy("seq")
+    first = lines.where((F.col("seq.at") == 0) & (F.trim("line") != "")).withColumn("no", F.row_number().over(order)).where(F.col("no") <= HEAD_LINES)
+    return first.select("file", "no", "line").groupBy("file").applyInPandas(found, "file string, format string, prefix string")
+
+
+def parsed_lines(lines: DataFrame, o: LogReadOptions) -> DataFrame:
+    """Records and malformed rows of lines, each file by its own format and prefix where these are open."""
     if o.format != "auto" and (o.format != "stderr" or o.line_prefix is not None):
-        return o
-    first = lines.agg(F.min("file")).first()[0]
-    head = [r.line for r in lines.where((F.col("file") == first) & (F.col("seq.at") == 0)).orderBy("seq").limit(HEAD_LINES).collect()]  # HEAD_LINES at most
-    format_ = detect_format("\n".join(head)) if o.format == "auto" else o.format
-    prefix = detect_prefix(head) if format_ == "stderr" and o.line_prefix is None else o.line_prefix
-    return replace(o, format=format_, line_prefix=prefix)
+        return parse_lines(lines, o)
+    format_ = F.col("format") if o.format == "auto" else F.lit(o.format)
+    prefix = F.when(format_ == "stderr", F.col("prefix") if o.line_prefix is None else F.lit(o.line_prefix))
+    by_file = kinds(lines).select("file", format_.alias("format"), prefix.alias("prefix"))
+    branches = [(r.format, r.prefix) for r in by_file.select("format", "prefix").distinct().collect()] or [("stderr", o.line_prefix)]
+    if len(branches) == 1:
+        return parse_lines(lines, replace(o, format=branches[0][0], line_prefix=branches[0][1]))
+    by_file = written(by_file, "kinds")
+    of = lambda f, p: lines.join(by_file.where((F.col("format") == f) & F.col("prefix").eqNullSafe(F.lit(p))).select("file"), "file", "left_semi")
+    return reduce(DataFrame.unionByName, [parse_lines(of(f, p), replace(o, format=f, line_prefix=p)) for f, p in branches])
 
 
 def read_log(spark: SparkSession, path: str | list[str], options: LogReadOptions = LogReadOptions(), malformed: bool = False, glob: str | None = None) -> DataFrame:
     """Records of log files; with malformed, also the rows that are none, column _malformed saying why."""
     lines = read_lines(spark, path, glob or GLOBS.get(options.format))
-    parsed = parse_lines(lines, resolved(lines, options))
+    parsed = parsed_lines(lines, options)
     return parsed if malformed else good_records(parsed)

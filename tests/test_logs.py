@@ -47,6 +47,21 @@ def test_files_read_as_their_lines(spark, tmp_path, format_):
     assert plans.stats(got)["summary"].first().unknown == 0
 
 
+def test_each_file_of_a_directory_has_its_own_kind(spark, tmp_path):
+    events = _table(spark, SF, "events")
+    for format_ in ("json", "csv"):
+        texts = [r.line for r in LINES[format_](events).where(F.col("file") == "postgresql-2024-01-02").orderBy("seq").collect()]
+        (tmp_path / f"{format_}.log").write_text("\n".join(texts) + "\n")
+    (tmp_path / "p.log").write_text("2024-01-02 03:04:05.678 UTC [12] LOG:  one\n" * 3)
+    (tmp_path / "q.log").write_text("2024-01-02 03:04:05 UTC [12]: [1-1] user=u,db=d,app=a,client=h ERROR:  two\n" * 4)
+    got = read_log(spark, str(tmp_path), malformed=True)
+    n = events.where("date(ts) = '2024-01-02'").count()
+    found = {(r.file.rsplit("/", 1)[1], r.format, r.user): r["count"] for r in got.where("_malformed IS NULL").groupBy("file", "format", "user").count().where("format = 'stderr'").collect()}
+    assert found == {("p.log", "stderr", None): 3, ("q.log", "stderr", "u"): 4}
+    assert {r.format: r["count"] for r in got.where("_malformed IS NULL").groupBy("format").count().collect()} == {"json": n, "csv": n, "stderr": 7}
+    assert got.where("_malformed IS NOT NULL").count() == 0
+
+
 def test_empty_directory_has_no_records(spark, tmp_path):
     assert read_log(spark, str(tmp_path), LogReadOptions("json")).count() == 0
 
