@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import written
 from ..operators import good_records, parse_lines
 from ..prefix import detect_format, detect_prefix
 from ..schema import LogReadOptions
+from ..shared import written
 
 #: Names that a directory is read for, by format.
 GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log"}
