@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from .common import written
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): each node of an edge with the smallest node reachable from it.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", component: str = "component") -> DataFrame:
+    """(node, component), a written table: each node of an edge with the smallest node reachable from it.
 
     Edges with a null end and loops are ignored; repeated edges are harmless; no edges, no rows.
-    Each round is a groupBy with map-side minima, whatever a node's degree, and is written out.
-    Rounds grow with the logarithm of the graph's diameter.
+    Each round is a groupBy with map-side minima and a join of nodes with their edges, which Spark
+    splits where a node has very many; it is written out, and the round before deleted. Rounds grow
+    with the logarithm of the graph's diameter.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     # Every edge points from the larger node to the smaller.
@@ -23,18 +24,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         # Large star: the larger neighbours of u move to the smallest node around u.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the smaller neighbours of u, and u, move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        small = large.join(_dealt(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        e = written(small, "edges", (e,))
         # Stable when nothing moved: the sums over all edges of both ends stay.
         now = e.agg(F.count("*"), F.sum(F.col("u").cast(_WIDE)), F.sum(F.col("v").cast(_WIDE))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    named = e.select(F.col("u").alias(node), F.col("v").alias(component)).unionByName(e.select(F.col("v").alias(node), F.col("v").alias(component)).distinct())
+    return written(named, "components", (e,))
+
+
+def _dealt(low: DataFrame) -> DataFrame:
+    """A row a node, dealt anew: a join right on its aggregate could not be split at a hub."""
+    return low.hint("rebalance")
 
 
 _WIDE = T.DecimalType(38, 0)

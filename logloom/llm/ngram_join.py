@@ -9,10 +9,13 @@
    leaves them out: a non-empty equal part remains; others are dealt again by another hash.
 3. Tiles only chain their members into candidate groups (one edge a member, first inside map
    tasks, so that no tile gathers more rows than there are map batches).
-4. Within a candidate group, sets carry hashed bitmap signatures. Bit counts bound the overlap of
-   two sets from above; pairs that pass get an exact sorted-array intersection, unless links
-   found already put them together. Large groups are cut into blocks: first every block with the
-   group's smallest set, then only blocks of what that left over against all blocks.
+4. Within a candidate group, sets carry hashed bitmap signatures, as wide as their size asks for.
+   Bit counts bound the overlap of two sets from above; pairs that pass get an exact sorted-array
+   intersection, unless links found already put them together. Large groups are cut into blocks:
+   first every block with the group's smallest set, then only blocks of what that left over
+   against all blocks.
+
+Only texts of candidate sets move, one a set; their n-grams are made again where they meet.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, broadcast_if_small, forget, written
 from .components import connected_components
 
-#: Sets in a block of a candidate group.
-BLOCK = 3000
-#: 64-bit words of a signature.
-SIGNATURE = 16
+#: Sets in a block of a candidate group, and n-grams in it, about.
+BLOCK, BLOCK_GRAMS = 3000, 4_000_000
+#: Bits of the narrowest signature; a signature has twice the bits that its set has n-grams, or more.
+SIGNATURE = 1024
 #: Keys gathered before a map task chains them.
 FLUSH = 2_000_000
 #: Hashes that deal out sets with many empty parts.
@@ -122,11 +125,16 @@ def chain(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[start], ids[start], edges[:, 0], edges[:, 1]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Bit i % 1024 of a hash is set for each n-gram."""
-    bits = np.zeros(SIGNATURE * 64, np.uint8)
-    bits[(s % np.uint64(SIGNATURE * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+def width(size: int) -> int:
+    """Bits of the signature of a set of this size: a power of two."""
+    return max(SIGNATURE, 1 << (2 * size - 1).bit_length())
+
+
+def signature(s: np.ndarray, bits: int) -> np.ndarray:
+    """One bit is set for each n-gram."""
+    on = np.zeros(bits, np.uint8)
+    on[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -147,16 +155,20 @@ def link_tile(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tupl
     """
     n = len(ids)
     size = np.array([len(s) for s in sets])
-    sigs = np.stack([signature(s) for s in sets]) if n else np.empty((0, SIGNATURE), np.uint64)
-    group, out = np.arange(n), []
+    bits = np.array([width(x) for x in size.tolist()])
+    group, out, first, end, sigs = np.arange(n), [], 0, 0, np.empty((0, 0), np.uint64)
     for i in range(1, n):
         low = int(np.searchsorted(size[:i], -(-percent * int(size[i]) // 100)))
         if low >= i:
             continue
-        w = slice(low, i)
+        if i >= end:  # signatures of one width, and those smaller sets that meet these, at the same width
+            first, end = low, int(np.searchsorted(bits, bits[i], "right"))
+            sigs = np.stack([signature(s, int(bits[i])) for s in sets[first:end]])
+        w, v = slice(low, i), slice(low - first, i - first)
+        mine = sigs[i - first]
         need = -(-percent * (size[w] + size[i]) // (100 + percent))  # least overlap that links
-        only_a = np.bitwise_count(sigs[w] & ~sigs[i]).sum(1, dtype=np.int64)
-        only_b = np.bitwise_count(~sigs[w] & sigs[i]).sum(1, dtype=np.int64)
+        only_a = np.bitwise_count(sigs[v] & ~mine).sum(1, dtype=np.int64)
+        only_b = np.bitwise_count(~sigs[v] & mine).sum(1, dtype=np.int64)
         bound = np.minimum(size[w] - only_a, size[i] - only_b)
         todo = np.flatnonzero(bound >= need) + low
         todo = todo[np.argsort(need[todo - low] - bound[todo - low], kind="stable")]
@@ -188,18 +200,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     their own, linked as their texts are. A null id is smaller than none: its component is the
     smallest non-null id of the group, or null. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    members, of_set = _labelled(docs, n, percent, id_col, text_col, block)
+    size, name = F.col("n").alias("n_shingles"), F.col("id").alias(id_col)
+    alone = members.where("set IS NULL").select(name, size, F.col("id").alias("component_id"))
+    return members.where("set IS NOT NULL").join(of_set, "set").select(name, size, "component_id").unionByName(alone)
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group: that of the smallest id, nulls last, then of the smallest hash of its text.
+
+    Of rows that repeat both id and text one stays. Texts without words, equal to nothing, all stay.
+    """
+    members, of_set = _labelled(docs, n, percent, id_col, text_col, BLOCK)
+    low = members.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "fp")).alias("low"))
+    stays = written(low.join(of_set, "set").groupBy("label").agg(F.min("low").alias("low")).select(F.col("low.id").alias("id"), F.col("low.fp").alias("fp")), "stays", (members, of_set))
+    # Keys without nulls, so that the join and the choice of one row are dealt out alike.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).isNull().alias("no"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)).alias("worded"))
+    stays = stays.select(F.col("id").isNull().alias("no"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "fp")
+    one = keyed.where("worded").join(stays, ["no", "id", "fp"], "left_semi").dropDuplicates(["no", "id", "fp"])
+    return one.select("row.*").unionByName(keyed.where("NOT worded").select("row.*"))
+
+
+def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (id, fp, set, n) of each row, fp its text's hash; and (set, label, component_id), label equal within a group."""
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"), F.col(text_col).cast("binary").alias("t"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, n):
             names = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array([len(s) for s in sets], pa.int64())], names=["id", "set", "n"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), names, pa.array([len(s) for s in sets], pa.int64())], names=["id", "fp", "set", "n"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, set) of the tiles; sets that a task's own tiles chain come as tiles of two."""
-        bands, seen, keys, ids, held = Bands(percent, 1 << 24), set(), [], [], 0
+        bands, seen, keys, ids, held = Bands(percent, 1 << 40), set(), [], [], 0
 
         def flush():
             k, low, a, b = chain(np.concatenate(keys), np.concatenate(ids))
@@ -220,9 +254,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         if held:
             yield from flush()
 
-    members = written(base.mapInArrow(sizes, f"id {kind}, set bigint, n bigint"), "sets")
-    classes = members.where("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("id"))
-
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Edges from the sets of a tile to its smallest; rows come sorted by key and set."""
         key = low = None
@@ -236,50 +267,71 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             e = np.unique(np.stack([s[other], first[other]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())], names=["set", "other"])
 
+    members = written(base.mapInArrow(sizes, f"id {kind}, fp bigint, set bigint, n bigint"), "sets")
+    # Of each set its smallest row, nulls last.
+    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "fp"))
+    classes = members.where("set IS NOT NULL").groupBy("set").agg(least.alias("x")).select("set", "x.id", "x.fp")
     tiles = base.select("t").mapInArrow(keyed, "key bigint, set bigint").repartition("key").sortWithinPartitions("key", "set")
-    edges = tiles.mapInArrow(chained, "set bigint, other bigint")
-    candidates = written(connected_components(edges, "set", "other").select(F.col("node").alias("set"), F.col("component").alias("group")), "candidates")
+    grouped = connected_components(tiles.mapInArrow(chained, "set bigint, other bigint"), "set", "other", "set", "group")
+    sets = _candidates(base, grouped, classes, n)
+    labels = _joined(sets, n, percent, block)
+    forget(sets)
+    named = classes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    return members, written(named.select("set", "label").join(lowest, "label"), "labels", (labels,))
+
 
-    # One text for each candidate set.
-    chosen = candidates.join(classes, "set").select(F.col("id").alias("of"), "set", "group")
+def _candidates(base: DataFrame, grouped: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(set, group, n, t), written: one text for each set of a candidate group, or a few equal ones where a row is repeated."""
+    chosen = written(grouped.join(classes, "set").select(F.col("id").alias("of"), F.col("fp").alias("of_fp"), "set", "group"), "chosen", (grouped,))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # within a task; sets are met a few times at most, by tasks that hold the same row
         for part, sets in _batches(batches, n):
-            names = np.array([set_id(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "group", "n", "grams"]).filter(pa.array(names == part.column(0).to_numpy()))
+            keep = []
+            for i, (x, s) in enumerate(zip(part.column(0).to_pylist(), sets, strict=True)):
+                if x not in seen and set_id(s) == x:
+                    seen.add(x)
+                    keep.append(i)
+            rows = part.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(sets[i]) for i in keep], pa.int64()), rows.column(2)], names=["set", "group", "n", "t"])
+
+    found = base.join(broadcast_if_small(chosen), F.col("id").eqNullSafe(F.col("of")) & (F.col("fp") == F.col("of_fp"))).select("set", "group", "t")
+    return written(found.mapInArrow(texts, "set bigint, group bigint, n bigint, t binary"), "texts", (chosen,))
+
 
-    texts = base.join(chosen, F.col("id").eqNullSafe(F.col("of"))).select("set", "group", "t").mapInArrow(arrays, "set bigint, group bigint, n bigint, grams binary").dropDuplicates(["set"])
-    sets = written(texts, "grams")
-    big = sets.groupBy("group").count().where(F.col("count") > block).select("group", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    sets = sets.join(big, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def _joined(sets: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(set, label), written: the sets that have links, label equal for those that links connect."""
+    spent = lambda: F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    big = written(sets.groupBy("group").agg(spent().alias("blocks")).where("blocks > 1"), "big")
+    sets = sets.join(broadcast_if_small(big), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     # The set that names a large group goes to all its blocks.
     everywhere = F.when(F.col("set") == F.col("group"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))
-    links = written(_link(sets.withColumn("tile", F.explode(everywhere)), ["group", "tile"], percent), "links")
-
-    # Of large groups: what is not linked with the naming set yet, against everything, in blocks.
-    large = sets.where("blocks > 1")
-    labels = connected_components(links.join(large.select("set"), "set", "left_semi"), "set", "other").select(F.col("node").alias("set"), F.col("component").alias("label"))
-    labelled = large.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    core = labelled.where(F.col("set") == F.col("group")).select("group", F.col("label").alias("core_label"))
-    placed = labelled.join(core, "group").withColumn("rest", F.col("label") != F.col("core_label"))
-    left = placed.groupBy("group").agg(F.ceil(F.sum(F.col("rest").cast("int")) / block).cast("int").alias("rests")).where("rests > 0")
-    placed = placed.join(left, "group").withColumn("mine", mine).withColumn("rest_block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("rests")).cast("int"))
-    pair = lambda r, b: F.struct(r.alias("r"), b.alias("b"))
-    with_core: Column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pair(F.col("rest_block"), b))
-    with_rest: Column = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: pair(F.least(r, F.col("rest_block")), -1 - F.greatest(r, F.col("rest_block"))))
-    as_core: Column = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: pair(r, F.col("mine")))
-    second = placed.withColumn("tile", F.explode(F.when(F.col("rest"), F.concat(with_core, with_rest)).otherwise(as_core)))
-    links = links.unionByName(_link(second, ["group", "tile"], percent))
-
-    named = classes.select("set", F.col("id").alias("low"))
-    joined = connected_components(links, "set", "other").select(F.col("node").alias("set"), F.col("component").alias("label"))
-    lowest = joined.join(named, "set").groupBy("label").agg(F.min("low").alias("component_low"))
-    of_set = named.join(joined, "set", "left").join(lowest, "label", "left").select("set", F.coalesce("component_low", "low").alias("component_id"))
-    return members.join(of_set, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _link(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
+    links = written(_link(sets.withColumn("tile", F.explode(everywhere)), ["group", "tile"], n, percent), "links")
+    done = [big]
+    if not big.isEmpty():
+        # Of large groups: what is not linked with the naming set yet, against everything, in blocks.
+        large = sets.where("blocks > 1")
+        labels = connected_components(links.join(large.select("set"), "set", "left_semi"), "set", "other", "set", "label")
+        labelled = written(large.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "large", (labels,))
+        core = written(labelled.where(F.col("set") == F.col("group")).select("group", F.col("label").alias("core_label")).distinct(), "core")
+        placed = labelled.join(broadcast_if_small(core), "group").withColumn("rest", F.col("label") != F.col("core_label"))
+        left = written(placed.where("rest").groupBy("group").agg(spent().alias("rests")), "left")
+        placed = placed.join(broadcast_if_small(left), "group").withColumn("mine", mine).withColumn("rest_block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("rests")).cast("int"))
+        pair = lambda r, b: F.struct(r.alias("r"), b.alias("b"))
+        with_core: Column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pair(F.col("rest_block"), b))
+        with_rest: Column = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: pair(F.least(r, F.col("rest_block")), -1 - F.greatest(r, F.col("rest_block"))))
+        as_core: Column = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: pair(r, F.col("mine")))
+        second = placed.withColumn("tile", F.explode(F.when(F.col("rest"), F.concat(with_core, with_rest)).otherwise(as_core)))
+        links = written(links.unionByName(_link(second, ["group", "tile"], n, percent)), "links", (links,))
+        done += [labelled, core, left]
+    labels = connected_components(links, "set", "other", "set", "label")
+    forget(links, *done)
+    return labels
+
+
+def _link(rows: DataFrame, by: list[str], n: int, percent: int) -> DataFrame:
     """Links (set, other) of each tile; a tile's rows stream in ascending size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,26 +341,17 @@ def _link(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
             found = link_tile(ids, sets, percent)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["set", "other"])
 
-        for batch in batches:
-            for t, s, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for part, grams in _batches(batches, n):
+            for t, s, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), grams, strict=True):
                 if t != tile:
                     if len(ids) > 1:
                         yield out()
                     tile, ids, sets = t, [], []
-                ids.append(s)
-                sets.append(np.frombuffer(g, np.uint64))
+                if not ids or ids[-1] != s:
+                    ids.append(s)
+                    sets.append(g)
         if len(ids) > 1:
             yield out()
 
     key = F.struct(*by)
-    return rows.repartition(*by).sortWithinPartitions(*by, "n").select(key.alias("tile"), "set", "grams").mapInArrow(run, "set bigint, other bigint")
-
-
-def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that another of their group stands for: the smallest id stays.
-
-    Texts without words, equal to nothing, all stay; so do rows with a null id.
-    """
-    near = near_duplicates(docs, n, percent, id_col, text_col)
-    stays = near.where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
+    return rows.repartition(*by).sortWithinPartitions(*by, "n", "set").select(key.alias("tile"), "set", "t").mapInArrow(run, "set bigint, other bigint")

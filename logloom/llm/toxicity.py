@@ -191,7 +191,7 @@ def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     once = held.select("id", "fp").join(F.broadcast(some), "id").groupBy("fp", "cls").agg(F.min(F.struct("h", "id")).alias("x")).select("fp", "cls", "x.h", "x.id")
     rows = held.join(F.broadcast(once), ["id", "fp"])
     model = Model(gram_counts(rows.where("pmod(h, 4) <> 0").select("t", "cls")).toArrow())
-    held = _features(rows.where("pmod(h, 4) = 0").select("cls", "t"), model, "cls", T.IntegerType()).toArrow()
+    held = _features(rows.where("pmod(h, 4) = 0").select("cls", "t"), model, "t").select("row.cls", *[f"f{i}" for i in range(N_FEATURES)]).toArrow()
     y, x = held.column(0).to_numpy().astype(float), np.stack([held.column(1 + i).to_numpy() for i in range(N_FEATURES)], 1)
     if 0 < y.sum() < len(y):
         return model, fit_curve(x, y)
@@ -199,22 +199,35 @@ def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return model, np.array([np.log(share / (1 - share)), *[0.0] * N_FEATURES])
 
 
-def _features(rows: DataFrame, model: Model, key: str, kind: T.DataType) -> DataFrame:
+def _features(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """Each row of rows as struct `row`, and its features; nothing is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     held = rows.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
     names = [f"f{i}" for i in range(N_FEATURES)]
+    at, kind = rows.columns.index(text_col), rows.schema
+    schema = T.StructType([T.StructField("row", kind), *(T.StructField(x, T.DoubleType()) for x in names)])
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             f = []
-            for at in range(0, batch.num_rows, 256):
-                texts = [words_of(t) for t in batch.column(1).slice(at, 256).to_pylist()]
+            for first in range(0, batch.num_rows, 256):
+                texts = [words_of(t) for t in batch.column(0).slice(first, 256).field(at).cast(pa.binary()).to_pylist()]
                 known = list(set().union(*texts))
                 ratio = dict(zip(known, m.ratios(known).tolist(), strict=True))
                 f += [features(np.fromiter(map(ratio.__getitem__, t), np.float64, len(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in f], pa.float64()) for i in range(N_FEATURES))], names=[key, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), *(pa.array([x[i] for x in f], pa.float64()) for i in range(N_FEATURES))], names=["row", *names])
+
+    return rows.select(F.struct(*rows.columns).alias("row")).mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(key, kind), *(T.StructField(x, T.DoubleType()) for x in names)]))
+def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Each row of docs as struct `row`, whatever its columns are named, and its score double."""
+    model, curve = train(training, labels, max_labelled, id_col, text_col, label_col)
+    z = sum((F.lit(float(w)) * F.col(f"f{i}") for i, w in enumerate(curve[1:])), F.lit(float(curve[0])))
+    return _features(docs, model, text_col).select("row", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -224,20 +237,10 @@ def toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, id_col: st
     empty texts score as a text that says nothing for either class. Null ids and repeated rows keep
     their rows. Other columns are ignored.
     """
-    model, curve = train(training, labels, max_labelled, id_col, text_col, label_col)
-    kind = docs.schema[id_col].dataType
-    f = _features(docs.select(docs[id_col], docs[text_col].cast("binary")), model, "__id", kind)
-    z = sum((F.lit(float(w)) * F.col(f"f{i}") for i, w in enumerate(curve[1:])), F.lit(float(curve[0])))
-    return f.select(F.col("__id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
+    s = scored(docs.select(id_col, text_col), training, labels, id_col, text_col, label_col, max_labelled)
+    return s.select(F.col("row")[id_col].alias(id_col), "score")
 
 
-def without_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that score threshold or more; clean rows stay as they are.
-
-    The verdict joins back by id and text, so that rows that repeat an id are judged each.
-    """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"))
-    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    bad = toxicity(keyed, training.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), labels.withColumnRenamed(id_col, "key"), "key", "text", **options).where(F.col("score") >= threshold)
-    bad = bad.select(F.col("key.id").alias("__id"), F.col("key.fp").alias("__fp"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["__fp"]), "left_anti")
+def without_toxic(docs: DataFrame, training: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """docs without the rows that score threshold or more; each row is judged by its own text, clean rows stay as they are."""
+    return scored(docs, training, labels, **options).where(F.col("score") < threshold).select("row.*")

@@ -1,9 +1,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from logloom.llm.ngram_join import near_duplicates, representatives
+from logloom.llm.ngram_join import Bands, link_tile, linked, near_duplicates, representatives, width
 
 DOCS = "doc_id long, text string, component_id string, n_shingles string"
 
@@ -74,3 +75,27 @@ def test_representatives(spark):
 
 def test_empty_table(spark):
     assert got(spark, [], 4, 85) == []
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "a b c d e f"
+    docs = spark.createDataFrame([(1, text, "x", ""), (1, text, "x", ""), (1, "A b  c d e f", "", ""), (None, text, "", ""), (None, "q r s t u v", "", ""), (None, "q r s t u v", "", ""), (3, None, "", ""), (3, None, "", "")], DOCS)
+    assert sorted((str(r.doc_id), r.text and r.text.lower().replace("  ", " ")) for r in representatives(docs).collect()) == [("1", text), ("3", None), ("3", None), ("None", "q r s t u v")]
+
+
+def test_wide_signatures_still_bound():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 9000, np.uint64)
+    sets = sorted((np.unique(np.r_[base[: 9000 - d], rng.integers(0, 2**63, d, np.uint64)]) for d in (0, 300, 900, 4000, 8000)), key=len)
+    assert width(9000) == 32768 and width(1) == 1024
+    found = link_tile(list(range(len(sets))), sets, 80)
+    groups = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if linked(sets[i], sets[j], 80):
+            groups[j] = groups[i] = min(groups[i], groups[j])
+    assert len(found) == len(sets) - len(set(groups))
+
+
+def test_tiles_of_a_set_beyond_any_text():
+    bands = Bands(80, 1 << 40)
+    assert bands.of(30_000_000) > bands.of(16_000_000) and bands.parts(bands.of(30_000_000) + 1)[0] > 1_000_000
