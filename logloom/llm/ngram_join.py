@@ -13,7 +13,7 @@
    Bit counts bound the overlap of two sets from above; pairs that pass get an exact sorted-array
    intersection, unless links found already put them together. Large groups are cut into blocks:
    first every block with the group's smallest set, then only blocks of what that left over
-   against all blocks.
+   against all blocks. Before that, large groups are taken apart by their rarest n-grams.
 
 Only texts of candidate sets move, one a set; their n-grams are made again where they meet.
 """
@@ -235,11 +235,6 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
         """(key, set) of the tiles; sets that a task's own tiles chain come as tiles of two."""
         bands, seen, keys, ids, held = Bands(percent, 1 << 40), set(), [], [], 0
 
-        def flush():
-            k, low, a, b = chain(np.concatenate(keys), np.concatenate(ids))
-            pairs = _mix(a.view(np.uint64) ^ _mix(b.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, pairs, pairs].view(np.int64)), pa.array(np.r_[low, a, b])], names=["key", "set"])
-
         for _, sets in _batches(batches, n):
             for s in sets:
                 if len(s) and (x := set_id(s)) not in seen:
@@ -249,31 +244,18 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
                         ids.append(np.full(len(k), x, np.int64))
                         held += len(k)
             if held > FLUSH:
-                yield from flush()
+                yield _flushed(keys, ids)
                 keys, ids, held, seen = [], [], 0, set()
         if held:
-            yield from flush()
-
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges from the sets of a tile to its smallest; rows come sorted by key and set."""
-        key = low = None
-        for batch in batches:
-            k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            start = np.r_[k[0] != key if key is not None else True, k[1:] != k[:-1]]
-            at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-            first = np.where(at >= 0, s[np.maximum(at, 0)], low if low is not None else 0)
-            key, low = k[-1], first[-1]
-            other = first != s
-            e = np.unique(np.stack([s[other], first[other]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())], names=["set", "other"])
+            yield _flushed(keys, ids)
 
     members = written(base.mapInArrow(sizes, f"id {kind}, fp bigint, set bigint, n bigint"), "sets")
     # Of each set its smallest row, nulls last.
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "fp"))
     classes = members.where("set IS NOT NULL").groupBy("set").agg(least.alias("x")).select("set", "x.id", "x.fp")
-    tiles = base.select("t").mapInArrow(keyed, "key bigint, set bigint").repartition("key").sortWithinPartitions("key", "set")
-    grouped = connected_components(tiles.mapInArrow(chained, "set bigint, other bigint"), "set", "other", "set", "group")
-    sets = _candidates(base, grouped, classes, n)
+    tiles = base.select("t").mapInArrow(keyed, "key bigint, set bigint")
+    grouped = connected_components(_edges(tiles), "set", "other", "set", "group")
+    sets = _regrouped(_candidates(base, grouped, classes, n), n, percent, block)
     labels = _joined(sets, n, percent, block)
     forget(sets)
     named = classes.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -281,6 +263,32 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     return members, written(named.select("set", "label").join(lowest, "label"), "labels", (labels,))
 
 
+def _edges(tiles: DataFrame) -> DataFrame:
+    """(set, other): edges from the sets of each tile (key, set) to its smallest; a tile's rows stream, whatever their number."""
+    return tiles.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_chained, "set bigint, other bigint")
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from the sets of a tile to its smallest; rows come sorted by key and set."""
+    key = low = None
+    for batch in batches:
+        k, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.r_[k[0] != key if key is not None else True, k[1:] != k[:-1]]
+        at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
+        first = np.where(at >= 0, s[np.maximum(at, 0)], low if low is not None else 0)
+        key, low = k[-1], first[-1]
+        other = first != s
+        e = np.unique(np.stack([s[other], first[other]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())], names=["set", "other"])
+
+
+def _flushed(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (key, set) of tiles, once a key; sets that these tiles chain come as tiles of two."""
+    k, low, a, b = chain(np.concatenate(keys), np.concatenate(ids))
+    pairs = _mix(a.view(np.uint64) ^ _mix(b.view(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[k, pairs, pairs].view(np.int64)), pa.array(np.r_[low, a, b])], names=["key", "set"])
+
+
 def _candidates(base: DataFrame, grouped: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """(set, group, n, t), written: one text for each set of a candidate group, or a few equal ones where a row is repeated."""
     chosen = written(grouped.join(classes, "set").select(F.col("id").alias("of"), F.col("fp").alias("of_fp"), "set", "group"), "chosen", (grouped,))
@@ -300,10 +308,61 @@ def _candidates(base: DataFrame, grouped: DataFrame, classes: DataFrame, n: int)
     return written(found.mapInArrow(texts, "set bigint, group bigint, n bigint, t binary"), "texts", (chosen,))
 
 
+def _regrouped(sets: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """sets, a written table, with its large groups taken apart; sets that turn out to link with nothing go.
+
+    Passages that documents share chain their tiles into groups that grow faster than the corpus.
+    Of such groups' sets, rarest n-grams first, linked sets have one of their first size -
+    least overlap + 1 in common: those n-grams are new tiles. A set with that many n-grams of its
+    own links with nothing.
+    """
+    big = written(_large_groups(sets, block), "big")
+    if big.isEmpty():
+        forget(big)
+        return sets
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _batches(batches, n):
+            names = np.repeat(part.column(0).to_numpy(), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["set", "gram"])
+
+    def flushed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy().view(np.uint64))
+            ids.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held > FLUSH:
+                yield _flushed(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield _flushed(keys, ids)
+
+    large = sets.join(broadcast_if_small(big), "group", "left_semi")
+    rows = large.select("set", "t").mapInArrow(grams, "set bigint, gram bigint")
+    shared = rows.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
+    of_set = rows.join(shared, "gram").groupBy("set").agg(F.array_sort(F.collect_set(F.struct("often", "gram"))).alias("shared"))
+    sizes = large.groupBy("set").agg(F.max("n").alias("n"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    take = (first - (F.col("n") - F.size("shared"))).cast("int")
+    prefix = of_set.join(sizes, "set").withColumn("take", take).where("take > 0").select(F.explode(F.transform(F.slice("shared", 1, F.col("take")), lambda x: x["gram"])).alias("key"), "set")
+    again = connected_components(_edges(prefix.mapInArrow(flushed, "key bigint, set bigint")), "set", "other", "set", "group")
+    small = sets.join(broadcast_if_small(big), "group", "left_anti")
+    return written(small.select("set", "group", "n", "t").unionByName(large.drop("group").join(again, "set").select("set", "group", "n", "t")), "texts", (sets, big, again))
+
+
+def _large_groups(sets: DataFrame, block: int) -> DataFrame:
+    """(group, blocks) of groups that fill more than one block."""
+    return sets.groupBy("group").agg(_blocks(block).alias("blocks")).where("blocks > 1")
+
+
+def _blocks(block: int) -> Column:
+    return F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).cast("int")
+
+
 def _joined(sets: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     """(set, label), written: the sets that have links, label equal for those that links connect."""
-    spent = lambda: F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_GRAMS)).cast("int")
-    big = written(sets.groupBy("group").agg(spent().alias("blocks")).where("blocks > 1"), "big")
+    big = written(_large_groups(sets, block), "big")
     sets = sets.join(broadcast_if_small(big), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     # The set that names a large group goes to all its blocks.
@@ -317,7 +376,7 @@ def _joined(sets: DataFrame, n: int, percent: int, block: int) -> DataFrame:
         labelled = written(large.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "large", (labels,))
         core = written(labelled.where(F.col("set") == F.col("group")).select("group", F.col("label").alias("core_label")).distinct(), "core")
         placed = labelled.join(broadcast_if_small(core), "group").withColumn("rest", F.col("label") != F.col("core_label"))
-        left = written(placed.where("rest").groupBy("group").agg(spent().alias("rests")), "left")
+        left = written(placed.where("rest").groupBy("group").agg(_blocks(block).alias("rests")), "left")
         placed = placed.join(broadcast_if_small(left), "group").withColumn("mine", mine).withColumn("rest_block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("rests")).cast("int"))
         pair = lambda r, b: F.struct(r.alias("r"), b.alias("b"))
         with_core: Column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: pair(F.col("rest_block"), b))
