@@ -37,14 +37,33 @@ def zone_seconds(zone: Column) -> Column:
     return F.when(zone.rlike("^[+-]"), numeric).otherwise(F.coalesce(F.try_element_at(_map(ZONES), zone), F.lit(0)) * 60)
 
 
+#: Date and time of a log time, apart from its zone.
+_LOCAL = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)? [A-Z]+$"
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Instant of a log time; days to 31 and seconds to 60 carry over; null if malformed."""
-    g = lambda i: F.regexp_extract(c, _STAMP, i)
-    n = lambda i: g(i).try_cast("int")
-    valid = c.rlike(_STAMP) & n(2).between(1, 12) & n(3).between(1, 31) & (n(4) < 24) & (n(5) < 60) & (n(6) <= 60)
-    days = F.unix_date(F.try_make_timestamp(n(1), n(2), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")).cast("long") + n(3) - 1
-    seconds = days * 86400 + n(4) * 3600 + n(5) * 60 + n(6) - zone_seconds(g(8))
-    return F.when(valid, F.timestamp_micros(seconds * 1_000_000 + F.rpad(F.substring(g(7), 1, 6), 6, "0").cast("long")))
+    """Instant of a log time; days to 31 and seconds to 60 carry over; null if malformed.
+
+    What servers write, with a zone abbreviation after a blank, is cast; all else goes the long way.
+    """
+    zone = F.substring_index(c, " ", -1)
+    instant = F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(zone) - 1), F.lit("Z")).try_cast("timestamp")
+    east = F.when(zone.isin("UTC", "GMT"), 0).otherwise(zone_seconds(zone))
+    short = F.when(c.rlike(_LOCAL), F.when(east == 0, instant).otherwise(F.timestamp_micros(F.unix_micros(instant) - east * F.lit(1_000_000).cast("long"))))
+    return F.when(c.isNotNull(), F.coalesce(short, _carried_timestamp(c)))
+
+
+def _carried_timestamp(c: Column) -> Column:
+    parts = F.split(F.when(c.rlike(_STAMP), F.regexp_replace(c, _STAMP, "$1,$2,$3,$4,$5,$6,$7,$8")), ",", -1)
+
+    def of(p: Column) -> Column:
+        n = lambda i: p[i - 1].try_cast("int")
+        valid = n(2).between(1, 12) & n(3).between(1, 31) & (n(4) < 24) & (n(5) < 60) & (n(6) <= 60)
+        days = F.unix_date(F.try_make_timestamp(n(1), n(2), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("date")).cast("long") + n(3) - 1
+        seconds = days * 86400 + n(4) * 3600 + n(5) * 60 + n(6) - zone_seconds(p[7])
+        return F.when(valid, F.timestamp_micros(seconds * 1_000_000 + F.rpad(F.substring(p[6], 1, 6), 6, "0").cast("long")))
+
+    return F.element_at(F.transform(F.array(parts), of), 1)
 
 
 def parse_epoch(c: Column) -> Column:
@@ -55,11 +74,13 @@ def parse_epoch(c: Column) -> Column:
 def duration_ns(message: Column) -> Column:
     pattern = r"^[ \t]*duration: (\d{1,12})(?:\.(\d*))? ms"
     g = lambda i: F.regexp_extract(message, pattern, i)
-    return F.when(message.rlike(pattern), g(1).cast("long") * 1_000_000 + F.rpad(F.substring(g(2), 1, 6), 6, "0").cast("long"))
+    return F.when(F.contains(F.substring(message, 1, 64), F.lit("duration: ")) & message.rlike(pattern), g(1).cast("long") * 1_000_000 + F.rpad(F.substring(g(2), 1, 6), 6, "0").cast("long"))
 
 
 def strict_int(c: Column, kind: str = "int") -> Column:
-    return F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast(kind))
+    """An optional sign and digits, nothing around them; null for anything else."""
+    first, last = F.ascii(c), F.ascii(F.right(c, F.lit(1)))  # a cast would take blanks around a number
+    return F.when(first.between(43, 57) & last.between(48, 57), c.try_cast(kind))
 
 
 def field_after(message: Column, key: str) -> Column:

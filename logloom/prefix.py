@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from .functions import TIMESTAMP
-from .schema import LOCALES, SEVERITIES
+from .schema import LOCALES, SEVERITIES, LogReadOptions
 
+# Record fields by escape.
 _FIELD = {"a": "application_name", "u": "user", "d": "database", "r": "connection_from", "h": "connection_from", "b": "backend_type", "i": "command_tag", "p": "process_id", "P": "leader_pid",
           "l": "session_line_num", "x": "transaction_id", "Q": "query_id", "m": "log_time", "t": "log_time", "s": "session_start", "n": "epoch", "e": "sql_state", "c": "session_id", "v": "virtual_xid"}
 _SHAPE = {"p": r"\d++", "P": r"\d*+", "l": r"\d++", "x": r"\d++", "Q": r"-?\d++", "m": TIMESTAMP, "t": TIMESTAMP, "s": TIMESTAMP, "n": r"\d++(?:\.\d++)?", "e": r".{5}", "c": r"[0-9a-fA-F]++\.[0-9a-fA-F]++", "v": r"\d++/\d++"}
@@ -48,7 +49,7 @@ def compile_prefix(prefix: str) -> tuple[str, list[str]]:
                 if k != "lit":
                     break
                 after += c
-            shape = _SHAPE.get(kind) or (rf"(?>(?:(?!{re.escape(after)}).)*)" if after else "[^ ]*+")
+            shape = _SHAPE.get(kind) or (rf"(?>(?:(?!{re.escape(after)}).)*)" if after else r"[^ \n]*+")
             width = int(pad.lstrip("-") or 0)
             before, behind = (" {0,%d}" % width, "") if pad and not pad.startswith("-") else ("", " {0,%d}" % width if pad else "")
             out += f"{before}({shape}){behind}"
@@ -56,43 +57,60 @@ def compile_prefix(prefix: str) -> tuple[str, list[str]]:
     return out + (")?" if optional else ""), fields
 
 
-LABEL = r"([^ :]{1,31}):[ \t]*"
+LABEL = r"([^ :\n]{1,31}):[ \t]*"
+#: Labels of lines that extend a record, and the field that each fills.
+CONTINUATIONS = {"DETAIL": "detail", "HINT": "hint", "STATEMENT": "query", "QUERY": "internal_query", "CONTEXT": "context"}
+
+
+def record_start(o: LogReadOptions) -> str | None:
+    """Regular expression of a record's first line; None where every line is a record."""
+    if o.format == "csv":
+        return TIMESTAMP + ","
+    if o.format == "stderr" and o.line_prefix:
+        labels = "" if o.split_continuations else f"(?!(?:{'|'.join(CONTINUATIONS)}):)"
+        return r"(?![ \t])" + compile_prefix(o.line_prefix)[0] + labels + LABEL
+    return r"(?![ \t\r\n])" if o.format == "stderr" else None
 
 
 def _known_labels() -> set[str]:
     return {*SEVERITIES, "DEBUG", "DETAIL", "HINT", "STATEMENT", "QUERY", "CONTEXT", *(k for t in LOCALES.values() for k in t)}
 
 
+#: Characters that a field of a rightly matched prefix does not hold.
+_UNLIKELY = {"user": " []", "database": " []"} | {f: "[]" for f in ("application_name", "backend_type", "command_tag", "session_id", "virtual_xid")}
+
+
+def _explained(prefix: str, sample: list[str], known: set[str]) -> tuple[int, int, int]:
+    """(lines, their characters, minus the fields) that a prefix explains: a known label follows, and no field is unlikely; zeros unless most lines are."""
+    pattern, fields = compile_prefix(prefix)
+    exact = re.compile(pattern + LABEL)
+    hits = [m for x in sample if (m := exact.match(x)) and m.group(m.lastindex) in known and not any(c in (v or "") for f, v in zip(fields, m.groups()) for c in _UNLIKELY.get(f, ""))]
+    return (len(hits), sum(m.start(m.lastindex) for m in hits), -len(fields)) if 2 * len(hits) > len(sample) else (0, 0, 0)
+
+
 def detect_prefix(lines: list[str]) -> str | None:
-    """The prefix that explains most of up to 200 sample lines; None if none explains more than half."""
+    """The prefix that explains most of up to 200 sample lines; None if none explains more than half.
+
+    The first timestamp says whether seconds have a fraction (%m) or none (%t). Of prefixes that
+    explain as many lines, the one that explains more characters goes first, then that of fewer fields.
+    """
     known = _known_labels()
-    sample = [x for x in lines[:200] if x.strip() and not x[0].isspace()]
-    best, best_score = None, (0, 0, 0)
-    for p in CANDIDATES:
-        pattern, fields = compile_prefix(p)
-        exact = re.compile(pattern + LABEL)
-        hits = [m for x in sample if (m := exact.match(x)) and m.group(m.lastindex) in known]
-        score = (len(hits), sum(m.start(m.lastindex) for m in hits), -len(fields))
-        if 2 * len(hits) > len(sample) and score[:1] > best_score[:1] or len(hits) == best_score[0] and score > best_score and hits:
-            best, best_score = p, score
-    if best is None and sample:
-        return _reconstructed(sample, known)
-    if best and "%t" in best and any(re.match(r"[^.]*:\d\d\.\d", x) for x in sample):
-        best = best.replace("%t", "%m")
-    return best
-
-
-def _reconstructed(sample: list[str], known: set[str]) -> str | None:
-    """A prefix described from the text before the label of the first line that has one."""
-    for line in sample:
-        for m in re.finditer(r"([^ :]{1,31}):[ \t]", line):
-            if m.group(1) in known:
-                text = line[: m.start()].replace("%", "%%")
-                text = re.sub(TIMESTAMP, lambda t: "%m" if "." in t.group() else "%t", text)
-                guess = re.sub(r"(?<![%\d])\d+", "%p", text)
-                exact = re.compile(compile_prefix(guess)[0] + LABEL)
-                return guess if 2 * sum(bool(exact.match(x)) for x in sample) > len(sample) else None
-    return None
+    sample = [x for x in lines[:200] if x.strip()]
+    stamp = next((m.group() for x in sample if (m := re.match(TIMESTAMP, x))), None)
+    other = None if stamp is None else "%t" if "." in stamp else "%m"
+    scored = [(_explained(p, sample, known), p) for p in CANDIDATES if other is None or other not in p]
+    best, prefix = max(scored, key=lambda x: x[0], default=((0, 0, 0), None))
+    return prefix if best[0] else next((p for x in sample if (p := _described(x)) and _explained(p, sample, known)[0]), None)
+
+
+def _described(line: str) -> str | None:
+    """The text before a line's first label, with a timestamp as %m or %t and a number as %p."""
+    m = re.match(r"(.*?[ \t])[^ \t]*:[ \t]", line)
+    if not m:
+        return None
+    escapes = lambda t: ("%m" if "." in t.group() else "%t") if t.lastgroup == "stamp" else "%%" if t.group() == "%" else "%p"
+    prefix, found = re.subn(rf"(?P<stamp>{TIMESTAMP})|%|\d+", escapes, m.group(1))
+    return prefix if found and re.search("%[mtp]", prefix) else None
 
 
 def detect_format(head: str) -> str:

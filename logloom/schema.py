@@ -35,6 +35,7 @@ ZONES = {
     "ACST": 570, "AEST": 600, "ACDT": 630, "AEDT": 660, "NZST": 720, "NZDT": 780,
 }
 
+# Columns of csvlog by position, keys of jsonlog, columns of a record.
 CSV_COLUMNS = (
     "log_time", "user", "database", "process_id", "connection_from", "session_id", "session_line_num", "command_tag", "session_start", "virtual_xid",
     "transaction_id", "raw_severity", "sql_state", "message", "detail", "hint", "internal_query", "internal_query_pos", "context", "query",

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import good_records, parse_lines
-from ..prefix import detect_format, detect_prefix
+from ..operators import good_records, parse_records
+from ..prefix import record_start
 from ..schema import LogReadOptions
-from ..shared import written
+from .scan import LogScan
 
 #: Names that a directory is read for, by format.
 GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log"}
-#: Lines of a file that detection looks at, blank ones aside.
-HEAD_LINES = 200
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -32,36 +30,46 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("no")).alias("seq"), F.col("value").alias("line"))
 
 
-def kinds(lines: DataFrame) -> DataFrame:
-    """(file, format, prefix) of each file, found from its own first lines."""
+def _scan(spark: SparkSession, paths: list[str], glob: str | None, **options) -> DataFrame:
+    spark.dataSource.register(LogScan)
+    reader = spark.read.format("logloom_scan").option("paths", json.dumps(paths))
+    for k, v in (options | {"glob": glob}).items():
+        if v is not None:
+            reader = reader.option(k, str(v))
+    return reader.load()
 
-    def found(rows):
-        head = rows.sort_values("no")["line"].tolist()
-        format_ = detect_format("\n".join(head))
-        return pd.DataFrame({"file": [rows["file"].iloc[0]], "format": [format_], "prefix": [detect_prefix(head)]})
 
-    order = Window.partitionBy("file").orderBy("seq")
-    first = lines.where((F.col("seq.at") == 0) & (F.trim("line") != "")).withColumn("no", F.row_number().over(order)).where(F.col("no") <= HEAD_LINES)
-    return first.select("file", "no", "line").groupBy("file").applyInPandas(found, "file string, format string, prefix string")
+def kinds(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+    """(file, format, prefix) of each file with a line in it, found from its own head; prefix null for csv and json."""
+    return _scan(spark, [path] if isinstance(path, str) else path, glob, heads="true")
 
 
-def parsed_lines(lines: DataFrame, o: LogReadOptions) -> DataFrame:
-    """Records and malformed rows of lines, each file by its own format and prefix where these are open."""
+def read_records(spark: SparkSession, path: str | list[str], o: LogReadOptions, glob: str | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Framed text (file, offset, raw, ...) of files in a stated format, plain or compressed; no shuffle."""
+    return _scan(spark, [path] if isinstance(path, str) else path, glob, format=o.format, starts=_multiline(record_start(o)), maxrecordbytes=o.max_record_bytes, splitbytes=split_bytes)
+
+
+def _multiline(starts: str | None) -> str | None:
+    return None if starts is None else f"^(?:{starts})"
+
+
+def read_log(spark: SparkSession, path: str | list[str], options: LogReadOptions = LogReadOptions(), malformed: bool = False, glob: str | None = None, split_bytes: int | None = None) -> DataFrame:
+    """Records of log files; with malformed, also the rows that are none, column _malformed saying why.
+
+    A directory is read for the names that its format goes by, or all where the format is open. Files
+    are read in ranges of split_bytes. Where format or prefix are open, each file has its own, by its
+    head; a missing path is an error, a directory without files is not.
+    """
+    o, glob = options, glob or GLOBS.get(options.format)
+    read = lambda p, o: parse_records(read_records(spark, p, o, glob, split_bytes), o)
     if o.format != "auto" and (o.format != "stderr" or o.line_prefix is not None):
-        return parse_lines(lines, o)
-    format_ = F.col("format") if o.format == "auto" else F.lit(o.format)
-    prefix = F.when(format_ == "stderr", F.col("prefix") if o.line_prefix is None else F.lit(o.line_prefix))
-    by_file = kinds(lines).select("file", format_.alias("format"), prefix.alias("prefix"))
-    branches = [(r.format, r.prefix) for r in by_file.select("format", "prefix").distinct().collect()] or [("stderr", o.line_prefix)]
-    if len(branches) == 1:
-        return parse_lines(lines, replace(o, format=branches[0][0], line_prefix=branches[0][1]))
-    by_file = written(by_file, "kinds")
-    of = lambda f, p: lines.join(by_file.where((F.col("format") == f) & F.col("prefix").eqNullSafe(F.lit(p))).select("file"), "file", "left_semi")
-    return reduce(DataFrame.unionByName, [parse_lines(of(f, p), replace(o, format=f, line_prefix=p)) for f, p in branches])
-
-
-def read_log(spark: SparkSession, path: str | list[str], options: LogReadOptions = LogReadOptions(), malformed: bool = False, glob: str | None = None) -> DataFrame:
-    """Records of log files; with malformed, also the rows that are none, column _malformed saying why."""
-    lines = read_lines(spark, path, glob or GLOBS.get(options.format))
-    parsed = parsed_lines(lines, options)
+        parsed = read(path, o)
+    else:
+        groups: dict[tuple, list[str]] = {}  # a name for each file, as listing them has
+        for r in kinds(spark, path, glob).collect():
+            format_ = r.format if o.format == "auto" else o.format
+            prefix = None if format_ != "stderr" else r.prefix if o.line_prefix is None else o.line_prefix
+            groups.setdefault((format_, prefix), []).append(r.file)
+        branches = [read(files, replace(o, format=f, line_prefix=p)) for (f, p), files in sorted(groups.items(), key=str)]
+        parsed = reduce(DataFrame.unionByName, branches) if branches else read(path, replace(o, format="json"))
     return parsed if malformed else good_records(parsed)

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import TIMESTAMP
-from ..operators import CONTINUATIONS, good_records, parse_jsonlog, parse_lines
-from ..prefix import LABEL, compile_prefix
+from ..operators import good_records, parse_jsonlog, parse_lines
+from ..prefix import record_start
 from ..schema import LogReadOptions
 
 #: Bytes of a file's start that tell it from another of the same name.
@@ -29,16 +28,6 @@ HEAD_BYTES = 64
 SPLIT_BYTES = 64 << 20
 
 
-def record_start(o: LogReadOptions) -> str | None:
-    """Regular expression of a record's first line; None where every line is a record."""
-    if o.format == "csv":
-        return TIMESTAMP + ","
-    if o.format == "stderr" and o.line_prefix:
-        labels = "" if o.split_continuations else f"(?!(?:{'|'.join(CONTINUATIONS)}):)"
-        return r"(?![ \t])" + compile_prefix(o.line_prefix)[0] + labels + LABEL
-    return r"(?![ \t\r\n])" if o.format == "stderr" else None
-
-
 @dataclass
 class Range(InputPartition):
     path: str
