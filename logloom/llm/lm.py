@@ -10,10 +10,11 @@ Scoring: P(w|h) = (kept(h, w) + left(h) * P(w)) / (all_kept(h) + left(h)), which
 one; P(w) is the exact add-0.1 unigram estimate, which also stands alone where a history is unknown.
 
 All pairs seen LEAST times or more are kept, however large the input; the number of segments grows
-with the text. A filter of up to MAX_FILTER_BYTES is broadcast. Beyond it the distinct pairs of each
-block of documents go to the segments of their histories, which send back their levels. Exact word
-counts are broadcast up to a checked number of words; beyond it they are joined to the words of each
-document.
+with the text. A filter and word counts of up to MAX_BROADCAST bytes together are broadcast: every
+Python worker has a copy of its own. Beyond that the distinct pairs of each block of documents go to
+the segments of their histories, which send back levels and the exact counts of the histories. (A
+word is the history of what follows it, so each word's count comes back with the next word's pair.)
+Neither a segment's filter nor its counts then leave the task that holds them.
 """
 
 from __future__ import annotations
@@ -33,12 +34,10 @@ from .common import shuffle_partitions, written
 
 #: Least count of a kept pair.
 LEAST = 2
-#: A filter of up to so many bytes is broadcast.
-MAX_FILTER_BYTES = 64 << 20
+#: A filter and exact word counts (16 bytes each) of up to so many bytes are broadcast.
+MAX_BROADCAST = 8 << 20
 #: Bytes of training text for each segment, about.
-SEGMENT_BYTES = 16 << 20
-#: Exact word counts are broadcast up to so many words (12 bytes each).
-MAX_BROADCAST_WORDS = 8_000_000
+SEGMENT_BYTES = 4 << 20
 #: About one false positive in 10,000 probes while the filter has room.
 BITS_PER_ENTRY, PROBES = 20, 10
 #: Words that a map task gathers before it sends counts.
@@ -309,238 +308,239 @@ def _bits(b: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
 
 
-# A segment's filter (block null: bits in a), a block's pairs for a segment (a, b, c as packed), or a
-# block itself (segment -1): places of its words' entries, exact counts of the entries, where their
-# pair and its history change, words of each document, ids.
-ASKED = "segment int, block long, a binary, b binary, c binary, d binary, e binary"
-_ASKED = (("segment", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde"))
-
-
-def _asked(rows: list[tuple], ids: list[pa.Array | None], kind: pa.DataType) -> pa.RecordBatch:
-    held = [pa.array([None], pa.list_(kind)) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in ids]
-    return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)), pa.concat_arrays(held)], names=[*(n for n, _ in _ASKED), "ids"])
-
-
-def _block_rows(ids: pa.Array, texts: list[np.ndarray], c: np.ndarray, place: bytes, segments: int, kind: pa.DataType) -> pa.RecordBatch:
-    key = np.concatenate([pairs(t) for t in texts])
-    # Words of one half hash but several counts stay apart.
-    order = np.lexsort((c, key))
-    k, n = key[order], c[order]
-    new_key = np.r_[True, k[1:] != k[:-1]]
-    new = new_key | np.r_[True, n[1:] != n[:-1]]
-    at = np.empty(len(key), np.int64)
-    at[order] = np.cumsum(new) - 1
-    pair = k[new_key]
-    h = pair >> np.uint64(32)
-    # Two runs over rows in other order make other blocks, whose parts never meet.
-    block = xxhash.xxh3_64_intdigest(place + key.tobytes() + repr(ids.to_pylist()).encode()) - 2**63
-    rows = [(-1, block, _planes(at), _planes(np.minimum(n[new], 2**32 - 1)), np.packbits(new_key[new]).tobytes(), np.packbits(np.r_[True, h[1:] != h[:-1]]).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes())]
-    cut = np.searchsorted(segment_of(pair, segments), np.arange(segments + 1))
-    for s in range(segments):
-        p = pair[cut[s] : cut[s + 1]]
-        if len(p):
-            rows.append((s, block, *_packed(p, np.ones(len(p), np.int64))[:3], None, None))
-    return _asked(rows, [ids, *[None] * (len(rows) - 1)], kind)
-
-
-def _answered(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Levels for each (segment, block): of pairs, and of histories the kept and the left mass. Blocks pass."""
-    segment, filter_ = None, None
-    held: list[tuple[int, np.ndarray]] = []
+# Of a segment: its filter, its words and their counts (block null; a, b, c), or a block's pairs (histories,
+# their numbers of words, halves of the words' hashes). What comes back: levels of the pairs; kept mass, left
+# mass and count of the histories (a, b, c, d). Of a block (segment -1): places of its words' pairs, where
+# the history changes, words of each document (a, b, c), and ids.
+ASKED = "segment int, block long, a binary, b binary, c binary, d binary"
+_ASKED = (("segment", pa.int32()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcd"))
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _ASKED, strict=True)], names=[n for n, _ in _ASKED])
+
+
+class Block:
+    """Documents whose pairs are asked for together."""
+
+    def __init__(self, ids: pa.Array, texts: list[np.ndarray], place: bytes):
+        history = np.concatenate([np.r_[START, t[:-1]] for t in texts])
+        word = np.concatenate(texts) >> np.uint64(32)
+        order = np.lexsort((word, history))
+        h, w = history[order], word[order]
+        self.new_history = np.r_[True, h[1:] != h[:-1]]
+        new = self.new_history | np.r_[True, w[1:] != w[:-1]]
+        self.at = np.empty(len(h), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        self.history, self.word, self.new_history = h[new], w[new].astype(np.uint32), self.new_history[new]
+        self.ids, self.words = ids, np.array([len(t) for t in texts], np.int64)
+        # Rows read in another order make other blocks, whose parts never meet: an error, not a wrong score.
+        self.name = xxhash.xxh3_64_intdigest(place + history.tobytes() + repr(ids.to_pylist()).encode()) - 2**63
+
+    def pairs(self, segments: int) -> Iterator[tuple]:
+        start = np.flatnonzero(self.new_history)
+        n = np.diff(np.r_[start, len(self.history)]).astype(np.uint32)
+        first = self.history[start]
+        cut = np.searchsorted(segment_of(first, segments), np.arange(segments + 1))
+        ends = np.r_[start, len(self.history)]
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[s], cut[s + 1]
+            yield s, self.name, first[a:b].tobytes(), n[a:b].tobytes(), self.word[ends[a] : ends[b]].tobytes(), None
+
+    def row(self) -> tuple:
+        return -1, self.name, _planes(self.at), np.packbits(self.new_history).tobytes(), self.words.tobytes(), None
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    task, no = TaskContext.get().partitionId(), 0
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            new = [tokens(t) for t in part.column(1).to_pylist()]
+            ids.append(part.column(0))
+            texts += new
+            size += sum(map(len, new))
+            if size > BLOCK:
+                yield Block(pa.concat_arrays(ids), texts, b"%d %d " % (task, no))
+                ids, texts, size, no = [], [], 0, no + 1
+    if texts:
+        yield Block(pa.concat_arrays(ids), texts, b"%d %d " % (task, no))
+
+
+class Segment:
+    """What a segment knows: its part of the filter, and the counts of its words."""
+
+    def __init__(self, bits: bytes, words: bytes, counts: bytes):
+        self.filter = Filter(np.frombuffer(bits or b"\0", np.uint8), np.array([0]), np.array([8 * len(bits)]), LEAST)
+        words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels and counts for each (segment, block). A segment's own row comes first."""
+    segment, known = None, None
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
     def answers() -> pa.RecordBatch:
-        pair, of = np.unique(np.concatenate([p for _, p in held]), return_inverse=True)
-        level, at, kept, left = pair_levels(pair, filter_)
+        pair, of = np.unique(np.concatenate([p for _, _, p in held]), return_inverse=True)
+        level, at, kept, left = pair_levels(pair, known.filter)
         rows, first = [], 0
-        for block, p in held:
+        for block, histories, p in held:
             mine, h = of[first : first + len(p)], p >> np.uint64(32)
-            histories = at[mine[np.flatnonzero(np.r_[True, h[1:] != h[:-1]])]]
-            rows.append((segment, block, *(y.astype(np.uint8).tobytes() for y in (level[mine], kept[histories], left[histories])), None, None))
+            # Histories in a row of one half hash share their levels.
+            place = at[mine[np.searchsorted(h, histories >> np.uint64(32))]]
+            rows.append((segment, block, *(y.astype(np.uint8).tobytes() for y in (level[mine], kept[place], left[place])), _planes(np.minimum(known.count(histories), 2**32 - 1))))
             first += len(p)
-        return _asked(rows, [None] * len(rows), kind)
+        return _asked(rows)
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            s, block, *x = (c[i].as_py() for c in batch.columns[:7])
+        for s, block, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and (s != segment or size > ANSWER):
                 yield answers()
                 held, size = [], 0
-            if s == -1:
-                yield _asked([(s, block, *x)], [batch.column(7).slice(i, 1).flatten()], kind)
-                continue
             if s != segment:
-                segment, filter_ = s, Filter(np.frombuffer(b"\0", np.uint8), np.array([0]), np.array([0]), LEAST)
+                segment, known = s, Segment(b"", b"", b"")
             if block is None:
-                filter_ = Filter(np.frombuffer(x[0] or b"\0", np.uint8), np.array([0]), np.array([8 * len(x[0])]), LEAST)
+                known = Segment(*x[:3])
                 continue
-            held.append((block, _unpacked(*x[:3], b"")[0]))
-            size += len(held[-1][1])
+            histories, n = np.frombuffer(x[0], np.uint64), np.frombuffer(x[1], np.uint32)
+            held.append((block, histories, np.repeat(histories & np.uint64(0xFFFFFFFF00000000), n) | np.frombuffer(x[2], np.uint32)))
+            size += len(held[-1][2])
     if held:
         yield answers()
 
 
-def _block_scores(of_block: tuple, answers: list[tuple], n: int, v: int) -> tuple[np.ndarray, ...]:
-    """Words, known words, base and model score of each document of a block."""
-    at, c = _from_planes(of_block[0]), _from_planes(of_block[1])
-    key = np.cumsum(_bits(of_block[2], len(c))) - 1
-    history = np.cumsum(_bits(of_block[3], key[-1] + 1)) - 1
-    level, kept, left = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in zip(*answers, strict=True))
-    if len(level) != len(history) or len(kept) != history[-1] + 1:
+def _block_scores(of_block: tuple, answers: list[tuple], n: int, v: int, texts: int) -> tuple[np.ndarray, ...]:
+    """Words, known words, base and model score of each document of a block; texts: training texts, as many as end tokens."""
+    at, words = _from_planes(of_block[0]), np.frombuffer(of_block[2], np.int64)
+    level, kept, left = (np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in list(zip(*answers, strict=True))[:3])
+    count = np.concatenate([_from_planes(x[3]) for x in answers])
+    history = np.cumsum(_bits(of_block[1], len(level))) - 1
+    if len(level) != at.max() + 1 or not len(kept) == len(count) == history[-1] + 1:
         raise RuntimeError("a block's pairs came back incomplete")
+    of = history[at]
+    last = np.cumsum(words) - 1
+    c = np.r_[count[of[1:]], 0]  # a word's own count is that of the next word's history
+    c[last] = texts
     base = base_probability(c, n, v)
-    model = np.log10(model_probability(base, c, level[key], kept[history[key]], left[history[key]], LEAST))
-    words = np.frombuffer(of_block[4], np.int64)
-    start = np.r_[0, np.cumsum(words)[:-1]]
-    return words, np.add.reduceat((c > 0).astype(np.int64)[at], start), np.add.reduceat(np.log10(base)[at], start), np.add.reduceat(model[at], start)
+    model = np.log10(model_probability(base, c, level[at], kept[of], left[of], LEAST))
+    start = np.r_[0, last[:-1] + 1]
+    return words, np.add.reduceat((c > 0).astype(np.int64), start), np.add.reduceat(np.log10(base), start), np.add.reduceat(model, start)
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST, stable: bool = False) -> DataFrame:
     """Base and model log10 probability of each text, learnt from the rows where `training` holds.
 
     Returns <id_col>, n_tokens, n_known, train_tokens (long), base_score, score (double). Null and
     empty texts are the end token alone. Null ids and repeated rows keep their rows, and train if
     `training` says so; a null there is no. Without training rows each token has probability one of
-    one. Other columns are ignored.
+    one. Other columns are ignored. docs is read more than once: unless it is `stable`, a table that
+    always gives the same rows in the same order, it is written out first.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(text_col, F.lit("")).cast("binary")
-    size = docs.where(training).agg(F.sum(F.octet_length(text))).first()[0] or 0
-    segments = max(64, shuffle_partitions(spark), size // SEGMENT_BYTES)
-    merged = written(merged_counts(gram_counts(docs.where(training).select(text.alias("t")), segments), segments), "grams")
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    total = merged.agg(F.sum("n"), F.sum("v"), F.sum("bits")).first()
-    n, v, bits = (x or 0 for x in total)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("t"), F.coalesce(training, F.lit(False)).alias("learn"))
+    if not stable:
+        rows = written(rows, "texts")
+    learnt = rows.where("learn")
+    texts, size = (x or 0 for x in learnt.agg(F.count("*"), F.sum(F.octet_length("t"))).first())
+    segments = max(64, shuffle_partitions(spark), size // SEGMENT_BYTES)
+    merged = written(merged_counts(gram_counts(learnt.select("t"), segments), segments), "grams")
+    n, v, bits = (x or 0 for x in merged.agg(F.sum("n"), F.sum("v"), F.sum("bits")).first())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, w, c, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 arrays = [np.frombuffer(b, t) for b, t in zip(x, (np.uint64, np.int64, np.uint32, np.int64, np.int64), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([segment_bits(entries(*arrays, LEAST))], pa.binary())], names=["segment", "bits"])
+                yield _asked([(s, None, segment_bits(entries(*arrays, LEAST)), w, c, None)])
 
-    built = merged.select("segment", "keys", "counts", "histories", "types", "once").mapInArrow(build, "segment int, bits binary")
-    kind = docs.schema[id_col].dataType
+    built = merged.select("segment", "words", "word_counts", "keys", "counts", "histories", "types", "once").mapInArrow(build, ASKED)
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    arrow = list(to_arrow_schema(schema))
 
-    if bits <= 8 * max_filter_bytes:
-        parts = {r.segment: bytes(r.bits) for r in built.collect()}  # max_filter_bytes at most
-        size = np.array([8 * len(parts.get(s, b"")) for s in range(segments)], np.int64)
-        held = spark.sparkContext.broadcast(Filter(np.frombuffer(b"".join(parts.get(s, b"") for s in range(segments)) or b"\0", np.uint8), np.r_[0, np.cumsum(size)[:-1]] // 8, size, LEAST))
+    def scores(ids: pa.Array, words, known, base, model) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x, f.type) for x, f in zip((words, known, np.full(len(words), n), base, model), arrow[1:], strict=True))], names=schema.names)
 
-    def scored(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
+    if bits // 8 + 16 * v <= max_broadcast:
+        out = _by_broadcast(rows.select("id", "t"), built, segments, n, v, schema, scores)
+    else:
+        out = _by_segments(rows.select("id", "t"), built, segments, n, v, texts, schema, scores)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _by_broadcast(rows: DataFrame, built: DataFrame, segments: int, n: int, v: int, schema: T.StructType, scores) -> DataFrame:
+    got = {r.segment: r for r in built.collect()}  # max_broadcast bytes at most
+    parts = [bytes(got[s].a) if s in got else b"" for s in range(segments)]
+    size = np.array([8 * len(x) for x in parts], np.int64)
+    all_words = [np.frombuffer(r.b, np.uint64) for r in got.values()]
+    all_counts = [np.frombuffer(r.c, np.int64) for r in got.values()]
+    known = Segment(b"", b"".join(x.tobytes() for x in all_words), b"".join(x.tobytes() for x in all_counts))
+    held = rows.sparkSession.sparkContext.broadcast((Filter(np.frombuffer(b"".join(parts) or b"\0", np.uint8), np.r_[0, np.cumsum(size)[:-1]] // 8, size, LEAST), known))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [tokens(t) for t in part.column(1).to_pylist()]
-                start = np.cumsum([0, *map(len, texts[:-1])])
-                c = counts(part, texts)
-                base, model = score_pairs(np.concatenate([pairs(t) for t in texts]), c, n, v, held.value)
-                sums = np.diff(np.r_[start, len(c)]), np.add.reduceat((c > 0).astype(np.int64), start), np.full(len(texts), n), np.add.reduceat(base, start), np.add.reduceat(model, start)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(sums, arrow[1:], strict=True))], names=schema.names)
-
-    def asked(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:
-        task, no = TaskContext.get().partitionId(), 0
-        ids, texts, c, size = [], [], [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                new = [tokens(t) for t in part.column(1).to_pylist()]
-                ids.append(part.column(0))
-                c.append(counts(part, new))
-                texts += new
-                size += len(c[-1])
-                if size > BLOCK:
-                    yield _block_rows(pa.concat_arrays(ids), texts, np.concatenate(c), b"%d %d " % (task, no), segments, arrow[0].type)
-                    ids, texts, c, size, no = [], [], [], 0, no + 1
-        if texts:
-            yield _block_rows(pa.concat_arrays(ids), texts, np.concatenate(c), b"%d %d " % (task, no), segments, arrow[0].type)
+                words = np.array([len(t) for t in texts])
+                start = np.r_[0, np.cumsum(words)[:-1]]
+                filter_, counts = held.value
+                c = counts.count(np.concatenate(texts))
+                base, model = score_pairs(np.concatenate([pairs(t) for t in texts]), c, n, v, filter_)
+                yield scores(part.column(0), words, np.add.reduceat((c > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(model, start))
+
+    return rows.mapInArrow(scored, schema)
+
+
+def _by_segments(rows: DataFrame, built: DataFrame, segments: int, n: int, v: int, texts: int, schema: T.StructType, scores) -> DataFrame:
+    """Scores by way of the segments; nothing but one segment and a few blocks' pairs, or one block, is in memory."""
+    kind = schema["id"].dataType
+    with_ids = T.StructType([*T._parse_datatype_string(ASKED).fields, T.StructField("ids", T.ArrayType(kind))])
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield _asked(list(block.pairs(segments)))
+
+    def themselves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            ids = pa.ListArray.from_arrays(pa.array([0, len(block.ids)], pa.int32()), block.ids)
+            yield pa.RecordBatch.from_arrays([*_asked([block.row()]).columns, ids], names=with_ids.names)
 
     def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = ids = of_block = None
         answers: list[tuple] = []
 
         def out():
-            if of_block is None:
-                raise RuntimeError("pairs came back without their block")
-            words, known, base, model = _block_scores(of_block, answers, n, v)
-            sums = words, known, np.full(len(words), n), base, model
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(x, f.type) for x, f in zip(sums, arrow[1:], strict=True))], names=schema.names)
+            if of_block is None or not answers:
+                raise RuntimeError("a block's rows came in another order when read again")
+            return scores(ids, *_block_scores(of_block, answers, n, v, texts))
 
         for batch in batches:
             for i in range(batch.num_rows):
-                s, b, *x = (c[i].as_py() for c in batch.columns[:7])
+                s, b, *x = (c[i].as_py() for c in batch.columns[:6])
                 if b != block:
                     if block is not None:
                         yield out()
                     block, of_block, answers = b, None, []
                 if s == -1:
-                    of_block, ids = x, batch.column(7).slice(i, 1).flatten()
+                    of_block, ids = x, batch.column(6).slice(i, 1).flatten()
                 else:
-                    answers.append(tuple(x[:3]))
+                    answers.append(tuple(x))
         if block is not None:
             yield out()
 
-    def in_blocks(rows: DataFrame, counts) -> DataFrame:
-        """Scores by way of the segments; nothing but one segment's filter and one block is in memory."""
-        sent = T.StructType([*T._parse_datatype_string(ASKED).fields, T.StructField("ids", T.ArrayType(kind))])
-        of_ids = arrow[0].type
-        filters = built.select("segment", F.lit(None).cast("long").alias("block"), F.col("bits").alias("a"), *[F.lit(None).cast("binary").alias(x) for x in "bcde"], F.lit(None).cast(T.ArrayType(kind)).alias("ids"))
-        both = rows.mapInArrow(lambda b: asked(b, counts), sent).unionByName(filters)
-        # A block goes to any task, a segment's pairs to the one of its filter, which comes first there.
-        both = both.repartition(segments, "segment", F.when(F.col("segment") == -1, F.col("block"))).sortWithinPartitions("segment", F.col("block").asc_nulls_first())
-        back = both.mapInArrow(lambda b: _answered(b, of_ids), sent)
-        return back.repartition(segments, "block").sortWithinPartitions("block", "segment").mapInArrow(summed_up, schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = list(to_arrow_schema(schema))
-    run = (lambda rows, counts: rows.mapInArrow(lambda b: scored(b, counts), schema)) if bits <= 8 * max_filter_bytes else in_blocks
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    if v <= max_broadcast_words:
-        got = merged.select("words", "word_counts").toArrow()
-        words = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in got.column(0).to_pylist())])
-        often = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in got.column(1).to_pylist())])
-        order = np.argsort(words)
-        table = spark.sparkContext.broadcast((words[order], often[order]))
-
-        def from_table(_, texts):
-            words, often = table.value
-            flat, back = np.unique(np.concatenate(texts), return_inverse=True)
-            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-            return np.where(words[at] == flat, often[at], 0)[back] if len(words) else np.zeros(len(back), np.int64)
-
-        out = run(rows, from_table)
-    else:
-        out = run(_joined(rows, merged), _from_row)
-    return out.withColumnRenamed("id", id_col)
-
-
-def _from_row(part: pa.RecordBatch, texts: list[np.ndarray]) -> np.ndarray:
-    out = []
-    for t, found in zip(texts, part.column(2).to_pylist(), strict=True):
-        known = {x["w"]: x["n"] for x in found or ()}
-        out += [known.get(x, 0) for x in t.view(np.int64).tolist()]
-    return np.array(out, np.int64)
-
-
-def _joined(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """Each document with the counts of its words: (id, t, found array<struct<w, n>>), by joins alone."""
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = [np.unique(tokens(t)).view(np.int64) for t in part.column(2).to_pylist()]
-                where = np.repeat(np.arange(len(words)), [len(w) for w in words])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), part.column(1).take(pa.array(where)), pa.array(np.concatenate(words))], names=["id", "fp", "w"])
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["w", "n"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    keyed = rows.withColumn("fp", F.xxhash64("t"))
-    words = keyed.dropDuplicates(["id", "fp"]).select("id", "fp", "t").mapInArrow(distinct, f"id {kind}, fp long, w long")
-    known = words.join(merged.select("words", "word_counts").mapInArrow(vocabulary, "w long, n long"), "w").groupBy(F.col("id").alias("i"), F.col("fp").alias("f")).agg(F.collect_list(F.struct("w", "n")).alias("found"))
-    return keyed.join(known, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")), "left").select("id", "t", "found")
+    # Both ways read rows alike, first in their unions, so that tasks and blocks have the same numbers.
+    asked = rows.mapInArrow(asks, ASKED).unionByName(built)
+    back = asked.repartition(segments, "segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first()).mapInArrow(_answered, ASKED)
+    both = rows.mapInArrow(themselves, with_ids).unionByName(back.withColumn("ids", F.lit(None).cast(T.ArrayType(kind))))
+    return both.repartition(segments, "block").sortWithinPartitions("block", "segment").mapInArrow(summed_up, schema)

@@ -98,7 +98,7 @@ SELECT doc_id, size, source_size, target, CAST(floor(start + i * rate) - floor(s
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0)
+    scored = score(read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0, stable=True)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -27,12 +27,12 @@ def corpus():
     return rows + [(None, "w1 w2", "", ""), (801, None, "", ""), (802, "new words only", "", ""), (5, rows[5][1], "", ""), (803, "w1 " * 20000, "", "")]
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
+@pytest.mark.parametrize("broadcast", [lm.MAX_BROADCAST, 0])
 def test_base_is_exact_and_model_predicts_better(spark, broadcast):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     train = F.coalesce(F.col("doc_id") % 10 != 0, F.lit(False))
-    got = lm.score(docs, train, max_broadcast_words=broadcast).collect()
+    got = lm.score(docs, train, max_broadcast=broadcast).collect()
     tokens = lambda t: [*(t or "").lower().split(), "</s>"]
     c = Counter(x for i, t, *_ in rows if i is not None and i % 10 for x in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -64,27 +64,30 @@ def test_probabilities_after_a_history_sum_to_one_at_most():
         assert (10**p).sum() <= 1.02
 
 
-def test_small_filter_keeps_frequent_pairs(spark):
-    docs = spark.createDataFrame(corpus(), DOCS)
-    small = lm.score(docs, F.lit(True), max_filter_bytes=512).agg(F.sum("score"), F.sum("base_score")).first()
-    assert small[0] >= 1.05 * small[1]  # no worse than a little below the base, in bounded memory
-
-
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_a_filter_too_large_to_broadcast_keeps_all_pairs(spark, monkeypatch, broadcast):
+def test_segments_score_as_the_broadcast_filter_does(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(), DOCS).repartition(3)
     train = F.coalesce(F.col("doc_id") % 10 != 0, F.lit(False))
     rows = lambda **k: sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(docs, train, **k).collect())
     want = rows()
     monkeypatch.setattr(lm, "BLOCK", 2000)
     monkeypatch.setattr(lm, "SEGMENT_BYTES", 2000)  # more segments than by default
-    have = rows(max_filter_bytes=512, max_broadcast_words=broadcast)
+    have = rows(max_broadcast=0)
     assert len(have) == len(want)
     for a, b in zip(have, want, strict=True):
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-3, atol=1e-6)  # other segments, other false positives
 
 
+def test_texts_that_occur_twice_score_above_those_seen_once(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, texts[i], "", "") for i in range(300)] + [(1000 + i, texts[i], "", "") for i in range(60)]
+    for limit in (lm.MAX_BROADCAST, 0):
+        got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, DOCS), F.lit(True), max_broadcast=limit).collect()}
+        assert min(got[i] for i in range(60)) > max(got[i] for i in range(60, 300))
+
+
 def test_nothing_to_learn_from(spark):
-    assert lm.score(spark.createDataFrame([], DOCS), F.lit(True)).collect() == []
+    for limit in (lm.MAX_BROADCAST, -1):
+        assert lm.score(spark.createDataFrame([], DOCS), F.lit(True), max_broadcast=limit).collect() == []
     r = lm.score(spark.createDataFrame([(1, "a b", "", "")], DOCS), F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
