@@ -41,6 +41,8 @@ class QualityRules:
     min_chars: int = 100
     max_word_distance: float = 0.75
     min_word_count: int = 100
+    #: Common words among a language's words, at least, for them to say anything about its documents.
+    min_common_share: float = 0.02
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -115,7 +117,9 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "d
     """Rule verdicts: <id_col>, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     char_distance, word_distance (double, null where nothing can be compared), base_failed, kept.
 
-    Null texts are empty: no words, base_failed. A null language has a reference of its own.
+    Null texts are empty: no words, base_failed. A language in which the listed common words are rare
+    is judged by character classes alone; in any other, a text of min_word_count words without one
+    common word is as far off as can be. A null language has a reference of its own.
     Repeated rows count each. No rows in, no rows out. Other columns are ignored.
     """
     from .common import written
@@ -125,12 +129,13 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "d
     total = lambda c, n: F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(n)])
     # One row a language; a median keeps at most 1001 values.
     share = lambda i: F.median(F.floor(1000 * F.element_at("chars", i + 1) / F.greatest(F.aggregate("chars", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))))
-    ref = m.groupBy(F.col("lang").alias("l")).agg(F.array(*map(share, range(len(CHARACTER_CLASSES) + 1))).alias("ref_chars"), total("common", len(COMMON_WORDS)).alias("ref_common"))
+    ref = m.groupBy(F.col("lang").alias("l")).agg(F.array(*map(share, range(len(CHARACTER_CLASSES) + 1))).alias("ref_chars"), total("common", len(COMMON_WORDS)).alias("ref_common"), F.sum("n_words").alias("ref_words"))
     m = m.join(ref, F.col("lang").eqNullSafe(F.col("l")))
     m = m.withColumn("char_distance", divergence(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", divergence(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     chars_off = (F.col("word_chars") >= rules.min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > rules.max_char_distance + rules.char_allowance / F.greatest("word_chars", F.lit(1)))
-    words_off = (F.col("n_words") >= rules.min_word_count) & (F.coalesce("word_distance", F.lit(1.0)) > rules.max_word_distance)
+    covered = F.aggregate("ref_common", F.lit(0.0), lambda a, x: a + x) >= rules.min_common_share * F.greatest("ref_words", F.lit(1))
+    words_off = covered & (F.col("n_words") >= rules.min_word_count) & (F.coalesce("word_distance", F.lit(1.0)) > rules.max_word_distance)
     return m.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
         failed.alias("base_failed"), (~failed & ~chars_off & ~words_off).alias("kept"),

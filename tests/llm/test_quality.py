@@ -48,3 +48,13 @@ def test_junk_goes_and_clean_text_stays(spark):
     got = {r.doc_id: r.kept for r in quality(spark.createDataFrame([(i, t, "en", "", "") for i, t in enumerate(clean + junk)], DOCS), QualityRules()).collect()}
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 340))
     assert len(CHARACTER_CLASSES) == 6 and quality(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_a_language_without_listed_words_is_judged_by_characters(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("абвгдежзиклмнопрстуя", k=rng.randint(2, 9))) for _ in range(300)]
+    clean = [" ".join(rng.choices(words, k=150)).capitalize() + "." for _ in range(60)]
+    junk = [" ".join(w + rng.choice(["###", "%%%", "|"]) for w in rng.choices(words, k=150)) for _ in range(6)]
+    rows = [(i, t, "ru", "", "") for i, t in enumerate(clean + junk)] + [(100, clean[0] + " the of", "ru", "", "")]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in [*range(60), 100]) and not any(got[i] for i in range(60, 66))
