@@ -71,7 +71,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """(cls, k, gram, context, suffix, initial, n) of rows (t binary, cls int): how often each gram occurs, by places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # tables of all grams of so many texts
             found = [Counter(), Counter()]
             for text, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[cls].update(words_of(text))
