@@ -119,6 +119,8 @@ def detect_format(head: str) -> str:
     if line.lstrip("﻿").startswith("{"):
         return "json"
     columns = re.findall(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)', line)
-    if re.match(TIMESTAMP + ",", line) and len(columns) >= 23 and 1 <= len(columns[11].encode()) <= 32:
+    # A first record of several lines ends this one inside a quoted field.
+    whole = len(columns) >= 23 or len(columns) >= 14 and line.count('"') % 2 == 1
+    if re.match(TIMESTAMP + ",", line) and whole and 1 <= len(columns[11].encode()) <= 32:
         return "csv"
     return "stderr"

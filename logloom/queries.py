@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from . import plans
 from .functions.template import with_template
 from .operators import bad_records, good_records, parse_lines
 from .schema import LOCALES, ZONES, LogReadOptions
+from .shared import shared_dir
+from .sources.files import read_log
 from .sources.render import LINES, PREFIX, csv_lines
 
 
@@ -28,24 +32,40 @@ def _parsed(r: DataFrame, *more) -> DataFrame:
     return r.select(F.col("time").cast("timestamp_ntz").alias("time"), *_PARSED, *more)
 
 
-# The events as records, in SQL.
-E = """
+# The events as records, in SQL: (condition, message, severity, SQLSTATE, kind, normalised message, template).
+_N, _U, _D = "(event_id % 97)", "'u' || user_id", "'db' || (user_id % 3)"
+_LETTER = "chr(CAST(97 + event_id % 5 AS INTEGER))"
+_LOCK = "CASE WHEN event_id % 2 = 0 THEN 'Share' ELSE 'Exclusive' END"
+_SHAPES = (
+    ("event_type = 'view'", f"'duration: ' || CAST(value AS DECIMAL(18,3)) || ' ms  statement: SELECT * FROM t_' || {_LETTER} || ' WHERE id = ' || event_id", "LOG", "00000", "slow", f"'duration: ?.? ms  statement: SELECT * FROM t_' || {_LETTER} || ' WHERE id = ?'", f"'duration: $1 statement: SELECT * FROM t_' || {_LETTER} || ' WHERE id = $2'"),
+    ("event_type = 'click' AND event_id % 7 = 3", f"'disconnection: session time: 0:00:0' || (event_id % 10) || '.000 user=' || {_U} || ' database=' || {_D}", "LOG", "00000", "disconnection", "NULL", "'disconnection: session time: $1:$2:$3 user=$4 database=$5'"),
+    ("event_type = 'click' AND event_id % 7 = 5", f"'password authentication failed for user \"' || {_U} || '\"'", "FATAL", "28P01", "connection", "'password authentication failed for user ?'", f"'password authentication failed for user \"' || {_U} || '\"'"),
+    ("event_type = 'click'", f"'connection authorized: user=' || {_U} || ' database=' || {_D}", "LOG", "00000", "connection", "NULL", "'connection authorized: user=$1 database=$2'"),
+    ("event_type = 'purchase' AND event_id % 3 = 0", f"'process ' || event_id || ' still waiting for ' || {_LOCK} || 'Lock on transaction ' || {_N}", "WARNING", "01000", "lock_wait", f"'process ? still waiting for ' || {_LOCK} || 'Lock on transaction ?'", f"'process $1 still waiting for ' || {_LOCK} || 'Lock on transaction $2'"),
+    ("event_type = 'purchase'", "'there is already a transaction in progress'", "WARNING", "01000", "other", "'there is already a transaction in progress'", "'there is already a transaction in progress'"),
+    ("event_type = 'error' AND event_id % 5 = 0", "'deadlock detected'", "ERROR", "40P01", "deadlock", "'deadlock detected'", "'deadlock detected'"),
+    ("event_type = 'error' AND event_id % 5 = 1", "'canceling statement due to conflict with recovery'", "ERROR", "57014", "recovery_conflict", "'canceling statement due to conflict with recovery'", "'canceling statement due to conflict with recovery'"),
+    ("event_type = 'error'", f"'relation \"t_' || {_N} || '\" does not exist'", "ERROR", "42P01", "other", "'relation ? does not exist'", f"'relation \"t_' || {_N} || '\" does not exist'"),
+    ("event_id % 9 = 0", "'checkpoint starting: time'", "LOG", "00000", "checkpoint", "NULL", "'checkpoint starting: time'"),
+    ("event_id % 9 = 1", f"'restartpoint complete: wrote ' || {_N} || ' buffers'", "LOG", "00000", "checkpoint", "NULL", "'restartpoint complete: wrote $1 buffers'"),
+    ("event_id % 9 = 2", f"'automatic vacuum of table \"' || {_D} || '.public.t\": index scans: ' || {_N}", "LOG", "00000", "autovacuum", "NULL", f"'automatic vacuum of table \"' || {_D} || '.public.t\": index scans: $1'"),
+    ("event_id % 9 = 3", "'database system is ready to accept connections'", "LOG", "00000", "system", "NULL", "'database system is ready to accept connections'"),
+    ("event_id % 9 = 4", "'could not write to file \"pg_wal/xlogtemp.' || event_id || '\"'", "PANIC", "53100", "other", "'could not write to file ?'", "'could not write to file $1'"),
+    ("TRUE", "'temporary file: path \"base/pgsql_tmp/pgsql_tmp' || (1000 + user_id) || '.0\", size ' || (event_id * 1024)", "LOG", "00000", "temp_file", "NULL", "'temporary file: path $1, size $2'"),
+)
+
+
+def _shape(at: int) -> str:
+    return "CASE " + " ".join(f"WHEN {s[0]} THEN " + (s[at] if at in (1, 5, 6) else f"'{s[at]}'") for s in _SHAPES) + " END"
+
+
+E = f"""
 WITH r AS (
   SELECT event_id, ts AS time, CAST(1000 + user_id AS INTEGER) AS process_id, 'u' || user_id AS "user", 'db' || (user_id % 3) AS "database", '10.0.0.' || (user_id % 250) AS host,
-    CASE event_type WHEN 'purchase' THEN 'WARNING' WHEN 'error' THEN 'ERROR' ELSE 'LOG' END AS severity,
-    CASE event_type WHEN 'purchase' THEN '01000' WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN '40P01' ELSE '42P01' END ELSE '00000' END AS sql_state,
-    CASE event_type WHEN 'view' THEN 'duration: ' || CAST(value AS DECIMAL(18,3)) || ' ms  statement: SELECT * FROM t WHERE id = ' || event_id
-      WHEN 'click' THEN 'connection authorized: user=u' || user_id || ' database=db' || (user_id % 3)
-      WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'process ' || event_id || ' still waiting for ShareLock on transaction ' || (event_id % 97) ELSE 'there is already a transaction in progress' END
-      WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'deadlock detected' ELSE 'relation "t_' || (event_id % 97) || '" does not exist' END
-      ELSE 'temporary file: path "base/pgsql_tmp/pgsql_tmp' || (1000 + user_id) || '.0", size ' || (event_id * 1024) END AS message,
+    {_shape(1)} AS message, {_shape(2)} AS severity, {_shape(3)} AS sql_state, {_shape(4)} AS kind, {_shape(5)} AS norm, {_shape(6)} AS template,
     CASE WHEN event_id % 10 = 0 THEN 'first part of ' || event_id || ', "quoted"' || chr(10) || chr(9) || 'second part' END AS detail,
     CASE WHEN event_type = 'error' THEN 'SELECT * FROM t_' || (event_id % 97) END AS query,
-    CASE WHEN event_type = 'view' THEN CAST(CAST(value AS DECIMAL(18,3)) * 1000000 AS BIGINT) END AS duration_ns,
-    CASE event_type WHEN 'view' THEN 'slow' WHEN 'click' THEN 'connection' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'lock_wait' ELSE 'other' END
-      WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'deadlock' ELSE 'other' END ELSE 'temp_file' END AS kind,
-    CASE event_type WHEN 'view' THEN 'duration: ?.? ms  statement: SELECT * FROM t WHERE id = ?' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'process ? still waiting for ShareLock on transaction ?' ELSE 'there is already a transaction in progress' END
-      WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'deadlock detected' ELSE 'relation ? does not exist' END END AS norm, value, event_type
+    CASE WHEN event_type = 'view' THEN CAST(CAST(value AS DECIMAL(18,3)) * 1000000 AS BIGINT) END AS duration_ns
   FROM events
 )
 """
@@ -76,7 +96,7 @@ def _disagreements(s: SparkSession, d: str) -> DataFrame:
 _query("tri_format_agree", _disagreements, "SELECT CAST(0 AS BIGINT) AS differences")
 _query("stats_severity", lambda s, d: plans.stats(records(s, d))["severity"].select("severity", "count"), E + "SELECT severity, count(*) AS count FROM r GROUP BY severity")
 _query("stats_kinds", lambda s, d: plans.stats(records(s, d))["kind"], E + "SELECT kind, count(*) AS count FROM r GROUP BY kind")
-_query("errors_total", lambda s, d: plans.errors(records(s, d))["summary"], E + "SELECT count(*) AS total, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'ERROR') AS error, CAST(0 AS BIGINT) AS fatal, CAST(0 AS BIGINT) AS panic FROM r WHERE severity <> 'LOG'")
+_query("errors_total", lambda s, d: plans.errors(records(s, d))["summary"], E + "SELECT count(*) AS total, count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'ERROR') AS error, count(*) FILTER (severity = 'FATAL') AS fatal, count(*) FILTER (severity = 'PANIC') AS panic FROM r WHERE severity <> 'LOG'")
 _query("errors_top_messages", lambda s, d: plans.errors(records(s, d))["message"], E + f"SELECT norm AS key, count(*) AS count, arg_min(message, event_id) AS sample FROM r WHERE severity <> 'LOG' GROUP BY norm {_TOP}")
 _query("errors_sqlstate", lambda s, d: plans.errors(records(s, d))["sqlstate"], E + f"SELECT sql_state AS key, count(*) AS count FROM r WHERE severity <> 'LOG' GROUP BY sql_state {_TOP}")
 _MS = "duration_ns // 1000000"
@@ -85,17 +105,18 @@ _query("slow_min_duration", lambda s, d: plans.slow(records(s, d, "csv"), min_ns
 _GROUPS = f"SELECT norm AS key, count(*) AS count, CAST(sum({_MS}) AS BIGINT) AS total_ms, max({_MS}) AS worst_ms, arg_min(replace(message, '  ', '  '), event_id) AS sample FROM r WHERE duration_ns IS NOT NULL GROUP BY norm"
 _query("slow_slowest", lambda s, d: plans.slow(records(s, d))["slowest"], E + _GROUPS + " ORDER BY worst_ms DESC, key LIMIT 10")
 _query("slow_total", lambda s, d: plans.slow(records(s, d))["total"], E + _GROUPS + " ORDER BY total_ms DESC, key LIMIT 10")
-_query("connections_events", lambda s, d: plans.connections(records(s, d))["summary"], E + "SELECT count(*) AS connects, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS disconnects FROM r WHERE kind = 'connection'")
+_query("connections_events", lambda s, d: plans.connections(records(s, d))["summary"], E + "SELECT count(*) FILTER (kind = 'connection' AND severity = 'LOG') AS connects, count(*) FILTER (kind = 'connection' AND severity = 'FATAL') AS failures, count(*) FILTER (kind = 'disconnection') AS disconnects FROM r")
 for _side, _sql in (("database", '"database"'), ("user", '"user"'), ("application", "'psql'"), ("client", "host")):
     _query(f"connections_by_{_side}", lambda s, d, x=_side: plans.connections(records(s, d))[f"by_{x}"], E + f"SELECT {_sql} AS key, count(*) AS count FROM r WHERE kind = 'connection' GROUP BY 1 {_TOP}")
-_query("locks_summary", lambda s, d: plans.locks(records(s, d))["summary"], E + "SELECT count(*) FILTER (kind = 'lock_wait') AS lock_wait, count(*) FILTER (kind = 'deadlock') AS deadlock, CAST(0 AS BIGINT) AS recovery_conflict FROM r")
-_query("locks_target", lambda s, d: plans.locks(records(s, d))["target"], E + f"SELECT 'ShareLock on transaction' AS key, count(*) AS count FROM r WHERE kind = 'lock_wait' GROUP BY 1 {_TOP}")
-_query("locks_database", lambda s, d: plans.locks(records(s, d))["database"], E + f"SELECT \"database\" AS key, count(*) AS count FROM r WHERE kind IN ('lock_wait', 'deadlock') GROUP BY 1 {_TOP}")
-_query("locks_message", lambda s, d: plans.locks(records(s, d))["message"], E + f"SELECT norm AS key, count(*) AS count, arg_min(message, event_id) AS sample FROM r WHERE kind IN ('lock_wait', 'deadlock') GROUP BY norm {_TOP}")
+_query("locks_summary", lambda s, d: plans.locks(records(s, d))["summary"], E + "SELECT count(*) FILTER (kind = 'lock_wait') AS lock_wait, count(*) FILTER (kind = 'deadlock') AS deadlock, count(*) FILTER (kind = 'recovery_conflict') AS recovery_conflict FROM r")
+_query("locks_target", lambda s, d: plans.locks(records(s, d))["target"], E + f"SELECT CASE WHEN event_id % 2 = 0 THEN 'Share' ELSE 'Exclusive' END || 'Lock on transaction' AS key, count(*) AS count FROM r WHERE kind = 'lock_wait' GROUP BY 1 {_TOP}")
+_query("locks_database", lambda s, d: plans.locks(records(s, d))["database"], E + f"SELECT \"database\" AS key, count(*) AS count FROM r WHERE kind IN ('lock_wait', 'deadlock', 'recovery_conflict') GROUP BY 1 {_TOP}")
+_query("locks_message", lambda s, d: plans.locks(records(s, d))["message"], E + f"SELECT norm AS key, count(*) AS count, arg_min(message, event_id) AS sample FROM r WHERE kind IN ('lock_wait', 'deadlock', 'recovery_conflict') GROUP BY norm {_TOP}")
 for _name, _b, _i in (("peaks_10m", "10 minutes", "10 minutes"), ("peaks_1h", "1 hour", "1 hour")):
     _query(_name, lambda s, d, b=_b: plans.peaks(records(s, d), b)["buckets"].withColumn("start", F.col("start").cast("timestamp_ntz")),
            E + f"SELECT time_bucket(INTERVAL '{_i}', time) AS start, count(*) AS records, count(*) FILTER (severity <> 'LOG') AS problems, count(duration_ns) AS slow FROM r GROUP BY 1 ORDER BY records DESC, start LIMIT 10")
-_query("system_summary", lambda s, d: plans.system(records(s, d))["summary"], E + "SELECT CAST(0 AS BIGINT) AS checkpoints, CAST(0 AS BIGINT) AS autovacuums, count(*) AS temp_files, CAST(sum(event_id * 1024) AS BIGINT) AS temp_bytes FROM r WHERE kind = 'temp_file'")
+_query("system_summary", lambda s, d: plans.system(records(s, d))["summary"], E + "SELECT count(*) FILTER (kind = 'checkpoint') AS checkpoints, count(*) FILTER (kind = 'autovacuum') AS autovacuums, count(*) FILTER (kind = 'temp_file') AS temp_files, CAST(coalesce(sum(event_id * 1024) FILTER (kind = 'temp_file'), 0) AS BIGINT) AS temp_bytes FROM r")
+_query("system_events", lambda s, d: plans.system(records(s, d))["events"].withColumn("time", F.col("time").cast("timestamp_ntz")), E + "SELECT time, severity, kind, message FROM r WHERE kind = 'system' OR (kind NOT IN ('checkpoint', 'autovacuum', 'temp_file') AND severity IN ('FATAL', 'PANIC')) ORDER BY CAST(time AS DATE), event_id LIMIT 10")
 _conv = "SELECT conv_id, turn, text FROM conversations WHERE {}"
 _grep = lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
 _query("grep_basic", lambda s, d: plans.grep(_grep(s, d), "the ").select("conv_id", "turn", F.col("raw").alias("text")), _conv.format("contains(text, 'the ')"))
@@ -107,8 +128,8 @@ _query("time_window", lambda s, d: _parsed(plans.in_range(records(s, d, "stderr"
 _query("normalize_documents", lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(L.normalize_message(F.col("text"))).alias("h")),
        """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]*("|\\z)|''[^'']*(''|\\z)', chr(1), 'g'), '(^|[^0-9\\x01])(\\x01*)[0-9]', '\\1\\2' || chr(2), 'g'), '[0-9]', '', 'g'), '[\\x01\\x02]', '?', 'g')) AS h FROM documents""")
 _query("one_line_documents", lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(L.one_line(F.col("text"))).alias("h")), "SELECT doc_id, md5(CASE WHEN regexp_matches(text, '[\\n\\r\\t]') THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE text END) AS h FROM documents")
-_query("pattern_id", lambda s, d: records(s, d).where("severity <> 'LOG'").groupBy(L.pattern_id(F.col("severity"), F.col("sql_state"), L.normalize_message(F.col("message"))).alias("pattern_id")).count(),
-       E + "SELECT substr(sha256(severity || chr(0) || sql_state || chr(0) || '1' || chr(0) || norm), 1, 16) AS pattern_id, count(*) AS count FROM r WHERE severity <> 'LOG' GROUP BY 1")
+_query("pattern_id", lambda s, d: plans.template_groups(records(s, d).where("severity <> 'LOG'")).select("pattern_id", "count"),
+       E + "SELECT substr(sha256(severity || chr(0) || sql_state || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, count(*) AS count FROM r WHERE severity <> 'LOG' GROUP BY 1")
 
 
 def _localised(s: SparkSession, d: str) -> DataFrame:
@@ -136,11 +157,48 @@ _query("zone_offsets", lambda s, d: s.createDataFrame([(t, z) for t, z in _STAMP
 def _broken(s: SparkSession, d: str) -> DataFrame:
     lines = LINES["json"](_table(s, d, "events"))
     cut = lines.withColumn("line", F.when(F.col("seq") % 112 == 0, F.expr("left(line, length(line) - 5)")).otherwise(F.col("line")))
-    parsed = parse_lines(cut, LogReadOptions("json", max_record_bytes=420))
-    return bad_records(parsed).groupBy("reason").count().where("reason = 'bad json'")
+    nested = cut.withColumn("line", F.when(F.col("seq") % 176 == 16, F.expr("left(line, length(line) - 1) || ',\"x\":{\"y\":[1]}}'")).otherwise(F.col("line")))
+    large = nested.withColumn("line", F.when(F.col("seq") % 208 == 48, F.expr("left(line, length(line) - 1) || ',\"x\":\"' || repeat('y', 2000) || '\"}'")).otherwise(F.col("line")))
+    parsed = parse_lines(large, LogReadOptions("json", max_record_bytes=1500))
+    return bad_records(parsed).groupBy("reason").count()
 
 
-_query("malformed_side_output", _broken, "SELECT 'bad json' AS reason, count(*) AS count FROM events WHERE event_id % 7 = 0")
-_query("template_groups", lambda s, d: plans.template_groups(records(s, d)), None)
+# seq is 16 times the event's id; a record both cut or nested and large is large.
+_query("malformed_side_output", _broken, "SELECT CASE WHEN event_id % 13 = 3 THEN 'over-large record' ELSE 'bad json' END AS reason, count(*) AS count FROM events WHERE event_id % 13 = 3 OR event_id % 7 = 0 OR event_id % 11 = 1 GROUP BY 1")
+_query("template_groups", lambda s, d: plans.template_groups(records(s, d)).select("template", "count"), E + "SELECT template, count(*) AS count FROM r GROUP BY severity, sql_state, template")
+_query("top_patterns", lambda s, d: plans.template_groups(records(s, d, "csv"), 5), E + "SELECT substr(sha256(severity || chr(0) || CASE sql_state WHEN '' THEN '' ELSE sql_state END || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, template, count(*) AS count FROM r GROUP BY 1, 2 ORDER BY count DESC, pattern_id LIMIT 5")
 _query("template_documents", lambda s, d: with_template(_table(s, d, "documents"), "text").select("doc_id", "template"), None)
-_query("parse_ndjson", lambda s, d: plans.ndjson(records(s, d, "csv")), None)
+_NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3), flags int"
+
+
+def _ndjson(s: SparkSession, d: str) -> DataFrame:
+    """Records written as NDJSON and read back: what is empty or zero is absent."""
+    j = F.from_json("value", _NDJSON)
+    return plans.ndjson(records(s, d, "csv")).select(j.alias("j")).select("j.*")
+
+
+# A csvlog record needs unquoting where its text doubles a quote; 2 is several lines, 8 a duration, 16 a statement.
+_FLAGS = "CASE WHEN contains(message, '\"') OR detail IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN detail IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN duration_ns IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN query IS NOT NULL THEN 16 ELSE 0 END"
+_query("parse_ndjson", _ndjson, E + f"SELECT strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ') AS time, process_id, severity, message, detail, query, CASE WHEN duration_ns > 0 THEN CAST(duration_ns / 1000000.0 AS DECIMAL(20,3)) END AS duration_ms, nullif({_FLAGS}, 0) AS flags FROM r")
+_query("record_flags", lambda s, d: records(s, d, "csv").groupBy("flags").count(), E + f"SELECT {_FLAGS} AS flags, count(*) AS count FROM r GROUP BY 1")
+_query("record_lines", lambda s, d: records(s, d).select(F.col("session_line_num").alias("n"), L.record_line().alias("line")),
+       E + "SELECT event_id AS n, strftime(time, '%Y-%m-%d %H:%M:%S.%g') || ' ' || severity || ': ' || message || coalesce(' | DETAIL: ' || detail, '') || coalesce(' | STATEMENT: ' || query, '') AS line FROM r")
+_query("statements", lambda s, d: records(s, d).groupBy(L.normalize_message(L.statement_text()).alias("key")).count().where("key LIKE 'SELECT%'"), E + "SELECT 'SELECT * FROM t_?' AS key, count(*) AS count FROM r WHERE query IS NOT NULL GROUP BY 1")
+
+
+def _files(s: SparkSession, d: str, format_: str, split_bytes: int) -> DataFrame:
+    """Records of log files written from the events, read in many small ranges."""
+    path = f"{shared_dir(s)}/logloom-rendered-{uuid.uuid4().hex}"
+    LINES[format_](_table(s, d, "events")).repartition(4, "file").sortWithinPartitions("file", "seq").select("line").write.text(path)
+    return read_log(s, path, LogReadOptions("auto", PREFIX), split_bytes=split_bytes)
+
+
+for _f in LINES:
+    _query(f"scan_{_f}", lambda s, d, f=_f: _parsed(_files(s, d, f, 50_000)), E + f"SELECT {_COLUMNS} FROM r")
+_query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).groupBy(F.lit(1).alias("one")).agg(F.count("*").alias("records"), F.countDistinct("file", "offset").alias("places"), F.sum(F.octet_length("raw") + 1).alias("bytes")).select("records", F.col("places") == F.col("records"), "bytes").toDF("records", "distinct_places", "bytes").select("records", "distinct_places"), "SELECT count(*) AS records, TRUE AS distinct_places FROM events")
+_query("scalar_shapes", lambda s, d: _table(s, d, "events").select(
+    "event_id", L.parse_epoch(F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("."), F.date_format("ts", "SSSSSS"))).cast("timestamp_ntz").alias("epoch"),
+    *[L.strict_int(F.concat(F.lit(a), F.col("event_id").cast("string"), F.lit(b))).alias(n) for n, a, b in (("plain", "", ""), ("plus", "+", ""), ("minus", "-", ""), ("blank", " ", ""), ("word", "", "x"))],
+    L.field_after(F.concat(F.lit("a user=u"), F.col("user_id").cast("string"), F.lit(", user=x")), "user=").alias("field"), L.client_host(F.concat(F.lit("fe80::1:"), F.col("event_id").cast("string"))).alias("host"),
+    L.temp_file_size(F.concat(F.lit("temporary file: path \"x\", size "), F.col("event_id").cast("string"))).alias("size"), L.duration_ns(F.concat(F.lit(" duration: "), F.col("event_id").cast("string"), F.lit(".5 ms"))).alias("duration")),
+    "SELECT event_id, ts AS epoch, CAST(event_id AS INTEGER) AS plain, CAST(event_id AS INTEGER) AS plus, CAST(-event_id AS INTEGER) AS minus, CAST(NULL AS INTEGER) AS blank, CAST(NULL AS INTEGER) AS word, 'u' || user_id AS field, 'fe80::1' AS host, event_id AS size, event_id * 1000000 + 500000 AS duration FROM events")

@@ -12,23 +12,35 @@ PREFIX = "%m [%p] %e %q%u@%d "
 
 def logical(events: DataFrame) -> DataFrame:
     """Events (event_id, ts, user_id, event_type, value) as text columns of log records; every tenth has a detail of two lines."""
-    e, kind = events, F.col("event_type")
-    i, u = F.col("event_id").cast("string"), F.col("user_id")
-    n = (F.col("event_id") % 97).cast("string")
-    message = (
-        F.when(kind == "view", F.concat(F.lit("duration: "), F.col("value").cast("decimal(18,3)").cast("string"), F.lit(" ms  statement: SELECT * FROM t WHERE id = "), i))
-        .when(kind == "click", F.concat(F.lit("connection authorized: user=u"), u.cast("string"), F.lit(" database=db"), (u % 3).cast("string")))
-        .when(kind == "purchase", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("process "), i, F.lit(" still waiting for ShareLock on transaction "), n)).otherwise("there is already a transaction in progress"))
-        .when(kind == "error", F.when(F.col("event_id") % 5 == 0, "deadlock detected").otherwise(F.concat(F.lit('relation "t_'), n, F.lit('" does not exist'))))
-        .otherwise(F.concat(F.lit('temporary file: path "base/pgsql_tmp/pgsql_tmp'), (u + 1000).cast("string"), F.lit('.0", size '), (F.col("event_id") * 1024).cast("string")))
+    e, kind, no = events, F.col("event_type"), F.col("event_id")
+    i, u = no.cast("string"), F.col("user_id")
+    user, database, n = F.concat(F.lit("u"), u.cast("string")), F.concat(F.lit("db"), (u % 3).cast("string")), (no % 97).cast("string")
+    table = F.chr(97 + no % 5)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # (condition, message, severity, SQLSTATE), the first that holds
+    shapes = (
+        (kind == "view", text("duration: ", F.col("value").cast("decimal(18,3)").cast("string"), " ms  statement: SELECT * FROM t_", table, " WHERE id = ", i), "LOG", "00000"),
+        ((kind == "click") & (no % 7 == 3), text("disconnection: session time: 0:00:0", (no % 10).cast("string"), ".000 user=", user, " database=", database), "LOG", "00000"),
+        ((kind == "click") & (no % 7 == 5), text('password authentication failed for user "', user, '"'), "FATAL", "28P01"),
+        (kind == "click", text("connection authorized: user=", user, " database=", database), "LOG", "00000"),
+        ((kind == "purchase") & (no % 3 == 0), text("process ", i, " still waiting for ", F.when(no % 2 == 0, "Share").otherwise("Exclusive"), "Lock on transaction ", n), "WARNING", "01000"),
+        (kind == "purchase", text("there is already a transaction in progress"), "WARNING", "01000"),
+        ((kind == "error") & (no % 5 == 0), text("deadlock detected"), "ERROR", "40P01"),
+        ((kind == "error") & (no % 5 == 1), text("canceling statement due to conflict with recovery"), "ERROR", "57014"),
+        (kind == "error", text('relation "t_', n, '" does not exist'), "ERROR", "42P01"),
+        (no % 9 == 0, text("checkpoint starting: time"), "LOG", "00000"),
+        (no % 9 == 1, text("restartpoint complete: wrote ", n, " buffers"), "LOG", "00000"),
+        (no % 9 == 2, text('automatic vacuum of table "', database, '.public.t": index scans: ', n), "LOG", "00000"),
+        (no % 9 == 3, text("database system is ready to accept connections"), "LOG", "00000"),
+        (no % 9 == 4, text('could not write to file "pg_wal/xlogtemp.', i, '"'), "PANIC", "53100"),
     )
-    by = lambda view, purchase, error: F.when(kind == "purchase", purchase).when(kind == "error", error).otherwise(view)
-    deadlock = F.when(F.col("event_id") % 5 == 0, "40P01").otherwise("42P01")
+    pick = lambda at, other: F.coalesce(*[F.when(s[0], s[at]) for s in shapes], other)
+    temp_file = text('temporary file: path "base/pgsql_tmp/pgsql_tmp', (u + 1000).cast("string"), '.0", size ', (no * 1024).cast("string"))
     return e.select(
-        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC")).alias("log_time"), F.concat(F.lit("u"), u.cast("string")).alias("user"),
-        F.concat(F.lit("db"), (u % 3).cast("string")).alias("database"), (u + 1000).cast("string").alias("process_id"), F.concat(F.lit("10.0.0."), (u % 250).cast("string")).alias("host"), (F.col("event_id") % 1000 + 40000).cast("string").alias("port"),
-        i.alias("session_line_num"), by(F.lit("LOG"), F.lit("WARNING"), F.lit("ERROR")).alias("raw_severity"), by(F.lit("00000"), F.lit("01000"), deadlock).alias("sql_state"), message.alias("message"),
-        F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("first part of "), i, F.lit(", \"quoted\"\n\tsecond part"))).alias("detail"), F.when(kind == "error", F.concat(F.lit("SELECT * FROM t_"), n)).alias("query"), F.lit("psql").alias("application_name"), F.lit("client backend").alias("backend_type"),
+        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC")).alias("log_time"), user.alias("user"),
+        database.alias("database"), (u + 1000).cast("string").alias("process_id"), F.concat(F.lit("10.0.0."), (u % 250).cast("string")).alias("host"), (no % 1000 + 40000).cast("string").alias("port"),
+        i.alias("session_line_num"), pick(2, F.lit("LOG")).alias("raw_severity"), pick(3, F.lit("00000")).alias("sql_state"), pick(1, temp_file).alias("message"),
+        F.when(no % 10 == 0, F.concat(F.lit("first part of "), i, F.lit(", \"quoted\"\n\tsecond part"))).alias("detail"), F.when(kind == "error", F.concat(F.lit("SELECT * FROM t_"), n)).alias("query"), F.lit("psql").alias("application_name"), F.lit("client backend").alias("backend_type"),
     )
 
 
