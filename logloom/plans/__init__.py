@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as L
 from ..schema import RANK, SEVERITIES
+from ..shared import written
 
 WARNING, ERROR, FATAL = RANK["WARNING"], RANK["ERROR"], RANK["FATAL"]
 SAMPLE = 200
@@ -117,16 +118,24 @@ def system(records: DataFrame, top: int = 10) -> dict[str, DataFrame]:
 def grep(records: DataFrame, needle: str, before: int = 0, after: int = 0, ignore_case: bool = False, invert: bool = False, order: tuple[str, ...] = ("file", "offset")) -> DataFrame:
     """Records whose raw text holds needle, with records around; `hit` marks the matches.
 
-    Without context there is no window and no shuffle. With it, order runs over all input, as
-    context crosses files; the rows that the single window sees are (order, hit) alone.
+    Without context there is no shuffle. With it, order runs over all input, as context crosses
+    files: records are numbered by one range partitioning, and each hit asks for the numbers around it.
     """
     raw = F.lower("raw") if ignore_case else F.col("raw")
     hit = F.contains(raw, F.lit(needle.lower() if ignore_case else needle))
     marked = records.withColumn("hit", ~hit if invert else hit)
     if not before and not after:
         return marked.where("hit")
-    w = Window.orderBy(*order).rowsBetween(-after, before)
-    return marked.withColumn("near", F.max(F.col("hit").cast("int")).over(w)).where("near = 1").drop("near")
+    columns = marked.columns
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(marked.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "grep")  # task in the high bits, then the row in it
+    task = F.shiftright("__at", 33)
+    # One row a task; the window sees no more.
+    rows = placed.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("first")
+    placed = placed.join(F.broadcast(rows.select("task", start.alias("__shift"))), task == F.col("task")).withColumn("__no", F.col("__at") + F.col("__shift")).select(*columns, "__no")
+    near = placed.where("hit").select(F.explode(F.sequence(F.col("__no") - before, F.col("__no") + after)).alias("__no")).distinct()
+    return placed.join(near, "__no", "left_semi").select(*columns)
 
 
 def template_groups(records: DataFrame, top: int | None = None) -> DataFrame:
