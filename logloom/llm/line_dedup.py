@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .common import shuffle_partitions, written
 
@@ -131,18 +131,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with only the kept lines in their texts, and line_counts struct<n_lines, n_dropped>.
 
-    A text without a bitmap stays whole; a null text becomes empty. Other columns stay.
+    A text without a bitmap stays whole; a null text becomes empty. Other columns stay, whatever
+    their names, but for one named line_counts, which is replaced.
     """
-    names = docs.columns
-    left = docs.withColumn("__fp", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    right = bitmaps.select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp2"), F.col("keep").alias("__keep"))
-    joined = left.join(right, left[id_col].eqNullSafe(right["__id"]) & (left["__fp"] == right["__fp2"]), "left").select(*names, "__keep")
-    at, schema = names.index(text_col), docs.select(*names).schema
+    rows = docs.drop("line_counts")
+    names, schema = rows.columns, rows.schema
+    left = rows.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("fp"))
+    right = bitmaps.select(F.col(id_col).alias("id2"), F.col("fp").alias("fp2"), "keep")
+    joined = left.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("fp") == F.col("fp2")), "left").select("row", "keep")
+    at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for text, keep in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            cols, texts, counts = batch.column(0).flatten(), [], []
+            for text, keep in zip(cols[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 split = (text or "").split("\n")
                 n = len(split)
                 if keep is not None:
@@ -150,8 +152,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
                     split = [x for x, b in zip(split, bits.tolist(), strict=True) if b]
                 texts.append("\n".join(split))
                 counts.append({"n_lines": n, "n_dropped": n - len(split)})
-            cols = [*batch.columns[: len(names)], pa.array(counts, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64())]))]
-            cols[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "line_counts"])
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64())]))], names=[*names, "line_counts"])
 
-    return joined.mapInArrow(cut, schema.add("line_counts", StructType().add("n_lines", "long").add("n_dropped", "long")))
+    return joined.mapInArrow(cut, StructType([*schema.fields, StructField("line_counts", StructType().add("n_lines", "long").add("n_dropped", "long"))]))

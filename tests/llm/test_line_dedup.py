@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from logloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 
 DOCS = "doc_id long, text string, n_lines string, keep string"
@@ -47,3 +49,11 @@ def test_one_line_in_every_document_over_many_tasks(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_columns_with_the_operators_own_names(spark):
+    line = "a line that is long enough to count"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}", f"k{i}", 1.5, "x") for i in range(4)], "doc_id long, text string, keep string, fp double, line_counts string").withColumns({"row": F.lit(7), "id": F.lit("i")})
+    got = {r.doc_id: r for r in apply_bitmaps(docs, keep_bitmaps(docs)).collect()}
+    assert [got[i].text for i in range(4)] == ["own 0", "own 1", "own 2", f"{line}\nown 3"]
+    assert all((r.keep, r.fp, r.row, r.id) == (f"k{i}", 1.5, 7, "i") and r.line_counts.n_lines == 2 for i, r in got.items())
