@@ -16,7 +16,8 @@ from logloom.queries import _table, records
 from logloom.schema import LogReadOptions
 from logloom.sources.compressed import opened, read_compressed_lines
 from logloom.sources.render import LINES, PREFIX
-from logloom.streaming import FollowReader, follow_records, record_start, whole_records
+from logloom.prefix import record_start
+from logloom.streaming import FollowReader, follow_jsonlog, follow_records, streaming_counts, streaming_peaks, whole_records
 
 SF = "/root/testdata/sf0.001"
 
@@ -118,3 +119,21 @@ def test_sinks(spark):
     assert m.where("key = 'severity'").agg(F.sum("value")).first()[0] == r.count()
     b = sinks.bench_report(parse_lines(LINES["json"](_table(spark, SF, "events")), LogReadOptions("json")))
     assert b["records"] == r.count() and b["malformed"] == 0
+
+
+def test_streaming_jsonlog_peaks_and_counts(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    lines = _day(spark, "json")
+    (logs / "a.json").write_text("\n".join(lines) + "\n")
+    records = follow_jsonlog(spark, str(logs))
+    got = {}
+    for name, stream, mode in (("peaks", streaming_peaks(records, "1 hour"), "complete"), ("counts", streaming_counts(records), "complete")):
+        q = stream.writeStream.format("memory").queryName(f"stream_{name}").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        assert q.awaitTermination(120)
+        got[name] = spark.table(f"stream_{name}").collect()
+    whole = good_records(parse_lines(spark.createDataFrame([("a", i, x) for i, x in enumerate(lines)], "file string, seq long, line string"), LogReadOptions("json")))
+    want = plans.peaks(whole, "1 hour", None)["buckets"].collect()
+    assert sorted(map(tuple, got["peaks"])) == sorted(map(tuple, want)) and len(want) > 3
+    counts = {(r.database, r.severity): r["count"] for r in whole.groupBy("database", "severity").count().collect()}
+    assert {(r.database, r.severity): r["count"] for r in got["counts"]} == counts
