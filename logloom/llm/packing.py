@@ -32,10 +32,13 @@ MERGE_TASKS = 64
 class WordTokenizer:
     """Token ids of whole texts, by way of a bounded cache of words.
 
-    The tokenizer never joins characters across a blank or a line end, nor a letter with the
-    full stops and commas after it, so a text's ids are its words' ids in order.
+    Where a tokenizer never joins characters across a blank or a line end, nor a letter with the
+    full stops and commas after it, and lower-cases, a text's ids are its words' ids in order. A
+    tokenizer that a few probes show to be of another kind encodes whole texts.
     """
 
+    PROBES = ("Hello, World. It's  a test\nnew line\n\nA.B. x,y.. 3.14 ...", "\u00c9t\u00e9 na\u00efve \u0130 \u00df \u4f60\u597d, ok. <|end|> [x] #1", " lead and trail ", "UPPER lower MiXed,", "")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -50,6 +53,14 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_MARK)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_word = bool(self.ends.any()) and self._by_words(list(self.PROBES), b"") == self._whole(list(self.PROBES), b"")
+
+    def texts(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers, followed by the end id."""
+        return (self._by_words if self.by_word else self._whole)(texts, end)
+
+    def _whole(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() + end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
     def _encode(self, words: list[str]) -> None:
         """Words of lower-case letters alone are one run each, which ends at the one id with an end mark: many go in one text."""
@@ -70,8 +81,7 @@ class WordTokenizer:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.young[w] = np.array(e.ids, "<u4").tobytes()
 
-    def texts(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers, followed by the end id."""
+    def _by_words(self, texts: list[str | None], end: bytes) -> list[bytes]:
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old

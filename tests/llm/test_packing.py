@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -63,3 +64,17 @@ def test_best_fit_is_bounded_and_tight(open_bins):
     assert all(sum(items) <= 100 for _, items in closed) and len({n for n, _ in closed}) == len(closed)
     if open_bins == 50:
         assert len(closed) <= 1.05 * sum(lengths) / 100
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r.ids for r in pack(spark.createDataFrame([(i, x, "", "") for i, x in enumerate(TEXTS[:4])], DOCS), path, max_tokens=1 << 16).collect()}
+    assert got == {i: b"".join(x.to_bytes(4, "little") for x in [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in enumerate(TEXTS[:4])}
+
+
+def test_few_more_sequences_than_there_must_be(spark):
+    rng = random.Random(4)
+    rows = [(i, "word " * min(int(rng.paretovariate(0.9) * 60), 9000), "", "") for i in range(6000)]
+    got = pack(spark.createDataFrame(rows, DOCS).repartition(6), tokenizer_path()).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in got}) <= 1.02 * sum(r.length for r in got) / 4096 + 1
