@@ -19,6 +19,11 @@ def nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def json_key(name: Column) -> Column:
+    """A display name as a key: A-Z lower-cased, blanks to underscores."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "abcdefghijklmnopqrstuvwxyz_")
+
+
 def severity(raw: Column, lang: str = "en") -> Column:
     """Normalised severity of a raw one, in English or a message language; null if unknown."""
     names = LOCALES.get(lang, {**{s: s for s in RANK}, "DEBUG": "DEBUG1"})

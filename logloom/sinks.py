@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .functions import json_key
+from .schema import TRUNCATED
+
 #: What a section without rows shows.
 NOTHING = "(nothing to report)"
 
@@ -50,12 +53,32 @@ def manifest(lines: DataFrame, records: DataFrame) -> DataFrame:
     return files.unionByName(severity.select(F.lit("severity").alias("key"), "name", "value"))
 
 
+def watched(parsed: DataFrame, observation: Observation) -> DataFrame:
+    """parsed, with counts of it taken as it is read: records, bytes (line ends included), malformed and truncated."""
+    large = F.coalesce(F.col("_malformed") == "over-large record", F.lit(False))
+    cut = F.col("flags").bitwiseAND(TRUNCATED) != 0
+    return parsed.observe(
+        observation, F.count_if(F.col("_malformed").isNull()).alias("records"), F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).alias("bytes"),
+        F.count_if(F.col("_malformed").isNotNull() & ~large).alias("malformed"), F.count_if(large | cut).alias("truncated"),
+    )
+
+
+def severity_counts(records: DataFrame) -> DataFrame:
+    """One row of counts, a column for each severity that occurs, by its key."""
+    return records.select(json_key(F.coalesce("severity", F.lit("UNKNOWN"))).alias("key")).groupBy().pivot("key").count()
+
+
+def run_medians(runs: DataFrame) -> DataFrame:
+    """(workload, tool, runs, median_s, min_s, max_s, mb_per_second) of runs (workload, tool, seconds, bytes_in)."""
+    s = runs.groupBy("workload", "tool").agg(F.count("*").alias("runs"), F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), F.max("bytes_in").alias("bytes_in"))
+    rate = F.when((F.col("median_s") > 0) & (F.col("bytes_in") > 0), F.col("bytes_in") / (1 << 20) / F.col("median_s")).otherwise(0.0)
+    return s.withColumn("mb_per_second", rate).drop("bytes_in")
+
+
 def bench_report(parsed: DataFrame) -> dict:
     """Parses everything and keeps nothing: records, bytes, malformed, truncated, elapsed_ns, ns_per_record, mb_per_second."""
     import time
 
-    from .schema import TRUNCATED
-
     began = time.perf_counter_ns()
     # Columns of every kind are asked for, so that pruning leaves the parsing in.
     whole = F.xxhash64(*[c for c in parsed.columns if c not in ("file", "offset")])

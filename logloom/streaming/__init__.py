@@ -23,7 +23,7 @@ from ..prefix import record_start
 from ..schema import LogReadOptions
 
 #: Bytes of a file's start that tell it from another of the same name.
-HEAD_BYTES = 64
+HEAD_BYTES = 256
 #: Bytes of one file that one task reads.
 SPLIT_BYTES = 64 << 20
 

@@ -15,6 +15,7 @@ from logloom.operators import good_records, parse_lines
 from logloom.queries import _table, records
 from logloom.schema import LogReadOptions
 from logloom.sources.compressed import opened, read_compressed_lines
+from logloom.sources.files import read_log
 from logloom.sources.render import LINES, PREFIX
 from logloom.prefix import record_start
 from logloom.streaming import FollowReader, follow_jsonlog, follow_records, streaming_counts, streaming_peaks, whole_records
@@ -137,3 +138,18 @@ def test_streaming_jsonlog_peaks_and_counts(spark, tmp_path):
     assert sorted(map(tuple, got["peaks"])) == sorted(map(tuple, want)) and len(want) > 3
     counts = {(r.database, r.severity): r["count"] for r in whole.groupBy("database", "severity").count().collect()}
     assert {(r.database, r.severity): r["count"] for r in got["counts"]} == counts
+
+
+def test_parser_statistics_keys_and_medians(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    good = _day(spark, "json")[:20]
+    (tmp_path / "a.json").write_text("\n".join([*good, "{broken", '{"message":"' + "x" * 5000 + '"}', '{"error_severity":"LOG"}']))
+    seen = Observation("parsed")
+    read = read_log(spark, str(tmp_path / "a.json"), LogReadOptions("json", max_record_bytes=4000), malformed=True)
+    sinks.watched(read, seen).write.format("noop").mode("overwrite").save()
+    assert {k: seen.get[k] for k in ("records", "malformed", "truncated")} == {"records": 21, "malformed": 1, "truncated": 2}
+    counts = sinks.severity_counts(read.where("_malformed IS NULL")).first().asDict()
+    assert sum(counts.values()) == 21 and set(counts) <= {"log", "warning", "error", "fatal", "panic"}
+    runs = spark.createDataFrame([("W1", "a", x, 1 << 20) for x in (3.0, 1.0, 2.0)] + [("W2", "a", 0.0, 0)], "workload string, tool string, seconds double, bytes_in long")
+    assert {r.workload: (r.runs, r.median_s, r.min_s, r.max_s, r.mb_per_second) for r in sinks.run_medians(runs).collect()} == {"W1": (3, 2.0, 1.0, 3.0, 0.5), "W2": (1, 0.0, 0.0, 0.0, 0.0)}
