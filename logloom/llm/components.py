@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import written
 
@@ -20,8 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     # Every edge points from the larger node to the smaller.
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(e):
         # Large star: the larger neighbours of u move to the smallest node around u.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -30,18 +28,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", node: str
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(_dealt(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges", (e,))
-        # Stable when nothing moved: the sums over all edges of both ends stay.
-        now = e.agg(F.count("*"), F.sum(F.col("u").cast(_WIDE)), F.sum(F.col("v").cast(_WIDE))).first()
-        if now == before:
-            break
-        before = now
     named = e.select(F.col("u").alias(node), F.col("v").alias(component)).unionByName(e.select(F.col("v").alias(node), F.col("v").alias(component)).distinct())
     return written(named, "components", (e,))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node either points to one other node, or is pointed to."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("pointed")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("pointed")))
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed"))
+    return nodes.agg(F.count_if((F.col("points") > 1) | (F.col("points") * F.col("pointed") > 0))).first()[0] == 0
+
+
 def _dealt(low: DataFrame) -> DataFrame:
     """A row a node, dealt anew: a join right on its aggregate could not be split at a hub."""
     return low.hint("rebalance")
-
-
-_WIDE = T.DecimalType(38, 0)
