@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, read_table
 from .chat import format_chat, read_loss, read_turns
+from .filter_audit import audit
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .lm import score
 from .mixing import mix
@@ -156,5 +157,36 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k)}
-SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL}
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT [a, b, c, d, e] AS fs, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT array_to_string(list_transform(fs, lambda x: x.f), '') AS filter_order, step, bits[step] AS bit, CAST(list_sum(bits[1:step - 1]) AS INTEGER) AS before FROM orders, unnest([1, 2, 3, 4, 5]) AS t(step)
+), r AS (
+  SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0) AS kept, sum(n) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & coalesce(before, 0) <> 0 AND mask & bit <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & coalesce(before, 0) = 0 AND mask & bit <> 0) AS toxic_lost FROM m, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM r
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k, op11_filter_interaction_audit)}
+SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL}
