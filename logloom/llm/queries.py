@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, read_table
 from .chat import format_chat, read_loss, read_turns
 from .filter_audit import audit
+from .fim import fill_in_middle, restored
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .lm import score
 from .mixing import mix
@@ -188,5 +189,29 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k, op11_filter_interaction_audit)}
-SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return f.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+#: Code points before each token stand for the cuts; what is restored must be the text itself.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS sizes FROM documents
+), c AS (
+  SELECT doc_id, text, sizes, len(sizes) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM d
+), u AS (
+  SELECT *, CAST(coalesce(list_sum(sizes[1:least(hs[1] % (n + 1), hs[2] % (n + 1))]), 0) AS BIGINT) AS a, CAST(coalesce(list_sum(sizes[1:greatest(hs[1] % (n + 1), hs[2] % (n + 1))]), 0) AS BIGINT) AS b,
+    text = '' OR regexp_matches(text, '<[PSM]>') OR hs[3] % 100 >= 90 AS plain FROM c
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN hs[4] % 100 < 20 THEN '<S>' || substr(text, b + 1) || '<P>' || substr(text, 1, a) || '<M>' || substr(text, a + 1, b - a)
+    ELSE '<P>' || substr(text, 1, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a) END) AS output_sha256, sha256(text) AS restored_sha256 FROM u
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k, op11_filter_interaction_audit, op13_fill_in_middle)}
+SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
