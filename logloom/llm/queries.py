@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, read_table
 from .chat import format_chat, read_loss, read_turns
+from .decontaminate import contamination
 from .filter_audit import audit
 from .fim import fill_in_middle, restored
 from .line_dedup import apply_bitmaps, keep_bitmaps
@@ -189,6 +190,33 @@ SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST
 """
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return f.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_ITEM_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH b AS (
+  SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win FROM (SELECT *, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, {_ITEM_WORDS} AS w FROM documents
+), p AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM v))
+), o AS (
+  SELECT DISTINCT doc_id, i, k, item_id FROM p JOIN v USING (k, win)
+), h AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS at FROM o) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM o) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fill_in_middle(read_table(spark, sf_dir, "documents"))
     return f.select(
@@ -213,5 +241,5 @@ SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN hs[4] % 100 < 20 THEN 'spm'
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k, op11_filter_interaction_audit, op13_fill_in_middle)}
-SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_mixing, op7_lm_scoring, op8_token_counts, op9_chat_formatting, op10_exact_top_k, op11_filter_interaction_audit, op12_benchmark_decontamination, op13_fill_in_middle)}
+SQL = {"op2_line_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op9_chat_formatting": _op9_sql(), "op10_exact_top_k": OP10_SQL, "op11_filter_interaction_audit": OP11_SQL, "op12_benchmark_decontamination": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
