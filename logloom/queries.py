@@ -11,7 +11,7 @@ from . import functions as L
 from . import plans
 from .functions.template import with_template
 from .operators import bad_records, good_records, parse_lines
-from .schema import LOCALES, ZONES, LogReadOptions
+from .schema import CSV_COLUMNS, LOCALES, ZONES, LogReadOptions
 from .shared import shared_dir
 from .sources.files import read_log
 from .sources.render import LINES, PREFIX, csv_lines
@@ -186,16 +186,28 @@ _query("record_lines", lambda s, d: records(s, d).select(F.col("session_line_num
 _query("statements", lambda s, d: records(s, d).groupBy(L.normalize_message(L.statement_text()).alias("key")).count().where("key LIKE 'SELECT%'"), E + "SELECT 'SELECT * FROM t_?' AS key, count(*) AS count FROM r WHERE query IS NOT NULL GROUP BY 1")
 
 
+def _written(s: SparkSession, lines: DataFrame) -> str:
+    path = f"{shared_dir(s)}/logloom-rendered-{uuid.uuid4().hex}"
+    lines.repartition(4, "file").sortWithinPartitions("file", "seq").select("line").write.text(path)
+    return path
+
+
 def _files(s: SparkSession, d: str, format_: str, split_bytes: int) -> DataFrame:
     """Records of log files written from the events, read in many small ranges."""
-    path = f"{shared_dir(s)}/logloom-rendered-{uuid.uuid4().hex}"
-    LINES[format_](_table(s, d, "events")).repartition(4, "file").sortWithinPartitions("file", "seq").select("line").write.text(path)
-    return read_log(s, path, LogReadOptions("auto", PREFIX), split_bytes=split_bytes)
+    return read_log(s, _written(s, LINES[format_](_table(s, d, "events"))), LogReadOptions("auto", PREFIX), split_bytes=split_bytes)
 
 
 for _f in LINES:
     _query(f"scan_{_f}", lambda s, d, f=_f: _parsed(_files(s, d, f, 50_000)), E + f"SELECT {_COLUMNS} FROM r")
-_query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).groupBy(F.lit(1).alias("one")).agg(F.count("*").alias("records"), F.countDistinct("file", "offset").alias("places"), F.sum(F.octet_length("raw") + 1).alias("bytes")).select("records", F.col("places") == F.col("records"), "bytes").toDF("records", "distinct_places", "bytes").select("records", "distinct_places"), "SELECT count(*) AS records, TRUE AS distinct_places FROM events")
+_CSV = {"log_time": "strftime(time, '%Y-%m-%d %H:%M:%S.%f') || ' UTC'", "process_id": "process_id", "session_line_num": "event_id", "raw_severity": "severity", "sql_state": "sql_state"} | {
+    c: f"coalesce('\"' || replace({x}, '\"', '\"\"') || '\"', '')" for c, x in {"user": '"user"', "database": '"database"', "connection_from": "host || ':' || (event_id % 1000 + 40000)", "message": "message", "detail": "detail", "query": "query", "application_name": "'psql'", "backend_type": "'client backend'"}.items()}
+_LINE = " || ',' || ".join(_CSV.get(c, "''") for c in CSV_COLUMNS)
+_query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).agg(F.count("*").alias("records"), F.countDistinct("file", "offset").alias("places"), F.sum(F.octet_length("raw") + 1).alias("bytes")),
+       E + f"SELECT count(*) AS records, count(*) AS places, CAST(sum(strlen({_LINE}) + 1) AS BIGINT) AS bytes FROM r")
+#: Details that hold whole lines of a csvlog.
+_INNER = lambda: F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("as logged:\n"), "log_time", F.lit(',"u","d",'), "session_line_num", F.lit(",,\n\n"), "log_time", F.lit(",")))
+_query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, csv_lines(_table(s, d, "events"), 26, _INNER())), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
+       E + f"SELECT {_COLUMNS} FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'as logged:' || chr(10) || {_CSV['log_time']} || ',\"u\",\"d\",' || event_id || ',,' || chr(10) || chr(10) || {_CSV['log_time']} || ',' END AS detail) FROM r)")
 _query("scalar_shapes", lambda s, d: _table(s, d, "events").select(
     "event_id", L.parse_epoch(F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("."), F.date_format("ts", "SSSSSS"))).cast("timestamp_ntz").alias("epoch"),
     *[L.strict_int(F.concat(F.lit(a), F.col("event_id").cast("string"), F.lit(b))).alias(n) for n, a, b in (("plain", "", ""), ("plus", "+", ""), ("minus", "-", ""), ("blank", " ", ""), ("word", "", "x"))],

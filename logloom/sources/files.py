@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import replace
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import good_records, parse_records
 from ..prefix import record_start
 from ..schema import LogReadOptions
-from .scan import LogScan
+from .scan import RECORDS, SPLIT_BYTES, LogScan, _Files, first_of_file, read_from_records
 
 #: Names that a directory is read for, by format.
 GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log"}
@@ -45,8 +46,19 @@ def kinds(spark: SparkSession, path: str | list[str], glob: str | None = None) -
 
 
 def read_records(spark: SparkSession, path: str | list[str], o: LogReadOptions, glob: str | None = None, split_bytes: int | None = None) -> DataFrame:
-    """Framed text (file, offset, raw, ...) of files in a stated format, plain or compressed; no shuffle."""
-    return _scan(spark, [path] if isinstance(path, str) else path, glob, format=o.format, starts=_multiline(record_start(o)), maxrecordbytes=o.max_record_bytes, splitbytes=split_bytes)
+    """Framed text (file, offset, raw, ...) of files in a stated format, plain or compressed.
+
+    No shuffle, but for csvlog files of several ranges: their quotes are counted first, and one row a
+    range is shuffled to find where its first record begins.
+    """
+    paths = [path] if isinstance(path, str) else path
+    if o.format == "csv":
+        split, cap = split_bytes or SPLIT_BYTES, o.max_record_bytes
+        sizes = [size for p in paths for _, size in _Files().list(p, glob)]
+        if any(size >= split for size in sizes):
+            firsts = _scan(spark, paths, glob, quotes="true", maxrecordbytes=cap, splitbytes=split).groupBy("file").applyInArrow(lambda key, rows: first_of_file(key, rows, cap), "file string, start bigint, stop bigint")
+            return firsts.repartition(max(1, math.ceil(sum(sizes) / split))).mapInArrow(lambda batches: read_from_records(batches, cap), RECORDS)
+    return _scan(spark, paths, glob, format=o.format, starts=_multiline(record_start(o)), maxrecordbytes=o.max_record_bytes, splitbytes=split_bytes)
 
 
 def _multiline(starts: str | None) -> str | None:

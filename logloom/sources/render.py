@@ -56,8 +56,10 @@ def json_lines(events: DataFrame) -> DataFrame:
     return _lines(x, F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in names.items()])))
 
 
-def csv_lines(events: DataFrame, columns: int = 26) -> DataFrame:
-    x = logical(events).withColumn("connection_from", F.concat_ws(":", "host", "port"))
+def csv_lines(events: DataFrame, columns: int = 26, detail: Column | None = None) -> DataFrame:
+    """csvlog of so many columns; detail, over the columns of logical, stands for its own."""
+    x = logical(events)
+    x = (x if detail is None else x.withColumn("detail", detail)).withColumn("connection_from", F.concat_ws(":", "host", "port"))
     quoted = ("user", "database", "connection_from", "message", "detail", "query", "application_name", "backend_type")
     field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) if c in quoted else F.coalesce(c, F.lit("")) if c in x.columns else F.lit("")
     return _lines(x, F.concat_ws(",", *[field(c) for c in CSV_COLUMNS[:columns]]))

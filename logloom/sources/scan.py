@@ -2,8 +2,8 @@
 
 A range owns the records whose first byte lies in it. A task that starts within a file moves on to
 the next line that starts a record, and reads past its range's end until its last record is whole.
-A quoted csvlog field that holds a line shaped like a record's start (a timestamp and a comma) can
-mislead a range that begins inside it; jsonlog and stderr have no such case.
+In csvlog a line alone doesn't show that: where its files have several ranges, a pass over their
+quotes comes first (csv_ranges).
 
 Compressed files are told by their first bytes and read as one stream by the range at byte 0.
 """
@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..prefix import detect_format, detect_prefix
 from .compressed import ENDINGS, codec_of
+from .csv_ranges import Summary, first_records, summary
 
 #: Bytes of a file that one task reads, and that it frames at a time.
 SPLIT_BYTES, CHUNK = 32 << 20, 4 << 20
@@ -40,6 +41,8 @@ _BOM = b"\xef\xbb\xbf"
 RECORDS = "file string, offset bigint, raw string, _cut boolean, _large boolean, _fields int, _open boolean"
 _RECORDS = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("raw", pa.string()), ("_cut", pa.bool_()), ("_large", pa.bool_()), ("_fields", pa.int32()), ("_open", pa.bool_())])
 HEADS = "file string, format string, prefix string"
+QUOTES = "file string, bom boolean, packed boolean, start bigint, stop bigint, odd int, newline bigint, first array<bigint>, last array<bigint>, large array<boolean>"
+_QUOTES = pa.schema([("file", pa.string()), ("bom", pa.bool_()), ("packed", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("odd", pa.int32()), ("newline", pa.int64()), ("first", pa.list_(pa.int64())), ("last", pa.list_(pa.int64())), ("large", pa.list_(pa.bool_()))])
 
 
 @dataclass
@@ -58,6 +61,8 @@ class Framed:
     cut: bool = False
     fields: np.ndarray | None = None
     open: np.ndarray | None = None
+    #: Ends with carriage return, where an over-large record is told by them, not by what is buffered.
+    stop: np.ndarray | None = None
 
 
 def _newlines(b: np.ndarray, eof: bool) -> tuple[np.ndarray, bool]:
@@ -99,7 +104,7 @@ def frame_csv(buf: bytes, eof: bool) -> Framed:
     fields = np.searchsorted(commas, end) - np.searchsorted(commas, start) + 1
     stop = _trimmed(b, start, end)
     some = stop > start
-    return Framed(start[some], stop[some], used, cut and bool(some[-1:].any()), fields[some].astype(np.int32), open_[some])
+    return Framed(start[some], stop[some], used, cut and bool(some[-1:].any()), fields[some].astype(np.int32), open_[some], end[some])
 
 
 def frame_stderr(starts: re.Pattern) -> Callable[[bytes, bool], Framed]:
@@ -174,10 +179,18 @@ def _synced(buf: bytes, back: int, format_: str, starts: re.Pattern | None) -> i
     return min(found, default=0)
 
 
-def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, starts: re.Pattern | None, cap: int) -> Iterator[pa.RecordBatch]:
-    """Records whose first byte lies in [start, end) of a stream that stands min(start, BACK) bytes before start."""
-    back = min(start, BACK)
-    frame, buf, base, eof, synced = framer(format_, starts), b"", start - back, False, start == 0
+def _upto(got: Framed, cap: int) -> Framed:
+    """The records before the first over-large one, if its end says so."""
+    if got.stop is None or not len(over := np.flatnonzero(got.stop - got.start > cap)):
+        return got
+    n = over[0]
+    return Framed(got.start[:n], got.end[:n], int(got.start[n]), False, got.fields[:n], got.open[:n])
+
+
+def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, starts: re.Pattern | None, cap: int, at_record: bool = False) -> Iterator[pa.RecordBatch]:
+    """Records whose first byte lies in [start, end) of a stream that stands min(start, BACK) bytes before start, or at start if a record begins there."""
+    back = 0 if at_record else min(start, BACK)
+    frame, buf, base, eof, synced = framer(format_, starts), b"", start - back, False, start == 0 or at_record
     while not eof:
         chunk = f.read(CHUNK)
         eof, buf = not chunk, buf + chunk
@@ -191,7 +204,7 @@ def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, s
                 continue
             buf, base, synced = buf[at:], base + at, True
         while buf:
-            got = frame(buf, eof)
+            got = _upto(frame(buf, eof), cap)
             mine = got.start + base < end if end is not None else np.ones(len(got.start), bool)
             if mine.any():
                 yield _batch(path, base, buf, got, mine, cap)
@@ -274,7 +287,7 @@ class ScanReader(DataSourceReader):
         self.paths, self.glob, self.format = json.loads(options["paths"]), options.get("glob"), options.get("format")
         self.starts = options.get("starts")
         self.cap, self.split = int(options.get("maxrecordbytes", 16 << 20)), int(options.get("splitbytes", SPLIT_BYTES))
-        self.heads = options.get("heads") == "true"
+        self.heads, self.quotes = options.get("heads") == "true", options.get("quotes") == "true"
 
     def partitions(self) -> list[Range]:
         files = [x for p in self.paths for x in _Files().list(p, self.glob)]
@@ -289,6 +302,10 @@ class ScanReader(DataSourceReader):
             held += bytes_
         return out or [Range([])]
 
+    def whole(self, start: int, end: int) -> bool:
+        """A file of one range needs no look at its quotes."""
+        return start == 0 and end < self.split
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files = _Files()
         for path, start, end in partition.parts:
@@ -303,19 +320,48 @@ class ScanReader(DataSourceReader):
                     continue
                 if codec and start:
                     continue  # the range at byte 0 has it all
+                if self.quotes:
+                    f.seek(0)
+                    bom = start == 0 and not codec and f.read(3) == _BOM
+                    s = Summary(start, end) if codec or self.whole(start, end) else summary(f, start, end, self.cap)
+                    yield pa.RecordBatch.from_pylist([vars(s) | {"file": path, "bom": bom, "packed": bool(codec)}], schema=_QUOTES)
+                    continue
                 starts = re.compile(self.starts.encode(), re.MULTILINE) if self.starts else None
                 if start:
                     f.seek(start - min(start, BACK))
                 yield from records(opened(f, codec), path, start, None if codec else end, self.format, starts, self.cap)
 
 
+def first_of_file(key: tuple, rows: pa.Table, cap: int) -> pa.Table:
+    """(file, start, stop) of the reads that give each record of a file once: every range with a record's start, from there; stop is null for a packed file."""
+    path, rows = key[0].as_py(), sorted(rows.to_pylist(), key=lambda r: r["start"])
+    if rows[0]["packed"]:
+        found = [(0, None, 0)]
+    else:
+        ranges = [Summary(r["start"], r["stop"], r["odd"], r["newline"], tuple(r["first"]), tuple(r["last"]), tuple(r["large"])) for r in rows]
+        with _Files().open(path) as f:
+            found = list(first_records(f, ranges, cap, rows[0]["bom"]))
+    # The first range is read from the file's start, as it may have a byte order mark.
+    return pa.table({"file": [path] * len(found), "start": pa.array([0 if a == 0 else x for a, _, x in found], pa.int64()), "stop": pa.array([b for _, b, _ in found], pa.int64())})
+
+
+def read_from_records(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """Records of rows (file, start, stop), each of which starts with one."""
+    files = _Files()
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        with files.open(row["file"]) as f:
+            codec = codec_at(f, row["file"])
+            f.seek(row["start"])
+            yield from records(opened(f, codec), row["file"], row["start"], row["stop"], "csv", None, cap, at_record=True)
+
+
 class LogScan(DataSource):
     @classmethod
     def name(cls) -> str:
         return "logloom_scan"
 
     def schema(self) -> str:
-        return HEADS if self.options.get("heads") == "true" else RECORDS
+        return HEADS if self.options.get("heads") == "true" else QUOTES if self.options.get("quotes") == "true" else RECORDS
 
     def reader(self, schema) -> ScanReader:
         return ScanReader(dict(self.options))

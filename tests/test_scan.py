@@ -12,7 +12,7 @@ import zstandard
 
 from logloom.prefix import record_start
 from logloom.schema import LogReadOptions
-from logloom.sources import scan
+from logloom.sources import csv_ranges, scan
 from logloom.sources.files import kinds, read_log
 
 PREFIX = "%m [%p] %q%u@%d "
@@ -39,11 +39,14 @@ def texts(format_, n=60):
 def found(data, format_, cuts, cap=16 << 20):
     pattern = record_start(LogReadOptions(format_, PREFIX))
     starts = re.compile(b"^(?:" + pattern.encode() + b")", re.MULTILINE) if pattern else None
-    rows = []
-    for a, b in zip(cuts, cuts[1:]):
-        f = io.BytesIO(data)
-        f.seek(a - min(a, scan.BACK))
-        for batch in scan.records(f, "p", a, b, format_, starts, cap):
+    rows, f = [], io.BytesIO(data)
+    ranges = list(zip(cuts, cuts[1:]))
+    if format_ == "csv":
+        bom = data.startswith(b"\xef\xbb\xbf")
+        ranges = [(0 if a == 0 else first, b) for a, b, first in csv_ranges.first_records(f, [csv_ranges.summary(f, a, b, cap) for a, b in ranges], cap, bom)]
+    for a, b in ranges:
+        f.seek(a if format_ == "csv" else a - min(a, scan.BACK))
+        for batch in scan.records(f, "p", a, b, format_, starts, cap, at_record=format_ == "csv"):
             rows += batch.to_pylist()
     return rows
 
@@ -66,6 +69,32 @@ def test_any_cut_gives_each_record_once(monkeypatch, format_, end):
         assert found(data, format_, cuts) == whole
 
 
+def test_lines_in_fields_that_look_like_records():
+    inner = "text\n" + "\n".join(csv_record(i, "inner").replace('"', '""') for i in range(3)) + "\n\n2026-01-02 03:04:05.000 UTC,"
+    want = [csv_record(i, inner if i % 2 else "plain") for i in range(8)]
+    data = ("\n".join(want) + "\n").encode()
+    whole = found(data, "csv", [0, len(data)])
+    assert [r["raw"] for r in whole] == want
+    assert all(found(data, "csv", [0, c, len(data)]) == whole for c in range(1, len(data)))
+    for size in (1, 7, 100, 333):
+        assert found(data, "csv", [*range(0, len(data), size), len(data)]) == whole
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 1 << 20])
+def test_any_bytes_are_framed_alike_in_any_ranges(monkeypatch, chunk):
+    """Stray quotes, blank lines and records over the limit included."""
+    monkeypatch.setattr(scan, "CHUNK", chunk)
+    monkeypatch.setattr(csv_ranges, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    for n in range(300):
+        data = b"".join(rng.choices([b'"', b"\n", b"\r\n", b"a", b",", b"bcd" * 4, b'","', b"\xef\xbb\xbf"], weights=[2, 3, 1, 8, 3, 2, 1, 1], k=rng.randint(1, 120)))
+        cap = rng.choice([8, 20, 60, 1 << 20])
+        whole = found(data, "csv", [0, len(data)], cap)
+        for _ in range(6):
+            cuts = [0, *sorted(rng.sample(range(1, len(data)), min(len(data) - 1, rng.randint(1, 9)))), len(data)]
+            assert found(data, "csv", cuts, cap) == whole, (data, cap, cuts)
+
+
 def test_lines_after_blank_ones_start_records_in_any_range():
     data = b"\n".join([b"2026-01-02 03:04:05.000 UTC [1] u@d LOG:  a", b"", b"stray", b"more", b"", b"", b"2026-01-02 03:04:05.000 UTC [2] u@d LOG:  b", b""])
     whole = found(data, "stderr", [0, len(data)])
