@@ -55,6 +55,9 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
         self.by_word = bool(self.ends.any()) and self._by_words(list(self.PROBES), b"") == self._whole(list(self.PROBES), b"")
 
+    def _normal(self, word: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(word) if self.tokenizer.normalizer else word
+
     def texts(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, followed by the end id."""
         return (self._by_words if self.by_word else self._whole)(texts, end)
@@ -92,8 +95,8 @@ class WordTokenizer:
         todo, built = set(), []
         for w in unseen.difference(old):
             core = w.rstrip(".,")
-            if not core or not core[-1].isalpha():
-                core = w
+            if not core or not core[-1].isalpha() or not core.isascii() and not self._normal(core)[-1:].isalpha():
+                core = w  # what normalising leaves at the end may join what follows, as a combining mark does
             low = core.lower() if core.isascii() and "<|" not in core else core
             todo.add(low)
             if low != w:

@@ -1,11 +1,12 @@
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
 import pytest
 from tokenizers import Tokenizer
 
-from logloom.llm.packing import BestFit, pack
+from logloom.llm.packing import BestFit, WordTokenizer, pack
 from logloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, sequence_id string, piece string"
@@ -78,3 +79,20 @@ def test_few_more_sequences_than_there_must_be(spark):
     rows = [(i, "word " * min(int(rng.paretovariate(0.9) * 60), 9000), "", "") for i in range(6000)]
     got = pack(spark.createDataFrame(rows, DOCS).repartition(6), tokenizer_path()).select("sequence_id", "length").collect()
     assert len({r.sequence_id for r in got}) <= 1.02 * sum(r.length for r in got) / 4096 + 1
+
+
+def test_words_are_encoded_as_in_whole_texts_whatever_their_letters():
+    w = WordTokenizer(tokenizer_path())
+    assert w.by_word
+    # Assigned code points but the large blocks of ideographs and syllables, of which every 97th.
+    points = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs") and (c % 97 == 0 or not 0x3400 <= c < 0xD7A4 and not c >= 0x17000)]
+    for form in ("{}", "a{}", "{}a", "a{},", "{}.", "É{}a.,", "{}{}..", "ab,{}", "A{} {}."):
+        texts = [form.replace("{}", c) for c in points]
+        assert w._by_words(texts, b"") == w._whole(texts, b""), form
+
+
+def test_random_texts_of_letters_that_lower_casing_parts():
+    w, rng = WordTokenizer(tokenizer_path()), random.Random(61)
+    some = ["İ", "क़", "ড়", "é", "é", "ß", "ſ", "ǅ", "Σ", "ς", "a", "B", ".", ",", " ", "\n", "ͅ", "1", "'s"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(20_000)]
+    assert w._by_words(texts, b"") == w._whole(texts, b"")
