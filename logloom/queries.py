@@ -13,8 +13,9 @@ from .functions.template import with_template
 from .operators import bad_records, good_records, parse_lines
 from .schema import CSV_COLUMNS, LOCALES, ZONES, LogReadOptions
 from .shared import shared_dir
-from .sources.files import read_log
+from .sources.files import Remote, read_log
 from .sources.render import LINES, PREFIX, csv_lines
+from .sources.stores import FileStore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +209,36 @@ _query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).agg(F.count("*")
 _INNER = lambda: F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("as logged:\n"), "log_time", F.lit(',"u","d",'), "session_line_num", F.lit(",,\n\n"), "log_time", F.lit(",")))
 _query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, csv_lines(_table(s, d, "events"), 26, _INNER())), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
        E + f"SELECT {_COLUMNS} FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'as logged:' || chr(10) || {_CSV['log_time']} || ',\"u\",\"d\",' || event_id || ',,' || chr(10) || chr(10) || {_CSV['log_time']} || ',' END AS detail) FROM r)")
+
+
+class _Folder:
+    """A session of a server whose log directory is a folder that Arrow's file systems reach."""
+
+    def __init__(self, path: str):
+        self.path, self.files = path, FileStore()
+
+    def __call__(self) -> _Folder:
+        return self
+
+    def list(self) -> list[tuple]:
+        return [(p.rsplit("/", 1)[1], size) for p, size in self.files.list(self.path, None)]
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        with self.files.open(f"{self.path}/{path.rsplit('/', 1)[1]}") as f:
+            f.seek(offset)
+            return f.read(length)
+
+    def close(self) -> None:
+        pass
+
+
+def _remote(s: SparkSession, d: str) -> DataFrame:
+    """Details with whole log lines, read from a remote directory in chunks."""
+    server = _Folder(_written(s, csv_lines(_table(s, d, "events"), 26, _INNER())))
+    return read_log(s, "/srv/log", LogReadOptions("csv"), glob="part-*", remote=Remote(server, 40_000, connections=8))
+
+
+_query("scan_remote", lambda s, d: _parsed(_remote(s, d)), SQL["scan_csv_embedded"])
 _query("scalar_shapes", lambda s, d: _table(s, d, "events").select(
     "event_id", L.parse_epoch(F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("."), F.date_format("ts", "SSSSSS"))).cast("timestamp_ntz").alias("epoch"),
     *[L.strict_int(F.concat(F.lit(a), F.col("event_id").cast("string"), F.lit(b))).alias(n) for n, a, b in (("plain", "", ""), ("plus", "+", ""), ("minus", "-", ""), ("blank", " ", ""), ("word", "", "x"))],

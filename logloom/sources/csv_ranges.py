@@ -85,20 +85,34 @@ def _walk(f: BinaryIO, at: int, start: int, stop: int, cap: int) -> tuple[int |
     return next((at + x for x in begins if start <= at + x < stop), None), state
 
 
+def _step(f: BinaryIO, s: Summary, state: _State, cap: int) -> tuple[int | None, _State]:
+    """The first record start in a range, if it has one, and the state behind it."""
+    p, at = state.odd, state.open
+    ends = s.last[p]
+    if state.passing:
+        return (None, state) if s.newline is None else _walk(f, s.newline, s.start, s.stop, cap)
+    if s.large[p] or (s.first[p] or s.stop + 1) - 1 - at > cap or s.stop - (ends or at) > cap:
+        return _walk(f, at, s.start, s.stop, cap)
+    return at if at >= s.start else s.first[p], _State(ends or at, (p + s.odd) % 2)
+
+
 def first_records(f: BinaryIO, ranges: list[Summary], cap: int, bom: bool) -> Iterator[tuple[int, int, int]]:
     """(range start, range stop, where its first record begins) of the ranges, in order, of a file; ranges without one are left out."""
     state = _State(3 if bom else 0)
     for s in ranges:
-        p, at = state.odd, state.open
-        ends = s.last[p]
-        if state.passing:
-            if s.newline is None:
-                continue
-            first, state = _walk(f, s.newline, s.start, s.stop, cap)
-        elif s.large[p] or (s.first[p] or s.stop + 1) - 1 - at > cap or s.stop - (ends or at) > cap:
-            first, state = _walk(f, at, s.start, s.stop, cap)
-        else:
-            first = at if at >= s.start else s.first[p]
-            state = _State(ends or at, (p + s.odd) % 2)
+        first, state = _step(f, s, state, cap)
         if first is not None and first < s.stop:
             yield s.start, s.stop, first
+
+
+def whole_until(f: BinaryIO, start: int, stop: int, cap: int) -> int:
+    """Where the last whole record before stop ends, from a record start on.
+
+    Of an over-large record that isn't at its end yet, whole lines count.
+    """
+    state, line = _State(start), start
+    for at in range(start, stop, 8 * CHUNK):
+        s = summary(f, at, min(at + 8 * CHUNK, stop), cap)
+        _, state = _step(f, s, state, cap)
+        line = max(line, *(x for x in (*s.last, line) if x is not None))
+    return line if state.passing else state.open

@@ -1,5 +1,9 @@
 """Batch source of whole log records: byte ranges of files, each task cutting at record starts.
 
+Files are those of a file system or of a server's log directory (stores); a record that spans
+ranges, or a remote file's chunks, is read on by the task that has its start, which holds what is
+not framed yet and one chunk more.
+
 A range owns the records whose first byte lies in it. A task that starts within a file moves on to
 the next line that starts a record, and reads past its range's end until its last record is whole.
 In csvlog a line alone doesn't show that: where its files have several ranges, a pass over their
@@ -10,13 +14,6 @@ Compressed files are told by their first bytes and read as one stream by the ran
 
 from __future__ import annotations
 
-import bz2
-import fnmatch
-import gzip
-import io
-import lzma
-import os
-import posixpath
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..prefix import detect_format, detect_prefix
-from .compressed import ENDINGS, codec_of
 from .csv_ranges import Summary, first_records, summary
+from .stores import CHUNK_BYTES, opened, store
 
 #: Bytes of a file that one task reads, and that it frames at a time.
 SPLIT_BYTES, CHUNK = 32 << 20, 4 << 20
@@ -223,63 +220,6 @@ def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, s
             buf, base = buf[line or len(buf) :], base + (line or len(buf))
 
 
-class _Files:
-    """Files by path or by URI; what Arrow's file systems reach."""
-
-    def __init__(self):
-        self.known: dict[str, object] = {}
-
-    def _of(self, path: str):
-        from pyarrow import fs
-
-        scheme = path.split("://", 1)[0] if "://" in path else ""
-        if scheme in ("", "file"):
-            return fs.LocalFileSystem(), path.removeprefix("file://")
-        name = posixpath.join(*path.split("/", 3)[:3]) if scheme else ""
-        if name not in self.known:
-            self.known[name] = fs.FileSystem.from_uri(path)[0]
-        return self.known[name], path.split("://", 1)[1]
-
-    def open(self, path: str) -> BinaryIO:
-        f, at = self._of(path)
-        return f.open_input_file(at)
-
-    def list(self, path: str, glob: str | None) -> list[tuple[str, int]]:
-        """(path, size) of a file, or of the files of a directory, hidden ones aside, by name; FileNotFoundError for neither."""
-        from pyarrow import fs
-
-        f, at = self._of(path)
-        uri = path[: len(path) - len(at)] if path.endswith(at) else ""
-        if any(c in posixpath.basename(at) for c in "*?["):
-            at, glob = posixpath.split(at)
-        info = f.get_file_info(at)
-        if info.type == fs.FileType.NotFound:
-            raise FileNotFoundError(f"no such path: {path}")
-        if info.type == fs.FileType.File:
-            return [(uri + at, info.size)]
-        found = f.get_file_info(fs.FileSelector(at))
-        return sorted((uri + x.path, x.size) for x in found if x.type == fs.FileType.File and not x.base_name.startswith((".", "_")) and (not glob or fnmatch.fnmatchcase(x.base_name, glob)))
-
-
-def opened(f: BinaryIO, codec: str | None) -> BinaryIO:
-    if codec == "zstd":
-        import zstandard
-
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True))
-    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[codec](f) if codec else f
-
-
-def codec_at(f: BinaryIO, path: str) -> str | None:
-    """The codec that a file's bytes show; ValueError where its name promises one that they don't."""
-    head = f.read(8)
-    f.seek(0)
-    codec = codec_of(head)
-    promised = next((c for ending, c in ENDINGS.items() if path.endswith(ending)), None)
-    if promised and codec is None and head:
-        raise ValueError(f"{path} is not a {promised} file")
-    return codec
-
-
 class ScanReader(DataSourceReader):
     def __init__(self, options: dict):
         import json
@@ -287,11 +227,16 @@ class ScanReader(DataSourceReader):
         self.paths, self.glob, self.format = json.loads(options["paths"]), options.get("glob"), options.get("format")
         self.starts = options.get("starts")
         self.cap, self.split = int(options.get("maxrecordbytes", 16 << 20)), int(options.get("splitbytes", SPLIT_BYTES))
+        self.server, self.chunk, self.most = options.get("server"), int(options.get("chunkbytes", CHUNK_BYTES)), int(options.get("connections", 0))
         self.heads, self.quotes = options.get("heads") == "true", options.get("quotes") == "true"
 
     def partitions(self) -> list[Range]:
-        files = [x for p in self.paths for x in _Files().list(p, self.glob)]
-        cuts = [(path, at, min(at + self.split, size)) for path, size in files if size for at in (range(0, size, self.split) if not self.heads else [0])]
+        files = store(self.server, self.chunk)
+        try:
+            found = [x for p in self.paths for x in files.list(p, self.glob)]
+        finally:
+            files.close()
+        cuts = [(path, at, min(at + self.split, size)) for path, size in found if size for at in (range(0, size, self.split) if not self.heads else [0])]
         out, held = [], 0
         for path, at, end in cuts:
             bytes_ = HEAD_BYTES if self.heads else end - at
@@ -300,6 +245,8 @@ class ScanReader(DataSourceReader):
                 held = 0
             out[-1].parts.append((path, at, end))
             held += bytes_
+        if self.most and len(out) > self.most:  # neighbouring ranges share a task, and so a connection
+            out = [Range([x for r in part for x in r.parts]) for i in range(self.most) if (part := out[i * len(out) // self.most : (i + 1) * len(out) // self.most])]
         return out or [Range([])]
 
     def whole(self, start: int, end: int) -> bool:
@@ -307,10 +254,16 @@ class ScanReader(DataSourceReader):
         return start == 0 and end < self.split
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        files = _Files()
+        files = store(self.server, self.chunk)
+        try:
+            yield from self._read(files, partition)
+        finally:
+            files.close()
+
+    def _read(self, files, partition: Range) -> Iterator[pa.RecordBatch]:
         for path, start, end in partition.parts:
             with files.open(path) as f:
-                codec = codec_at(f, path)
+                codec = files.codec(f, path)
                 if self.heads:
                     head = opened(f, codec).read(HEAD_BYTES).removeprefix(_BOM).decode("utf-8", "replace")
                     lines = [x for x in head.split("\n") if x.strip()][:HEAD_LINES]
@@ -332,27 +285,34 @@ class ScanReader(DataSourceReader):
                 yield from records(opened(f, codec), path, start, None if codec else end, self.format, starts, self.cap)
 
 
-def first_of_file(key: tuple, rows: pa.Table, cap: int) -> pa.Table:
+def first_of_file(key: tuple, rows: pa.Table, cap: int, server: str | None, chunk: int) -> pa.Table:
     """(file, start, stop) of the reads that give each record of a file once: every range with a record's start, from there; stop is null for a packed file."""
     path, rows = key[0].as_py(), sorted(rows.to_pylist(), key=lambda r: r["start"])
     if rows[0]["packed"]:
         found = [(0, None, 0)]
     else:
         ranges = [Summary(r["start"], r["stop"], r["odd"], r["newline"], tuple(r["first"]), tuple(r["last"]), tuple(r["large"])) for r in rows]
-        with _Files().open(path) as f:
-            found = list(first_records(f, ranges, cap, rows[0]["bom"]))
+        files = store(server, chunk)
+        try:
+            with files.open(path) as f:
+                found = list(first_records(f, ranges, cap, rows[0]["bom"]))
+        finally:
+            files.close()
     # The first range is read from the file's start, as it may have a byte order mark.
     return pa.table({"file": [path] * len(found), "start": pa.array([0 if a == 0 else x for a, _, x in found], pa.int64()), "stop": pa.array([b for _, b, _ in found], pa.int64())})
 
 
-def read_from_records(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+def read_from_records(batches: Iterator[pa.RecordBatch], cap: int, server: str | None, chunk: int) -> Iterator[pa.RecordBatch]:
     """Records of rows (file, start, stop), each of which starts with one."""
-    files = _Files()
-    for row in (r for batch in batches for r in batch.to_pylist()):
-        with files.open(row["file"]) as f:
-            codec = codec_at(f, row["file"])
-            f.seek(row["start"])
-            yield from records(opened(f, codec), row["file"], row["start"], row["stop"], "csv", None, cap, at_record=True)
+    files = store(server, chunk)
+    try:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            with files.open(row["file"]) as f:
+                codec = files.codec(f, row["file"])
+                f.seek(row["start"])
+                yield from records(opened(f, codec), row["file"], row["start"], row["stop"], "csv", None, cap, at_record=True)
+    finally:
+        files.close()
 
 
 class LogScan(DataSource):
