@@ -25,7 +25,7 @@ from .sources.files import read_log
 OK, ERROR, NO_INPUT = 0, 1, 2
 REPORTS = ("parse", "stats", "errors", "slow", "connections", "locks", "peaks", "system", "grep", "bench", "patterns")
 _FORMATS = {"": "auto", "auto": "auto", "stderr": "stderr", "csv": "csv", "csvlog": "csv", "json": "json", "jsonlog": "json"}
-_SECONDS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+_SECONDS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
 
 
 class Usage(Exception):
@@ -38,11 +38,18 @@ class _Parser(argparse.ArgumentParser):
 
 
 def seconds(text: str) -> float:
-    """A duration such as 500ms, 10m or 1h30m."""
-    parts = re.findall(r"(\d+(?:\.\d+)?)(ns|us|ms|s|m|h)", text)
-    if not parts or "".join(a + b for a, b in parts) != text:
+    """A duration such as 500ms, 10m, 1h30m or -1s; 0 needs no unit."""
+    sign, rest = (-1, text[1:]) if text[:1] == "-" else (1, text.removeprefix("+"))
+    parts = re.findall(r"(\d+(?:\.\d+)?)(ns|us|µs|ms|s|m|h)", rest)
+    if rest != "0" and (not parts or "".join(a + b for a, b in parts) != rest):
         raise Usage(f"not a duration: {text!r}")
-    return sum(float(a) * _SECONDS[b] for a, b in parts)
+    return sign * sum(float(a) * _SECONDS[b] for a, b in parts)
+
+
+def bucket(text: str) -> str:
+    """Length of a window for a duration: ten minutes for none or less, a microsecond at least."""
+    s = seconds(text)
+    return f"{max(1, round(s * 1e6))} microseconds" if s > 0 else "10 minutes"
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -63,6 +70,9 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("-v", "--invert", action="store_true")
     p.add_argument("-B", "--before", type=int, default=0)
     p.add_argument("-A", "--after", type=int, default=0)
+    p.add_argument("-C", "--context", type=int, default=0, help="grep: as -B and -A of so many")
+    p.add_argument("--jobs", type=int, default=0, help="tasks at a time where no session is given (default: one per CPU)")
+    p.add_argument("--no-color", action="store_true", help="output never has colours")
     return p
 
 
@@ -76,18 +86,20 @@ class Result:
 
 def report(records: DataFrame, a: argparse.Namespace) -> Result:
     top = a.top if a.top > 0 else 10
+    in_order = lambda df: df.orderBy("file", "offset")
     if a.report == "parse":
+        records = in_order(records)
         return Result(rows=plans.ndjson(records) if a.output == "json" else records.select(plans.L.record_line().alias("value")))
     if a.report == "grep":
         if not a.pattern:
             raise Usage("grep needs --pattern")
-        found = plans.grep(records, a.pattern, a.before, a.after, a.ignore_case, a.invert)
+        found = in_order(plans.grep(records, a.pattern, a.before or a.context, a.after or a.context, a.ignore_case, a.invert))
         return Result(rows=plans.ndjson(found) if a.output == "json" else found.select(F.col("raw").alias("value")))
     if a.report == "patterns":
         return Result({"pattern": plans.template_groups(records, top)})
     run = {
         "stats": lambda: plans.stats(records), "errors": lambda: plans.errors(records, top), "connections": lambda: plans.connections(records, top), "locks": lambda: plans.locks(records, top),
-        "slow": lambda: plans.slow(records, top, int(seconds(a.min_duration) * 1e9)), "peaks": lambda: plans.peaks(records, f"{int(seconds(a.bucket))} seconds", top), "system": lambda: plans.system(records, top),
+        "slow": lambda: plans.slow(records, top, int(seconds(a.min_duration) * 1e9)), "peaks": lambda: plans.peaks(records, bucket(a.bucket), top), "system": lambda: plans.system(records, top),
     }[a.report]
     return Result(run())
 
@@ -99,27 +111,27 @@ def main(argv: list[str], spark: SparkSession | None = None, stdin: TextIO | Non
         if a.format not in _FORMATS:
             raise Usage(f"unknown --format {a.format!r}; use stderr, csvlog or jsonlog")
         seconds(a.min_duration), seconds(a.bucket)
-    except Usage as e:
+        begin, end = (plans.time_literal(x) if x else None for x in (a.begin, a.end))
+    except (Usage, ValueError) as e:
         print(f"logloom: {e}", file=err)
         return ERROR
     except SystemExit:  # --help
         return OK
-    spark = spark or SparkSession.builder.appName("logloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = spark or (SparkSession.builder.master(f"local[{a.jobs}]") if a.jobs > 0 else SparkSession.builder).appName("logloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     options = LogReadOptions(_FORMATS[a.format], a.line_prefix, a.lang)
     try:
         paths, spooled = a.paths, None
         if not paths:
-            lines = [(x.removesuffix("\n"),) for x in stdin]
-            if not lines:
+            spooled = _spool(spark, stdin)
+            if not spooled:
                 print("logloom: no input matched", file=err)
                 return NO_INPUT
-            spooled = _spool(spark, lines)
             paths = [spooled]
         parsed = read_log(spark, paths, options, malformed=True, glob="*" if spooled else None)
         if a.report == "bench":
             print(sinks.text_report({"summary": spark.createDataFrame([sinks.bench_report(parsed)])}), file=out)
             return OK
-        records = plans.in_range(parsed.where("_malformed IS NULL").drop("_malformed"), a.begin, a.end)
+        records = plans.in_range(parsed.where("_malformed IS NULL").drop("_malformed"), begin, end)
         if records.isEmpty():
             print("logloom: no input matched", file=err)
             return NO_INPUT
@@ -141,11 +153,24 @@ def main(argv: list[str], spark: SparkSession | None = None, stdin: TextIO | Non
     return OK
 
 
-def _spool(spark: SparkSession, lines: list[tuple[str]]) -> str:
-    """Standard input as one text file in the shared folder."""
-    path = f"{shared_dir(spark)}/logloom-stdin-{uuid.uuid4().hex}"
-    spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
-    return path
+#: Characters of standard input that are held at a time.
+SPOOL_CHARS = 1 << 20
+
+
+def _spool(spark: SparkSession, stdin: TextIO) -> str | None:
+    """Standard input as one file in the shared folder, piece by piece; None if it is empty."""
+    piece = stdin.read(SPOOL_CHARS)
+    if not piece:
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/logloom-stdin-{uuid.uuid4().hex}/stdin")
+    out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    try:
+        while piece:
+            out.write(bytearray(piece.encode("utf-8", "surrogateescape")))
+            piece = stdin.read(SPOOL_CHARS)
+    finally:
+        out.close()
+    return path.getParent().toString()
 
 
 if __name__ == "__main__":

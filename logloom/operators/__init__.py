@@ -64,9 +64,25 @@ def _cut_of(lines: DataFrame) -> list[str]:
     return ["_cut"] if "_cut" in lines.columns else []
 
 
+#: A backslash before what may be no escape, or half of a surrogate pair; and the pieces that a text with one is cut into.
+_ODD_ESCAPE = r'\\(?:[^"\\/bfnrtu]|u(?![0-9a-fA-F]{4})|u[dD][89a-fA-F])'
+_PIECES = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|(?s:\\.)|[^\\]+|\\"
+
+
+def mended_json(raw: Column) -> Column:
+    """JSON text with escapes that are none kept as they are written, and lone surrogates as U+FFFD."""
+
+    def piece(x: Column) -> Column:
+        lone = (F.length(x) == 6) & x.rlike(r"^\\u[dD][89a-fA-F]")
+        known = ~x.startswith("\\") | x.rlike(r'^\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})')
+        return F.when(lone, F.lit("\\ufffd")).when(known, x).otherwise(F.concat(F.lit("\\"), x))
+
+    return F.when(F.contains(raw, F.lit("\\")) & raw.rlike(_ODD_ESCAPE), F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_PIECES), F.lit(0)), piece), "")).otherwise(raw)
+
+
 def json_records(records: DataFrame, o: LogReadOptions) -> DataFrame:
     schema = ", ".join(f"`{k}` string" for k in JSON_KEYS) + ", _corrupt string"
-    j = records.where(F.trim("raw") != "").withColumn("j", F.from_json("raw", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowUnquotedControlChars": "true"}))
+    j = records.where(F.trim("raw") != "").withColumn("mended", mended_json(F.col("raw"))).withColumn("j", F.from_json("mended", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowUnquotedControlChars": "true"}))
     k = lambda n: F.col("j")[n]
     names = {"log_time": "timestamp", "user": "user", "database": "dbname", "process_id": "pid", "session_id": "session_id", "session_line_num": "line_num", "command_tag": "ps", "session_start": "session_start",
              "virtual_xid": "vxid", "transaction_id": "txid", "raw_severity": "error_severity", "sql_state": "state_code", "message": "message", "detail": "detail", "hint": "hint", "internal_query": "internal_query",
@@ -74,7 +90,7 @@ def json_records(records: DataFrame, o: LogReadOptions) -> DataFrame:
     place = F.concat_ws(":", k("file_name"), k("file_line_num"))
     # Values are flat. A second bracket is rare enough to look at the whole object again.
     inner = F.substring(F.ltrim("raw"), 2, 1 << 30)
-    nested = (F.contains(inner, F.lit("{")) | F.contains(inner, F.lit("["))) & F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).rlike(": (OBJECT|ARRAY)<"), F.lit(False))
+    nested = (F.contains(inner, F.lit("{")) | F.contains(inner, F.lit("["))) & F.coalesce(F.schema_of_variant(F.try_parse_json("mended")).rlike(": (OBJECT|ARRAY)<"), F.lit(False))
     return j.withColumns({c: k(n) for c, n in names.items()} | {
         "connection_from": F.when(L.nonempty(k("remote_host")).isNotNull(), F.concat_ws(":", k("remote_host"), L.nonempty(k("remote_port")))),
         "location": F.concat_ws(", ", L.nonempty(k("func_name")), L.nonempty(place)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,25 @@ WARNING, ERROR, FATAL = RANK["WARNING"], RANK["ERROR"], RANK["FATAL"]
 SAMPLE = 200
 
 
+_TIME = re.compile(r"(\d{4}-\d\d-\d\d)(?: (\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?|(\d{4}-\d\d-\d\d)T(\d{1,2}):(\d\d):(\d\d)(?:[.,](\d+))?(Z|[+-]\d\d:\d\d)", re.ASCII)
+
+
+def time_literal(text: str) -> datetime:
+    """A date, a date with H:M, H:M:S or H:M:S.fraction, in UTC, or RFC 3339 with its zone; ValueError for anything else."""
+    if m := _TIME.fullmatch(text):
+        day, hour, minute, second, fraction = (m[1], m[2], m[3], m[4], m[5]) if m[1] else (m[6], m[7], m[8], m[9], m[10])
+        zone = "+00:00" if m[11] in (None, "Z") else m[11]
+        try:
+            return datetime.fromisoformat(f"{day}T{int(hour or 0):02d}:{minute or '00'}:{second or '00'}.{(fraction or '0')[:6]:0<6}{zone}")
+        except ValueError:
+            pass  # no such day or time
+    raise ValueError(f"cannot parse time {text!r}; try 2006-01-02 15:04:05")
+
+
 def in_range(records: DataFrame, begin=None, end=None) -> DataFrame:
-    """Records of begin <= time < end, and those without a time."""
+    """Records of begin <= time < end, and those without a time; bounds are time literals or values of a timestamp."""
     keep = F.lit(True)
+    begin, end = (time_literal(x) if isinstance(x, str) else x for x in (begin, end))
     if begin is not None:
         keep = keep & (F.col("time") >= F.lit(begin))
     if end is not None:
@@ -148,11 +167,17 @@ def template_groups(records: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.orderBy(F.desc("count"), "pattern_id").limit(top)
 
 
+def rfc3339(c: str) -> Column:
+    """A timestamp with as many digits of its fraction as it needs."""
+    fraction = F.rtrim(F.date_format(c, ".SSSSSS"), F.lit("0"))
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == ".", "").otherwise(fraction), F.date_format(c, "XXX"))
+
+
 def ndjson(records: DataFrame) -> DataFrame:
     """One JSON object a record, fields in fixed order; empty and zero values are left out."""
     zero = lambda c: F.nullif(F.col(c), F.lit(0)).alias(c)
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c)
-    fields = [stamp("time"), stamp("session_start"), *[L.nonempty(F.col(c)).alias(c) for c in ("severity", "raw_severity", "user", "database", "connection_from", "application_name", "backend_type", "command_tag")],
-              zero("process_id"), zero("leader_pid"), "session_id", zero("session_line_num"), "virtual_xid", zero("transaction_id"), zero("query_id"), *[L.nonempty(F.col(c)).alias(c) for c in ("sql_state", "message", "detail", "hint", "query", "internal_query", "context", "statement")],
-              zero("query_pos"), zero("internal_query_pos"), "location", F.when(F.col("duration_ns") > 0, (F.col("duration_ns") / 1e6).cast("decimal(20,3)")).alias("duration_ms"), zero("flags"), "offset"]
+    some = lambda *names: [L.nonempty(F.col(c)).alias(c) for c in names]
+    fields = [*[rfc3339(c).alias(c) for c in ("time", "session_start")], *some("severity", "raw_severity", "user", "database", "connection_from", "application_name", "backend_type", "command_tag"),
+              zero("process_id"), zero("leader_pid"), *some("session_id"), zero("session_line_num"), *some("virtual_xid"), zero("transaction_id"), zero("query_id"), *some("sql_state", "message", "detail", "hint", "query", "internal_query", "context", "statement"),
+              zero("query_pos"), zero("internal_query_pos"), *some("location"), F.when(F.col("duration_ns") > 0, (F.col("duration_ns") / 1e6).cast("decimal(20,3)")).alias("duration_ms"), zero("offset")]
     return records.select(F.to_json(F.struct(*fields)).alias("value"))

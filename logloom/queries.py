@@ -12,6 +12,7 @@ from . import plans
 from .functions.template import with_template
 from .operators import bad_records, good_records, parse_lines
 from .schema import CSV_COLUMNS, LOCALES, ZONES, LogReadOptions
+from .plans.bounded import top_bounded
 from .shared import shared_dir
 from .sources.files import Remote, read_log
 from .sources.render import LINES, PREFIX, csv_lines
@@ -169,7 +170,7 @@ _query("malformed_side_output", _broken, "SELECT CASE WHEN event_id % 13 = 3 THE
 _query("template_groups", lambda s, d: plans.template_groups(records(s, d)).select("template", "count"), E + "SELECT template, count(*) AS count FROM r GROUP BY severity, sql_state, template")
 _query("top_patterns", lambda s, d: plans.template_groups(records(s, d, "csv"), 5), E + "SELECT substr(sha256(severity || chr(0) || CASE sql_state WHEN '' THEN '' ELSE sql_state END || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, template, count(*) AS count FROM r GROUP BY 1, 2 ORDER BY count DESC, pattern_id LIMIT 5")
 _query("template_documents", lambda s, d: with_template(_table(s, d, "documents"), "text").select("doc_id", "template"), None)
-_NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3), flags int"
+_NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3)"
 
 
 def _ndjson(s: SparkSession, d: str) -> DataFrame:
@@ -180,13 +181,37 @@ def _ndjson(s: SparkSession, d: str) -> DataFrame:
 
 # A csvlog record needs unquoting where its text doubles a quote; 2 is several lines, 8 a duration, 16 a statement.
 _FLAGS = "CASE WHEN contains(message, '\"') OR detail IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN detail IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN duration_ns IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN query IS NOT NULL THEN 16 ELSE 0 END"
-_query("parse_ndjson", _ndjson, E + f"SELECT strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ') AS time, process_id, severity, message, detail, query, CASE WHEN duration_ns > 0 THEN CAST(duration_ns / 1000000.0 AS DECIMAL(20,3)) END AS duration_ms, nullif({_FLAGS}, 0) AS flags FROM r")
+_query("parse_ndjson", _ndjson, E + f"SELECT regexp_replace(strftime(time, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0+$', '') || 'Z' AS time, process_id, severity, message, detail, query, CASE WHEN duration_ns > 0 THEN CAST(duration_ns / 1000000.0 AS DECIMAL(20,3)) END AS duration_ms FROM r")
 _query("record_flags", lambda s, d: records(s, d, "csv").groupBy("flags").count(), E + f"SELECT {_FLAGS} AS flags, count(*) AS count FROM r GROUP BY 1")
 _query("record_lines", lambda s, d: records(s, d).select(F.col("session_line_num").alias("n"), L.record_line().alias("line")),
        E + "SELECT event_id AS n, strftime(time, '%Y-%m-%d %H:%M:%S.%g') || ' ' || severity || ': ' || message || coalesce(' | DETAIL: ' || detail, '') || coalesce(' | STATEMENT: ' || query, '') AS line FROM r")
 _query("statements", lambda s, d: records(s, d).groupBy(L.normalize_message(L.statement_text()).alias("key")).count().where("key LIKE 'SELECT%'"), E + "SELECT 'SELECT * FROM t_?' AS key, count(*) AS count FROM r WHERE query IS NOT NULL GROUP BY 1")
 
 
+def _escaped(s: SparkSession, d: str) -> DataFrame:
+    """Messages that begin with escapes that are none, half a surrogate pair and a whole one."""
+    lines = LINES["json"](_table(s, d, "events")).withColumn("line", F.replace("line", F.lit('"message":"'), F.lit('"message":"\\q \\u12 \\ud83d \\ude00 \\ud83d\\ude00 \\\\q \\/ ')))
+    return good_records(parse_lines(lines, LogReadOptions("json"))).select(F.col("session_line_num").alias("n"), "message")
+
+
+_query("json_escapes", _escaped, E + "SELECT event_id AS n, '\\q \\u12 ' || chr(65533) || ' ' || chr(65533) || ' ' || chr(128512) || ' \\q / ' || message AS message FROM r")
+
+
+def _bounded(s: SparkSession, d: str) -> DataFrame:
+    """Messages that a summary of 32 groups must have, those it has, and whether its bounds hold for all that it has."""
+    r = records(s, d)
+    exact = r.groupBy("message").agg(F.count("*").alias("n"))
+    found = top_bounded(r, F.col("message"), 32, factor=1)
+    one = F.lit(1).alias("one")
+    x = exact.join(found["top"].withColumnRenamed("key", "message"), "message", "left").select("*", one)
+    x = x.join(F.broadcast(found["summary"].select("*", one)), "one").join(F.broadcast(r.agg(F.count("*").alias("all")).select("*", one)), "one")
+    has, due = F.col("count").isNotNull(), F.col("n") * 33 > F.col("all")
+    return x.agg(F.count_if(due).alias("due"), F.count_if(due & has).alias("found"), F.bool_and(~has | F.col("n").between(F.col("count"), F.col("count") + F.col("error"))).alias("within"), F.bool_and(F.col("error") * 33 <= F.col("all")).alias("small"), (F.max("dropped") > 0).alias("dropped"))
+
+
+_query("top_bounded", _bounded, E + ", x AS (SELECT count(*) AS n FROM r GROUP BY message), y AS (SELECT count(*) FILTER (n * 33 > (SELECT count(*) FROM r)) AS due FROM x) SELECT due, due AS found, TRUE AS within, TRUE AS small, TRUE AS dropped FROM y")
+
+
 def _written(s: SparkSession, lines: DataFrame) -> str:
     path = f"{shared_dir(s)}/logloom-rendered-{uuid.uuid4().hex}"
     lines.repartition(4, "file").sortWithinPartitions("file", "seq").select("line").write.text(path)
@@ -195,7 +220,7 @@ def _written(s: SparkSession, lines: DataFrame) -> str:
 
 def _files(s: SparkSession, d: str, format_: str, split_bytes: int) -> DataFrame:
     """Records of log files written from the events, read in many small ranges."""
-    return read_log(s, _written(s, LINES[format_](_table(s, d, "events"))), LogReadOptions("auto", PREFIX), split_bytes=split_bytes)
+    return read_log(s, _written(s, LINES[format_](_table(s, d, "events"))), LogReadOptions("auto", PREFIX), glob="*", split_bytes=split_bytes)
 
 
 for _f in LINES:

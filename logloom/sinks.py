@@ -45,12 +45,19 @@ def text_report(sections: dict[str, DataFrame], top: int = 1000) -> str:
     return "\n".join((f"{n}\n" if n != "summary" else "") + text_table(sections[n], top) for n in names)
 
 
-def manifest(lines: DataFrame, records: DataFrame) -> DataFrame:
-    """(key, name, value) of a corpus: bytes and lines of each file, records of each severity, and their totals."""
+#: Of the rules by which a corpus is rendered from events.
+CORPUS_VERSION = 1
+
+
+def manifest(lines: DataFrame, records: DataFrame, seed: int | None = None) -> DataFrame:
+    """(key, name, value) of a corpus: version, the seed that its events were drawn with if given, bytes and lines of each file, records of each severity, and their totals."""
     size = lines.groupBy("file").agg(F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"), F.count("*").alias("lines"))
     files = size.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col("file").alias("name"), F.col(k).alias("value")) for k in ("bytes", "lines")])).alias("x")).select("x.*")
     severity = records.groupBy(F.coalesce("severity", F.lit("UNKNOWN")).alias("name")).agg(F.count("*").alias("value"))
-    return files.unionByName(severity.select(F.lit("severity").alias("key"), "name", "value"))
+    severity = severity.select(F.lit("severity").alias("key"), "name", "value")
+    totals = [files.where(F.col("key") == "bytes").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("total").alias("key"), F.lit("bytes").alias("name"), "value"), severity.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value")).select(F.lit("total").alias("key"), F.lit("records").alias("name"), "value")]
+    known = lines.sparkSession.createDataFrame([("corpus", k, v) for k, v in (("version", CORPUS_VERSION), ("seed", seed)) if v is not None], "key string, name string, value long")
+    return known.unionByName(files).unionByName(severity).unionByName(totals[0]).unionByName(totals[1])
 
 
 def watched(parsed: DataFrame, observation: Observation) -> DataFrame:
@@ -69,8 +76,9 @@ def severity_counts(records: DataFrame) -> DataFrame:
 
 
 def run_medians(runs: DataFrame) -> DataFrame:
-    """(workload, tool, runs, median_s, min_s, max_s, mb_per_second) of runs (workload, tool, seconds, bytes_in)."""
-    s = runs.groupBy("workload", "tool").agg(F.count("*").alias("runs"), F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), F.max("bytes_in").alias("bytes_in"))
+    """(workload, tool, runs, median_s, min_s, max_s, mb_per_second) of runs (workload, tool, seconds, bytes_in); of an even number of runs, the upper median."""
+    middle = F.element_at(F.array_sort(F.collect_list("seconds")), (F.floor(F.count("seconds") / 2) + 1).cast("int"))  # a few runs of each
+    s = runs.groupBy("workload", "tool").agg(F.count("*").alias("runs"), middle.alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), F.max("bytes_in").alias("bytes_in"))
     rate = F.when((F.col("median_s") > 0) & (F.col("bytes_in") > 0), F.col("bytes_in") / (1 << 20) / F.col("median_s")).otherwise(0.0)
     return s.withColumn("mb_per_second", rate).drop("bytes_in")
 

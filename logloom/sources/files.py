@@ -18,7 +18,7 @@ from .scan import RECORDS, SPLIT_BYTES, LogScan, first_of_file, read_from_record
 from .stores import CHUNK_BYTES, Session, as_option, store
 
 #: Names that a directory is read for, by format.
-GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log"}
+GLOBS = {"csv": "*.csv", "json": "*.json", "stderr": "*.log", "auto": "*.log"}
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -89,8 +89,8 @@ def _multiline(starts: str | None) -> str | None:
 def read_log(spark: SparkSession, path: str | list[str], options: LogReadOptions = LogReadOptions(), malformed: bool = False, glob: str | None = None, split_bytes: int | None = None, remote: Remote | None = None) -> DataFrame:
     """Records of log files; with malformed, also the rows that are none, column _malformed saying why.
 
-    A directory is read for the names that its format goes by, or all where the format is open. Files
-    are read in ranges of split_bytes. Where format or prefix are open, each file has its own, by its
+    A directory is read for the names that its format goes by, *.log where the format is open; a glob
+    says otherwise. Files are read in ranges of split_bytes. Where format or prefix are open, each file has its own, by its
     head; a missing path is an error, a directory without files is not. With remote, path is a log
     directory, or a file in it, of that server, as the server names it.
     """

@@ -6,7 +6,7 @@ import json
 import pytest
 
 from logloom import plans
-from logloom.__main__ import ERROR, NO_INPUT, OK, main, seconds
+from logloom.__main__ import ERROR, NO_INPUT, OK, bucket, main, seconds
 
 LINES = [
     '{"timestamp":"2026-01-02 03:04:05.000 UTC","user":"u","dbname":"d","pid":%d,"error_severity":"%s","state_code":"%s","message":"%s"}' % x
@@ -44,7 +44,23 @@ def test_exit_codes_and_streams(spark, log, tmp_path):
         code, out, err = run(spark, *args)
         assert code == ERROR and not out and err.startswith("logloom: ")
     assert run(spark, "stats", "--begin", "2027-01-01 00:00:00", log)[0] in (OK, NO_INPUT)
-    assert seconds("1h30m") == 5400 and seconds("500ms") == 0.5
+    assert seconds("1h30m") == 5400 and seconds("500ms") == 0.5 and seconds("-1m") == -60 and seconds("0") == 0
+    assert [bucket(x) for x in ("0s", "0", "-5m", "500ms", "1ns", "1h")] == ["10 minutes", "10 minutes", "10 minutes", "500000 microseconds", "1 microseconds", "3600000000 microseconds"]
+    assert run(spark, "peaks", "--bucket", "0s", log)[0] == OK and run(spark, "peaks", "--bucket", "500ms", log)[0] == OK
+    assert run(spark, "stats", "--begin", "yesterday", log)[0] == ERROR and run(spark, "stats", "--begin", "2026-01-02T00:00:00Z", "--end", "2026-01-02 03:05", "--no-color", "--jobs", "2", log)[0] == OK
+
+
+def test_rows_come_in_file_order_and_standard_input_piece_by_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("logloom.__main__.SPOOL_CHARS", 50)
+    for name, pids in (("b.json", range(50, 90)), ("a.json", range(50))):
+        (tmp_path / name).write_text("".join(LINES[0].replace('"pid":1', f'"pid":{i}').replace("SELECT 1", f"hit{i % 2} é") + "\n" for i in pids))
+    out = run(spark, "parse", "--output", "json", "--format", "json", str(tmp_path))[1].splitlines()
+    assert [json.loads(x).get("process_id", 0) for x in out] == [*range(90)]
+    out = run(spark, "grep", "--pattern", "hit1", "-C", "1", "--output", "json", "--format", "json", str(tmp_path))[1].splitlines()
+    assert [json.loads(x).get("process_id", 0) for x in out] == [*range(90)]
+    text = "".join((tmp_path / n).read_text() for n in ("a.json", "b.json"))
+    out = run(spark, "parse", "--output", "json", stdin=text)[1].splitlines()
+    assert [json.loads(x).get("process_id", 0) for x in out] == [*range(90)] and all("é" in x for x in out)
 
 
 def test_context_across_tasks_and_ties(spark):

@@ -1,5 +1,7 @@
 """Log queries against their SQL, and files read back."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def test_each_file_of_a_directory_has_its_own_kind(spark, tmp_path):
         (tmp_path / f"{format_}.log").write_text("\n".join(texts) + "\n")
     (tmp_path / "p.log").write_text("2024-01-02 03:04:05.678 UTC [12] LOG:  one\n" * 3)
     (tmp_path / "q.log").write_text("2024-01-02 03:04:05 UTC [12]: [1-1] user=u,db=d,app=a,client=h ERROR:  two\n" * 4)
-    got = read_log(spark, str(tmp_path), malformed=True)
+    got = read_log(spark, str(tmp_path), malformed=True, glob="*")
     n = events.where("date(ts) = '2024-01-02'").count()
     found = {(r.file.rsplit("/", 1)[1], r.format, r.user): r["count"] for r in got.where("_malformed IS NULL").groupBy("file", "format", "user").count().where("format = 'stderr'").collect()}
     assert found == {("p.log", "stderr", None): 3, ("q.log", "stderr", "u"): 4}
@@ -69,3 +71,74 @@ def test_empty_directory_has_no_records(spark, tmp_path):
 @pytest.mark.parametrize("message, template", [("", ""), ("process 12 still waiting", "process $1 still waiting"), ("deadlock detected", "deadlock detected")])
 def test_templates(message, template):
     assert template_of(message) == template
+
+
+@pytest.mark.parametrize("raw,want", [
+    (r"plain", "plain"), (r"a\tb\n\r\b\f\/\"\\", 'a\tb\n\r\b\f/"\\'), (r"\u00e9\u0041", "éA"), (r"\ud83d\ude00", "😀"), (r"x\ud83dy", "x\ufffdy"), (r"\ude00\ud83d", "\ufffd\ufffd"),
+    (r"\ud83d\ud83d\ude00", "\ufffd😀"), (r"\ud83d\u0041", "\ufffdA"), (r"\q\x", r"\q\x"), (r"\u12", r"\u12"), (r"\u12g4 \u", r"\u12g4 \u"), (r"\\q\\ud83d", r"\q\ud83d"), (r"\\\q", r"\\q"), (r"C:\dir\new", "C:\\dir\new"),
+])
+def test_json_escapes(spark, raw, want):
+    from logloom.operators import parse_lines
+
+    lines = spark.createDataFrame([("f", 1, '{"pid":1,"message":"%s","detail":"{[%s"}' % (raw, raw))], "file string, seq long, line string")
+    r = parse_lines(lines, LogReadOptions("json")).first()
+    assert (r.message, r.detail, r._malformed) == (want, "{[" + want, None)
+
+
+def test_very_many_escapes(spark):
+    from logloom.operators import mended_json
+
+    text = '{"message":"' + "\\n\\q" * 300_000 + '"}'
+    assert spark.createDataFrame([(text,)], "raw string").select(mended_json(F.col("raw")).alias("x")).first().x == text.replace("\\q", "\\\\q")
+
+
+def test_time_literals():
+    from datetime import datetime, timezone
+
+    from logloom.plans import time_literal
+
+    utc = lambda *a: datetime(*a, tzinfo=timezone.utc)
+    for text, want in {"2026-01-02": utc(2026, 1, 2), "2026-01-02 3:04": utc(2026, 1, 2, 3, 4), "2026-01-02 03:04:05": utc(2026, 1, 2, 3, 4, 5), "2026-01-02 03:04:05.25": utc(2026, 1, 2, 3, 4, 5, 250_000),
+                       "2026-01-02 03:04:05.123456789": utc(2026, 1, 2, 3, 4, 5, 123_456), "2026-01-02T03:04:05Z": utc(2026, 1, 2, 3, 4, 5), "2026-01-02T03:04:05.5+01:30": utc(2026, 1, 2, 1, 34, 5, 500_000)}.items():
+        assert time_literal(text) == want
+    for text in ("", "now", "2026-02-30", "2026-01-02 25:00", "2026-1-2", "2026-01-02T03:04:05", "2026-01-02 03", "2026-01-02 03:04:05 UTC", "٢٠٢٦-01-02"):
+        with pytest.raises(ValueError, match="cannot parse time"):
+            time_literal(text)
+
+
+def test_bounded_top_lists(spark):
+    from collections import Counter
+
+    from logloom.plans.bounded import Summary, top_bounded
+
+    rng = random.Random(5)
+    keys = [f"hot{i}" for i in range(6) for _ in range(400 - 40 * i)] + [f"cold{rng.randrange(5000)}" for _ in range(6000)] + [None] * 300
+    rng.shuffle(keys)
+    exact = Counter(keys)
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v long").repartition(5)
+    got = top_bounded(df, F.col("k"), 5, F.col("v"), F.col("k"), factor=8)
+    top, s = got["top"].collect(), got["summary"].first()
+    assert s.dropped > 0 and s.error <= len(keys) / 41
+    assert [r.key for r in top] == [f"hot{i}" for i in range(5)] and all(r["count"] <= exact[r.key] <= r["count"] + s.error and r.sample == r.key for r in top)
+    whole = top_bounded(df, F.col("k"), 10, F.col("v"), factor=1000)
+    assert {r.key: (r["count"], r.worst) for r in whole["top"].collect()} == {k: (exact[k], max(i for i, x in enumerate(keys) if x == k)) for k in sorted(exact, key=lambda k: (-exact[k], k or ""))[:10]}
+    assert tuple(whole["summary"].first()) == (0, 0)
+    empty = top_bounded(df.where("false"), F.col("k"))
+    assert empty["top"].collect() == [] and tuple(empty["summary"].first()) == (0, 0)
+    one = Summary(3)
+    for k in range(1000):
+        one.add(str(k), 1, None, None, None)
+    assert len(one.groups) <= 7
+
+
+def test_medians_manifest_and_times(spark):
+    from logloom import sinks
+    from logloom.plans import rfc3339
+
+    runs = spark.createDataFrame([("W", "a", x, 0) for x in (4.0, 1.0, 3.0, 2.0)], "workload string, tool string, seconds double, bytes_in long")
+    assert sinks.run_medians(runs).first().median_s == 3.0
+    lines = spark.createDataFrame([("a", "xyz"), ("a", "é"), ("b", "")], "file string, line string")
+    m = {(r.key, r.name): r.value for r in sinks.manifest(lines, spark.createDataFrame([("LOG",), (None,)], "severity string"), seed=7).collect()}
+    assert m == {("corpus", "version"): 1, ("corpus", "seed"): 7, ("bytes", "a"): 7, ("bytes", "b"): 1, ("lines", "a"): 2, ("lines", "b"): 1, ("severity", "LOG"): 1, ("severity", "UNKNOWN"): 1, ("total", "bytes"): 8, ("total", "records"): 2}
+    t = spark.createDataFrame([(x,) for x in ("2026-01-02 03:04:00", "2026-01-02 03:04:05.1", "2026-01-02 03:04:05.000120", "2026-01-02 10:20:30")], "t string").select(F.col("t").cast("timestamp").alias("t")).select(rfc3339("t").alias("x"))
+    assert [r.x for r in t.collect()] == ["2026-01-02T03:04:00Z", "2026-01-02T03:04:05.1Z", "2026-01-02T03:04:05.00012Z", "2026-01-02T10:20:30Z"]

@@ -47,8 +47,9 @@ def test_any_chunk_gives_the_rows_of_local_files(spark, tmp_path, chunk):
     (tmp_path / "c.log").write_text("\n".join(texts("stderr", 20)) + "\n")
     (tmp_path / "empty.log").write_text("")
     remote = Remote(Server(tmp_path), chunk, connections=3)
-    want = rows(read_log(spark, str(tmp_path), malformed=True))
-    assert len(want) > 50 and rows(read_log(spark, "/srv/log", malformed=True, remote=remote)) == want
+    want = rows(read_log(spark, str(tmp_path), malformed=True, glob="*"))
+    assert len(want) > 50 and rows(read_log(spark, "/srv/log", malformed=True, glob="*", remote=remote)) == want
+    assert {r[0] for r in rows(read_log(spark, "/srv/log", remote=remote, malformed=True))} == {"c.log"}
     assert rows(read_log(spark, "/srv/log/", LogReadOptions("csv"), malformed=True, remote=remote)) == [r for r in want if r[0] == "a.csv"]
     assert rows(read_log(spark, "/srv/log/b.json", malformed=True, remote=remote)) == [r for r in want if r[0] == "b.json"]
     assert {r.file: r.prefix for r in kinds(spark, "/srv/log", "[^ab]*", remote).collect()} == {"/srv/log/c.log": PREFIX}

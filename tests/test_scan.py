@@ -132,7 +132,7 @@ def test_files_are_split_compressed_and_told_apart(spark, tmp_path):
     (tmp_path / "g.log").write_text("\n".join(texts("stderr", 50)))
     (tmp_path / "h.json").write_text("\n".join(texts("json", 40)) + "\n")
     (tmp_path / "empty.log").write_text("")
-    got = read_log(spark, str(tmp_path), malformed=True, split_bytes=7000)
+    got = read_log(spark, str(tmp_path), malformed=True, glob="*", split_bytes=7000)
     assert got.rdd.getNumPartitions() > 10
     by = {r.name: (r.format, r.n, r.bad, r.cut) for r in got.groupBy("file", "format").agg(*_counts()).collect()}
     assert by == {**{x: ("csv", 500, 0, 0) for x in ("a.log", "b.gz", "c.bz2", "d.xz", "e.zst", "f.log")}, "g.log": ("stderr", 50, 0, 1), "h.json": ("json", 40, 0, 0)}
