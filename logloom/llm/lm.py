@@ -40,6 +40,8 @@ MAX_BROADCAST = 8 << 20
 SEGMENT_BYTES = 4 << 20
 #: About one false positive in 10,000 probes while the filter has room.
 BITS_PER_ENTRY, PROBES = 20, 10
+#: Bytes of training text whose segments one task works through, one after the other.
+TASK_BYTES = 256 << 20
 #: Words that a map task gathers before it sends counts.
 FLUSH = 4_000_000
 #: Words of a block of documents whose pairs are sent to segments together.
@@ -72,6 +74,13 @@ def segment_of(key: np.ndarray, segments: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
+def by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, start, stop) of the runs of sorted keys; segments without keys cost nothing."""
+    s = segment_of(keys, segments).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    return zip(s[start].tolist(), start.tolist(), [*start[1:].tolist(), len(s)], strict=True)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -85,7 +94,7 @@ def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes,
     """Sorted pairs as histories, their numbers of words, words, and counts (one byte each if all are 1 to 255)."""
     h = (keys >> np.uint64(32)).astype(np.uint32)
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    c = b"" if len(counts) and counts.max() == 1 else counts.astype(np.uint32).tobytes()
+    c = b"" if len(counts) and counts.max() == 1 else counts.astype(np.uint32).tobytes()  # of a few texts, so of less than 2**32 words
     return h[start].tobytes(), np.diff(np.r_[start, len(h)]).astype(np.uint32).tobytes(), keys.astype(np.uint32).tobytes(), c
 
 
@@ -109,19 +118,13 @@ def gram_counts(texts: DataFrame, segments: int) -> DataFrame:
         def send():
             rows = []
             words, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(segment_of(words, segments), np.arange(segments + 1))
-            for s in range(segments):
-                a, b = cut[s], cut[s + 1]
-                if b > a:
-                    rows.append((s, 0, words[a:b].tobytes(), n[a:b].astype(np.int64).tobytes(), b"", b""))
+            for s, a, b in by_segment(words, segments):
+                rows.append((s, 0, words[a:b].tobytes(), n[a:b].astype(np.int64).tobytes(), b"", b""))
             both, n = np.unique(np.concatenate([pairs(t) for t in held]), return_counts=True)
             for kind, m in ((1, n == 1), (2, n > 1)):
                 keys, counts = both[m], n[m]
-                cut = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
-                for s in range(segments):
-                    a, b = cut[s], cut[s + 1]
-                    if b > a:
-                        rows.append((s, kind, *_packed(keys[a:b], counts[a:b])))
+                for s, a, b in by_segment(keys, segments):
+                    rows.append((s, kind, *_packed(keys[a:b], counts[a:b])))
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["segment", "kind", "a", "b", "c", "d"])
 
         for batch in batches:
@@ -141,7 +144,7 @@ def gram_counts(texts: DataFrame, segments: int) -> DataFrame:
 MERGED = "segment int, words binary, word_counts binary, n long, v long, keys binary, counts binary, histories binary, types binary, once binary, bits long"
 
 
-def merged_counts(sent: DataFrame, segments: int) -> DataFrame:
+def merged_counts(sent: DataFrame, tasks: int) -> DataFrame:
     """One row a segment: word counts; pairs seen twice or more; of each history its kinds of words and its pairs seen once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def merged_counts(sent: DataFrame, segments: int) -> DataFrame:
                 both.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
             yield out()
 
-    return sent.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(run, MERGED)
+    return sent.repartition(tasks, "segment").sortWithinPartitions("segment").mapInArrow(run, MERGED)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -296,12 +299,16 @@ def score_pairs(key: np.ndarray, c: np.ndarray, n: int, v: int, f: Filter) -> tu
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as four runs of bytes, which compress better."""
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers as the least runs of bytes that hold them, each number's bytes apart, which compress better; a byte says how many."""
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([n]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
 def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def _bits(b: bytes, n: int) -> np.ndarray:
@@ -341,10 +348,8 @@ class Block:
         start = np.flatnonzero(self.new_history)
         n = np.diff(np.r_[start, len(self.history)]).astype(np.uint32)
         first = self.history[start]
-        cut = np.searchsorted(segment_of(first, segments), np.arange(segments + 1))
         ends = np.r_[start, len(self.history)]
-        for s in np.flatnonzero(np.diff(cut)).tolist():
-            a, b = cut[s], cut[s + 1]
+        for s, a, b in by_segment(first, segments):
             yield s, self.name, first[a:b].tobytes(), n[a:b].tobytes(), self.word[ends[a] : ends[b]].tobytes(), None
 
     def row(self) -> tuple:
@@ -398,7 +403,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, h = of[first : first + len(p)], p >> np.uint64(32)
             # Histories in a row of one half hash share their levels.
             place = at[mine[np.searchsorted(h, histories >> np.uint64(32))]]
-            rows.append((segment, block, *(y.astype(np.uint8).tobytes() for y in (level[mine], kept[place], left[place])), _planes(np.minimum(known.count(histories), 2**32 - 1))))
+            rows.append((segment, block, *(y.astype(np.uint8).tobytes() for y in (level[mine], kept[place], left[place])), _planes(known.count(histories))))
             first += len(p)
         return _asked(rows)
 
@@ -455,7 +460,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     learnt = rows.where("learn")
     texts, size = (x or 0 for x in learnt.agg(F.count("*"), F.sum(F.octet_length("t"))).first())
     segments = max(64, shuffle_partitions(spark), size // SEGMENT_BYTES)
-    merged = written(merged_counts(gram_counts(learnt.select("t"), segments), segments), "grams")
+    tasks = min(segments, max(64, 4 * shuffle_partitions(spark), size // TASK_BYTES))
+    merged = written(merged_counts(gram_counts(learnt.select("t"), segments), tasks), "grams")
     n, v, bits = (x or 0 for x in merged.agg(F.sum("n"), F.sum("v"), F.sum("bits")).first())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +480,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     if bits // 8 + 16 * v <= max_broadcast:
         out = _by_broadcast(rows.select("id", "t"), built, segments, n, v, schema, scores)
     else:
-        out = _by_segments(rows.select("id", "t"), built, segments, n, v, texts, schema, scores)
+        out = _by_segments(rows.select("id", "t"), built, segments, tasks, n, v, texts, schema, scores)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -502,7 +508,7 @@ def _by_broadcast(rows: DataFrame, built: DataFrame, segments: int, n: int, v: i
     return rows.mapInArrow(scored, schema)
 
 
-def _by_segments(rows: DataFrame, built: DataFrame, segments: int, n: int, v: int, texts: int, schema: T.StructType, scores) -> DataFrame:
+def _by_segments(rows: DataFrame, built: DataFrame, segments: int, tasks: int, n: int, v: int, texts: int, schema: T.StructType, scores) -> DataFrame:
     """Scores by way of the segments; nothing but one segment and a few blocks' pairs, or one block, is in memory."""
     kind = schema["id"].dataType
     with_ids = T.StructType([*T._parse_datatype_string(ASKED).fields, T.StructField("ids", T.ArrayType(kind))])
@@ -541,6 +547,6 @@ def _by_segments(rows: DataFrame, built: DataFrame, segments: int, n: int, v: in
 
     # Both ways read rows alike, first in their unions, so that tasks and blocks have the same numbers.
     asked = rows.mapInArrow(asks, ASKED).unionByName(built)
-    back = asked.repartition(segments, "segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first()).mapInArrow(_answered, ASKED)
+    back = asked.repartition(tasks, "segment").sortWithinPartitions("segment", F.col("block").asc_nulls_first()).mapInArrow(_answered, ASKED)
     both = rows.mapInArrow(themselves, with_ids).unionByName(back.withColumn("ids", F.lit(None).cast(T.ArrayType(kind))))
-    return both.repartition(segments, "block").sortWithinPartitions("block", "segment").mapInArrow(summed_up, schema)
+    return both.repartition(tasks, "block").sortWithinPartitions("block", "segment").mapInArrow(summed_up, schema)

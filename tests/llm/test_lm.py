@@ -91,3 +91,20 @@ def test_nothing_to_learn_from(spark):
         assert lm.score(spark.createDataFrame([], DOCS), F.lit(True), max_broadcast=limit).collect() == []
     r = lm.score(spark.createDataFrame([(1, "a b", "", "")], DOCS), F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_counts_beyond_32_bits_come_back_whole():
+    for x in ([], [0], [1, 255], [256, 0], [2**32 - 1, 2**32, 2**40 + 5, 2**62], [7] * 1000):
+        x = np.array(x, np.int64)
+        assert lm._from_planes(lm._planes(x)).tolist() == x.tolist()
+    s = lm.Segment(b"", np.array([5, 9], np.uint64).tobytes(), np.array([2**33, 1], np.int64).tobytes())
+    assert lm._from_planes(lm._planes(s.count(np.array([5, 6, 9], np.uint64)))).tolist() == [2**33, 0, 1]
+
+
+def test_runs_of_segments():
+    rng = np.random.default_rng(3)
+    for n, segments in ((0, 7), (1, 1), (500, 3), (40, 100_000)):
+        keys = np.sort(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2))
+        runs = list(lm.by_segment(keys, segments))
+        of = lm.segment_of(keys, segments).tolist()
+        assert [s for s, a, b in runs for _ in range(a, b)] == of and [s for s, *_ in runs] == sorted(set(of))
