@@ -78,7 +78,7 @@ def by_segment(keys: np.ndarray, segments: int) -> Iterator[tuple[int, int, int]
     """(segment, start, stop) of the runs of sorted keys; segments without keys cost nothing."""
     s = segment_of(keys, segments).astype(np.int64)
     start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-    return zip(s[start].tolist(), start.tolist(), [*start[1:].tolist(), len(s)], strict=True)
+    return zip(s[start].tolist(), start.tolist(), [*start[1:].tolist(), len(s)][: len(start)], strict=True)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
