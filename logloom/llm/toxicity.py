@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney models spell words byte by byte, one learnt from toxic text and one
-from ordinary text. Spelling lets them know inflected and compounded expressions. The lowest order
-is shared: what either class has rarely seen falls back on the continuation counts of both.
+from ordinary text. Spelling lets them know inflected and compounded expressions. A class has counts
+of its own for the longest gram at a byte only; all lower orders are shared, so what either class has
+rarely seen falls back on the continuation counts of both. Discounts are estimated for each order.
 A document's score compares the length-normalised log-likelihoods over the whole text and over its
 most telling words, through a logistic curve fitted on labelled rows that the counts have not seen.
 
@@ -26,8 +27,6 @@ ORDER = 6
 GRAM_BITS, CONTEXT_BITS = 21, 20
 #: Labelled rows that are learnt from at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
-#: Taken from every count, so that what a class has seen but a few times, in copies say, tells nothing.
-DISCOUNT = 4.0
 #: Words of a stretch.
 STRETCH = 12
 _START, _STOP = b"\x01", b"\x02"
@@ -90,22 +89,46 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{x} int" for x in keys) + ", n long").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+def discounts(k: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Kneser-Ney discount of each order, n1 / (n1 + 2 n2), by the counts of its grams."""
+    out = np.full(ORDER + 1, 0.75)
+    for order in range(2, ORDER + 1):
+        once, twice = (int((counts[k == order] == x).sum()) for x in (1, 2))
+        if once and twice:
+            out[order] = once / (once + 2 * twice)
+    return out
+
+
 class Model:
-    """Log-ratio of the two classes for words, from dense tables."""
+    """Log-ratio of the two classes for words, from dense tables.
+
+    A class has counts of its own for the longest gram that ends at a byte; all that this backs off to is shared: the
+    counts of both classes together, by what stands before a gram.
+    """
 
     def __init__(self, counts: pa.Table):
         cls, k, gram, context, suffix, initial, n = (counts.column(i).to_numpy() for i in range(7))
-        raw = (k == ORDER) | (initial == 1)
-        self.value, self.total, self.kept = [], [], []
+        longest = (k == ORDER) | (initial == 1)
+        size, contexts = 1 << GRAM_BITS, 1 << CONTEXT_BITS
+        self.value, self.total, self.kept, self.discount = [], [], [], []
+
+        def add(k, gram, context, value) -> None:
+            d = discounts(k, value)
+            self.value.append(np.bincount(gram, value, size).astype(np.float32))
+            self.total.append(np.bincount(context, value, contexts).astype(np.float32))
+            self.kept.append(np.bincount(context, np.maximum(value - d[k], 0), contexts).astype(np.float32))
+            self.discount.append(d.astype(np.float32))
+
         for c in (0, 1):
-            own = cls == c
-            # A gram counts by its uses where it begins a word or is longest, else by what stands before it.
-            value = np.bincount(gram[own & raw], n[own & raw], 1 << GRAM_BITS)
-            value += np.bincount(suffix[own & (k > 2)], minlength=1 << GRAM_BITS) * (value == 0)
-            self.value.append(value.astype(np.float32))
-            self.total.append(np.bincount(context[own], value[gram[own]], 1 << CONTEXT_BITS).astype(np.float32))
-            self.kept.append(np.bincount(context[own], np.maximum(value[gram[own]] - DISCOUNT, 0), 1 << CONTEXT_BITS).astype(np.float32))
-        shared = np.bincount(suffix[k == 2], minlength=1 << GRAM_BITS) + 0.5
+            own = (cls == c) & longest
+            add(k[own], gram[own], context[own], n[own])
+        # Below, a gram counts by the grams that end with it.
+        both = np.unique(np.stack([k, gram, suffix]), axis=1)
+        after = np.bincount(both[2][both[0] > 2], minlength=size)
+        inner = np.unique(np.stack([k, gram, context])[:, k < ORDER], axis=1)
+        inner = inner[:, after[inner[1]] > 0]
+        add(inner[0], inner[1], inner[2], after[inner[1]])
+        shared = np.bincount(both[2][both[0] == 2], minlength=size) + 0.5
         self.shared = (shared / (shared[shared > 0.5].sum() + 128)).astype(np.float32)
 
     def __getstate__(self) -> dict:
@@ -132,21 +155,24 @@ class Model:
         if not words:
             return np.empty(0)
         s = Spelling(words)
-        logs = []
-        grams = [s.order(k) for k in range(2, ORDER + 1)]
-        for value, total, all_kept in zip(self.value, self.total, self.kept, strict=True):
-            p = np.ones(len(s.bytes))
-            first = grams[0]
-            p[first[0]] = self.shared[first[3]]
-            for i, gram, context, _ in grams:
-                n = total[context]
-                some = np.maximum(n, 1)
-                kept = np.minimum(np.maximum(value[gram] - DISCOUNT, 0) / some, 1)
-                left = np.where(n > 0, np.clip(1 - all_kept[context] / some, 0.01, 1), 1)
-                p[i] = kept + left * p[i]
-            logs.append(np.add.reduceat(np.log(np.maximum(p, 1e-12)), s.start))
+        below, own = np.ones(len(s.bytes)), [np.ones(len(s.bytes)) for _ in range(2)]
+        for k in range(2, ORDER + 1):
+            i, gram, context, suffix = s.order(k)
+            if k == 2:
+                below[i] = self.shared[suffix]
+            last = (s.at[i] == k - 1) | (k == ORDER) | ((k == 2) & (s.at[i] == 1))
+            for c in (0, 1):
+                own[c][i[last]] = self._order(c, k, gram[last], context[last], below[i[last]])
+            below[i] = self._order(2, k, gram, context, below[i])
+        logs = [np.add.reduceat(np.log(np.maximum(p, 1e-12)), s.start) for p in own]
         return logs[1] - logs[0]
 
+    def _order(self, table: int, k: int, gram: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+        n = self.total[table][context]
+        some = np.maximum(n, 1)
+        kept = np.minimum(np.maximum(self.value[table][gram] - self.discount[table][k], 0) / some, 1)
+        return kept + np.where(n > 0, np.clip(1 - self.kept[table][context] / some, 0.01, 1), 1) * below
+
 
 def features(ratios: np.ndarray) -> tuple[float, ...]:
     """Mean log-ratio of the words, of the stretch of STRETCH words where it is largest, and of the single best; mean of what exceeds 3."""
@@ -179,16 +205,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(Model, curve) from labelled rows, max_labelled of them at most.
 
-    Rows whose text or label is null teach nothing; a repeated id teaches by its largest label. One
-    row in four goes to the curve, the others to the counts. Without rows of both labels all
+    Rows whose text or label is null teach nothing; a repeated id teaches by its largest label and by
+    one of its texts. One row in four goes to the curve, the others to the counts. Without rows of both labels all
     scores are the share of toxic rows (0.5 without any).
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("cls"))
     # Bounded by max_labelled rows of an id and a label.
     some = known.select("id", "cls", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_labelled)
     held = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("binary").alias("t"))
-    # Equal texts teach once: the first id of each, found without moving texts.
-    once = held.select("id", "fp").join(F.broadcast(some), "id").groupBy("fp", "cls").agg(F.min(F.struct("h", "id")).alias("x")).select("fp", "cls", "x.h", "x.id")
+    # An id teaches by one of its texts and equal texts teach once, by the first id: max_labelled rows at most, found without moving texts.
+    once = held.select("id", "fp").join(F.broadcast(some), "id").groupBy("id", "cls", "h").agg(F.min("fp").alias("fp")).groupBy("fp", "cls").agg(F.min(F.struct("h", "id")).alias("x")).select("fp", "cls", "x.h", "x.id")
     rows = held.join(F.broadcast(once), ["id", "fp"])
     model = Model(gram_counts(rows.where("pmod(h, 4) <> 0").select("t", "cls")).toArrow())
     held = _features(rows.where("pmod(h, 4) = 0").select("cls", "t"), model, "t").select("row.cls", *[f"f{i}" for i in range(N_FEATURES)]).toArrow()

@@ -1,9 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from logloom.llm.toxicity import Spelling, features, toxicity, without_toxic
+from logloom.llm.toxicity import ORDER, Model, Spelling, features, gram_counts, toxicity, without_toxic
 
 DOCS = "doc_id long, text string, lang string, score string"
 
@@ -49,3 +51,60 @@ def test_without_labels(spark):
 def test_grams_stay_within_words():
     a, b = Spelling([b"ab", b"", b"cde"]), Spelling([b"cde"])
     assert (a.hash[3][-3:] == b.hash[3][-3:]).all() and features(np.empty(0)) == (0.0,) * 4
+
+
+def brute_ratio(texts, word):
+    """Kneser-Ney by dictionaries: a class's own counts for the longest gram, shared continuation counts below."""
+    spell = lambda w: "\x01" + w + "\x02"
+    own, seen = [Counter(), Counter()], set()
+    for cls, text in texts:
+        for w in map(spell, text.split()):
+            for i in range(1, len(w)):
+                longest = min(i + 1, ORDER)
+                own[cls][w[i + 1 - longest : i + 1]] += 1
+                seen |= {w[i + 1 - k : i + 1] for k in range(2, longest + 1)}
+    after = Counter(g[1:] for g in seen if len(g) > 2)  # grams that end with it
+    inner = {g: after[g] for g in seen if len(g) < ORDER and after[g]}
+    letters = Counter(g[1:] for g in seen if len(g) == 2)
+
+    def level(counts, k, gram, below):
+        of = {g: n for g, n in counts.items() if len(g) == k}
+        n1, n2 = (sum(n == x for n in of.values()) for x in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+        here = {g: n for g, n in of.items() if g[:-1] == gram[:-1]}
+        total = sum(here.values())
+        if not total:
+            return below
+        return min(max(here.get(gram, 0) - d, 0) / total, 1) + min(max(1 - sum(max(n - d, 0) for n in here.values()) / total, 0.01), 1) * below
+
+    logs = [0.0, 0.0]
+    w = spell(word)
+    for i in range(1, len(w)):
+        longest, below = min(i + 1, ORDER), (letters[w[i]] + 0.5) / (sum(letters.values()) + 0.5 * len(letters) + 128)
+        for k in range(2, longest):
+            below = level(inner, k, w[i + 1 - k : i + 1], below)
+        for c in (0, 1):
+            logs[c] += math.log(level(own[c], longest, w[i + 1 - longest : i + 1], below))
+    return logs[1] - logs[0]
+
+
+def test_ratios_against_dictionaries(spark):
+    rng = random.Random(4)
+    make = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 9)))
+    # So few grams that none share a place of the hashed tables.
+    known = [make("abcd") for _ in range(14)]
+    texts = [(c, " ".join(rng.choices(known[: 10 if c else 14], k=6) + [make("abcde")])) for c in (0, 0, 0, 1) for _ in range(6)]
+    model = Model(gram_counts(spark.createDataFrame([(bytearray(t.encode()), c) for c, t in texts], "t binary, cls int")).toArrow())
+    words = known + [make("abcdefg") for _ in range(25)] + ["a", "abcdefghij"]
+    got = model.ratios([w.encode() for w in words])
+    want = [brute_ratio(texts, w) for w in words]
+    assert not [(w, a, b) for w, a, b in zip(words, got, want, strict=True) if not math.isclose(a, b, rel_tol=1e-4, abs_tol=1e-4)]
+
+
+def test_an_expression_of_few_labelled_documents_tells(spark):
+    rows, labels = corpus()
+    rows = [(i, t + " brimzork brimzork" if i in (6, 12, 18, 24) else t, x, s) for i, t, x, s in rows]
+    new = [(5000 + i, rows[100 + i][1] + w, "x", "") for i in range(3) for w in (" brimzork",) if not labels[100 + i][1]]
+    docs = spark.createDataFrame(rows + new, DOCS)
+    got = {r.doc_id: r.score for r in toxicity(docs, docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert new and all(got[i] > 10 * got[i - 4900] for i, *_ in new)
