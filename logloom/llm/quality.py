@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, broadcast_if_small, written
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -28,6 +28,10 @@ COMMON_WORDS = (
 CHARACTER_CLASSES = (r"[\x20\x09-\x0D]", r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"[#*$%&|<>@~^=+_/\\\[\]{}]")
 
 
+#: References of so many languages, of some 60 numbers each, are broadcast.
+MAX_BROADCAST_LANGUAGES = 1 << 14
+
+
 @dataclass(frozen=True)
 class QualityRules:
     min_words: int = 10
@@ -122,15 +126,14 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, id_col: str = "d
     common word is as far off as can be. A null language has a reference of its own.
     Repeated rows count each. No rows in, no rows out. Other columns are ignored.
     """
-    from .common import written
-
     rules = rules or QualityRules()
     m = written(measures(docs, rules, id_col, text_col, lang_col), "measures")
     total = lambda c, n: F.array(*[F.sum(F.element_at(c, i + 1)) for i in range(n)])
     # One row a language; a median keeps at most 1001 values.
     share = lambda i: F.median(F.floor(1000 * F.element_at("chars", i + 1) / F.greatest(F.aggregate("chars", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))))
     ref = m.groupBy(F.col("lang").alias("l")).agg(F.array(*map(share, range(len(CHARACTER_CLASSES) + 1))).alias("ref_chars"), total("common", len(COMMON_WORDS)).alias("ref_common"), F.sum("n_words").alias("ref_words"))
-    m = m.join(ref, F.col("lang").eqNullSafe(F.col("l")))
+    # A language may hold a third of all rows: where references are few, rows stay where they are.
+    m = m.join(broadcast_if_small(written(ref, "references"), MAX_BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("l")))
     m = m.withColumn("char_distance", divergence(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", divergence(F.col("common"), F.col("ref_common")))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     chars_off = (F.col("word_chars") >= rules.min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > rules.max_char_distance + rules.char_allowance / F.greatest("word_chars", F.lit(1)))
