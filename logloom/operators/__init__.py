@@ -32,6 +32,11 @@ def _trim_cr(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\z", "")
 
 
+def once(c: Column) -> Column:
+    """c as a generated column: what filters and aggregates make of it later doesn't parse again."""
+    return F.explode(F.array(c))
+
+
 def finish(df: DataFrame, o: LogReadOptions, format_: str) -> DataFrame:
     """Canonical columns plus _malformed from text columns (raw values), file, offset, raw, _reason, _unquote."""
     have = set(df.columns)
@@ -82,7 +87,7 @@ def mended_json(raw: Column) -> Column:
 
 def json_records(records: DataFrame, o: LogReadOptions) -> DataFrame:
     schema = ", ".join(f"`{k}` string" for k in JSON_KEYS) + ", _corrupt string"
-    j = records.where(F.trim("raw") != "").withColumn("mended", mended_json(F.col("raw"))).withColumn("j", F.from_json("mended", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowUnquotedControlChars": "true"}))
+    j = records.where(F.trim("raw") != "").withColumn("mended", mended_json(F.col("raw"))).withColumn("j", once(F.from_json("mended", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowUnquotedControlChars": "true"})))
     k = lambda n: F.col("j")[n]
     names = {"log_time": "timestamp", "user": "user", "database": "dbname", "process_id": "pid", "session_id": "session_id", "session_line_num": "line_num", "command_tag": "ps", "session_start": "session_start",
              "virtual_xid": "vxid", "transaction_id": "txid", "raw_severity": "error_severity", "sql_state": "state_code", "message": "message", "detail": "detail", "hint": "hint", "internal_query": "internal_query",
@@ -118,7 +123,7 @@ def _collected(x: DataFrame, line: str) -> DataFrame:
 def csv_records(records: DataFrame, o: LogReadOptions) -> DataFrame:
     """Layouts of 23, 24, 26 columns and beyond; later columns are dropped, missing ones null."""
     ddl = ", ".join(f"`{c}` string" for c in CSV_COLUMNS)
-    f = records.withColumn("c", F.from_csv("raw", F.lit(ddl), {"escape": '"', "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}))
+    f = records.withColumn("c", once(F.from_csv("raw", F.lit(ddl), {"escape": '"', "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"})))
     if "_fields" in records.columns:
         n, open_ = F.col("_fields"), F.col("_open")
     else:
@@ -157,7 +162,7 @@ def stderr_records(records: DataFrame, o: LogReadOptions) -> DataFrame:
     r = records.withColumn("raw", F.replace("raw", F.lit("\r\n"), F.lit("\n")))
     first = F.substring_index("raw", "\n", 1)
     # One match for all groups: the line itself where the prefix doesn't match.
-    r = r.withColumn("g", F.split(F.regexp_replace(first, head + "(.*)$", parted), _NUL, -1)).withColumn("ok", F.size("g") == n + 1 if n else first.rlike(head))
+    r = r.withColumn("g", once(F.split(F.regexp_replace(first, head + "(.*)$", parted), _NUL, -1))).withColumn("ok", F.size("g") == n + 1 if n else first.rlike(head))
     r = r.withColumn("rest", F.when(F.col("ok"), F.get("g", F.lit(n))).otherwise(first))
     at = F.locate(":", F.col("rest"))
     label = F.substring(F.col("rest"), F.lit(1), at - 1)

@@ -15,7 +15,7 @@ from .schema import CSV_COLUMNS, LOCALES, ZONES, LogReadOptions
 from .plans.bounded import top_bounded
 from .shared import shared_dir
 from .sources.files import Remote, read_log
-from .sources.render import LINES, PREFIX, csv_lines
+from .sources.render import LINES, PREFIX, csv_lines, json_lines
 from .sources.stores import FileStore
 
 
@@ -134,26 +134,50 @@ _query("pattern_id", lambda s, d: plans.template_groups(records(s, d).where("sev
        E + "SELECT substr(sha256(severity || chr(0) || sql_state || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, count(*) AS count FROM r WHERE severity <> 'LOG' GROUP BY 1")
 
 
+def _dealt(s: SparkSession, d: str, rows: list[tuple], *names: str) -> DataFrame:
+    """Events, each with one of the rows of text, in turn."""
+    each = F.get(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows]), (F.col("event_id") % len(rows)).cast("int"))
+    return _table(s, d, "events").select("event_id", "ts", each.alias("r")).select("event_id", "ts", "r.*")
+
+
+_LABELS = [(lang, raw) for lang, t in LOCALES.items() for raw in [*t, "no such"]]
+
+
 def _localised(s: SparkSession, d: str) -> DataFrame:
-    rows = [(lang, raw) for lang, t in LOCALES.items() for raw in [*t, "no such"]]
-    df = s.createDataFrame(rows, "lang string, raw string")
-    out = None
-    for lang in LOCALES:
-        x = df.where(F.col("lang") == lang).select("lang", "raw", L.severity(F.col("raw"), lang).alias("severity"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    x = _dealt(s, d, _LABELS, "lang", "raw")
+    severity = F.coalesce(*[F.when(F.col("lang") == lang, L.severity(F.col("raw"), lang)) for lang in LOCALES])
+    return x.select("event_id", "lang", "raw", severity.alias("severity"))
+
+
+_query("localised_severity", _localised, "SELECT event_id, lang, raw, severity FROM events JOIN (VALUES " + ", ".join(f"({i}, '{lang}', '{raw}', {chr(39) + LOCALES[lang][raw] + chr(39) if raw in LOCALES[lang] else 'NULL'})" for i, (lang, raw) in enumerate(_LABELS)) + f") v(i, lang, raw, severity) ON event_id % {len(_LABELS)} = i")
+_ZONES = [(z,) for z in (*ZONES, "+05:30", "-0330", "+02", "NOPE")]
+
+
+def _minutes(z: str) -> int:
+    return ZONES.get(z, {"+05:30": 330, "-0330": -210, "+02": 120}.get(z, 0))
 
 
-_query("localised_severity", _localised, "SELECT * FROM (VALUES " + ", ".join(f"('{lang}', '{raw}', {chr(39) + t[raw] + chr(39) if raw in t else 'NULL'})" for lang, t in LOCALES.items() for raw in [*t, "no such"]) + ") v(lang, raw, severity)")
-_STAMPS = [(f"2026-02-{30 if z == 'CET' else 11} 10:11:{60 if z == 'IST' else 12}.123456 {z}", z) for z in (*ZONES, "+05:30", "-0330", "+02", "NOPE")]
+_query("zone_offsets", lambda s, d: _dealt(s, d, _ZONES, "zone").select("event_id", "zone", L.parse_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS "), F.col("zone"))).cast("timestamp_ntz").alias("time")),
+       "SELECT event_id, zone, ts - to_minutes(east) AS time FROM events JOIN (VALUES " + ", ".join(f"({i}, '{z}', {_minutes(z)})" for i, (z,) in enumerate(_ZONES)) + f") v(i, zone, east) ON event_id % {len(_ZONES)} = i")
 
 
-def _seconds(z: str) -> int:
-    return ZONES.get(z, {"+05:30": 330, "-0330": -210, "+02": 120}.get(z, 0)) * 60
+def _carried(s: SparkSession, d: str) -> DataFrame:
+    """30 February and second 60, in each year and minute of the events."""
+    time = F.concat(F.date_format("ts", "yyyy"), F.lit("-02-30 "), F.date_format("ts", "HH:mm"), F.lit(":60.25 UTC"))
+    return _table(s, d, "events").select("event_id", L.parse_timestamp(time).cast("timestamp_ntz").alias("time"))
 
 
-_query("zone_offsets", lambda s, d: s.createDataFrame([(t, z) for t, z in _STAMPS], "t string, zone string").select("zone", L.parse_timestamp(F.col("t")).cast("timestamp_ntz").alias("time")),
-       "SELECT zone, base - to_seconds(east) AS time FROM (VALUES " + ", ".join(f"('{z}', TIMESTAMP '2026-{'03-02' if z == 'CET' else '02-11'} 10:{'12:00' if z == 'IST' else '11:12'}.123456', {_seconds(z)})" for _, z in _STAMPS) + ") v(zone, base, east)")
+_query("carried_times", _carried, "SELECT event_id, date_trunc('minute', ts) - date_trunc('day', ts) + (make_date(CAST(year(ts) AS INTEGER), 2, 1) + INTERVAL 29 DAY) + INTERVAL 60 SECOND + INTERVAL 250 MILLISECOND AS time FROM events")
+_MORE = lambda: {
+    "hint": F.when(F.col("event_id") % 4 == 1, F.concat(F.lit('try "again", '), "session_line_num")), "context": F.when(F.col("event_id") % 6 == 2, F.concat(F.lit("function f"), "process_id", F.lit("()\nline 3"))),
+    "location": F.concat(F.lit("exec_"), "process_id", F.lit(", postgres.c:"), (F.col("event_id") % 500 + 1).cast("string")), "session_start": F.concat("day", F.lit(" 00:00:00 CET")),
+}
+for _f, _lines_of in (("csv", lambda e: csv_lines(e, 26, _MORE())), ("json", lambda e: json_lines(e, _MORE()))):
+    _query(f"parse_more_{_f}", lambda s, d, f=_f, of=_lines_of: good_records(parse_lines(of(_table(s, d, "events")), LogReadOptions(f))).select(F.col("session_line_num").alias("n"), "hint", "context", "location", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "connection_from"),
+           E + "SELECT event_id AS n, CASE WHEN event_id % 4 = 1 THEN 'try \"again\", ' || event_id END AS hint, CASE WHEN event_id % 6 = 2 THEN 'function f' || process_id || '()' || chr(10) || 'line 3' END AS context, 'exec_' || process_id || ', postgres.c:' || (event_id % 500 + 1) AS location, date_trunc('day', time) - INTERVAL 1 HOUR AS session_start, host || ':' || (event_id % 1000 + 40000) AS connection_from FROM r")
+_ANONYMOUS = lambda: {"user": F.lit(""), "database": F.lit("")}
+for _side, _key in (("user", '"user"'), ("database", '"database"')):
+    _query(f"connections_{_side}_of_message", lambda s, d, x=_side: plans.connections(good_records(parse_lines(csv_lines(_table(s, d, "events"), 26, _ANONYMOUS()), LogReadOptions("csv"))))[f"by_{x}"], E + f"SELECT {_key} AS key, count(*) AS count FROM r WHERE kind = 'connection' AND severity = 'LOG' GROUP BY 1 {_TOP}")
 
 
 def _broken(s: SparkSession, d: str) -> DataFrame:
@@ -232,7 +256,7 @@ _query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).agg(F.count("*")
        E + f"SELECT count(*) AS records, count(*) AS places, CAST(sum(strlen({_LINE}) + 1) AS BIGINT) AS bytes FROM r")
 #: Details that hold whole lines of a csvlog.
 _INNER = lambda: F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("as logged:\n"), "log_time", F.lit(',"u","d",'), "session_line_num", F.lit(",,\n\n"), "log_time", F.lit(",")))
-_query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, csv_lines(_table(s, d, "events"), 26, _INNER())), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
+_query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, csv_lines(_table(s, d, "events"), 26, {"detail": _INNER()})), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
        E + f"SELECT {_COLUMNS} FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'as logged:' || chr(10) || {_CSV['log_time']} || ',\"u\",\"d\",' || event_id || ',,' || chr(10) || chr(10) || {_CSV['log_time']} || ',' END AS detail) FROM r)")
 
 
@@ -259,7 +283,7 @@ class _Folder:
 
 def _remote(s: SparkSession, d: str) -> DataFrame:
     """Details with whole log lines, read from a remote directory in chunks."""
-    server = _Folder(_written(s, csv_lines(_table(s, d, "events"), 26, _INNER())))
+    server = _Folder(_written(s, csv_lines(_table(s, d, "events"), 26, {"detail": _INNER()})))
     return read_log(s, "/srv/log", LogReadOptions("csv"), glob="part-*", remote=Remote(server, 40_000, connections=8))
 
 

@@ -49,19 +49,27 @@ def _lines(df: DataFrame, text: Column) -> DataFrame:
     return x.select("file", (F.col("event_id") * 16 + F.col("no")).alias("seq"), "line")
 
 
-def json_lines(events: DataFrame) -> DataFrame:
-    x = logical(events)
+def _with(x: DataFrame, more: dict[str, Column] | None) -> DataFrame:
+    return x.withColumns(more) if more else x
+
+
+def json_lines(events: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """jsonlog; more: further or other columns, by their names in a record, over those of logical. A location stands for its three keys."""
+    x = _with(logical(events), more)
     names = {"timestamp": "log_time", "user": "user", "dbname": "database", "pid": F.col("process_id").cast("int"), "remote_host": "host", "remote_port": F.col("port").cast("int"), "line_num": F.col("session_line_num").cast("long"), "error_severity": "raw_severity", "state_code": "sql_state",
              "message": "message", "detail": "detail", "statement": "query", "application_name": "application_name", "backend_type": "backend_type"}
+    names |= {c: c for c in ("hint", "context", "session_start") if c in x.columns}
+    if "location" in x.columns:
+        place = F.split("location", ", |:")
+        names |= {"func_name": place[0], "file_name": place[1], "file_line_num": place[2].cast("int")}
     return _lines(x, F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in names.items()])))
 
 
-def csv_lines(events: DataFrame, columns: int = 26, detail: Column | None = None) -> DataFrame:
-    """csvlog of so many columns; detail, over the columns of logical, stands for its own."""
-    x = logical(events)
-    x = (x if detail is None else x.withColumn("detail", detail)).withColumn("connection_from", F.concat_ws(":", "host", "port"))
-    quoted = ("user", "database", "connection_from", "message", "detail", "query", "application_name", "backend_type")
-    field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) if c in quoted else F.coalesce(c, F.lit("")) if c in x.columns else F.lit("")
+def csv_lines(events: DataFrame, columns: int = 26, more: dict[str, Column] | None = None) -> DataFrame:
+    """csvlog of so many columns; more as for json_lines."""
+    x = _with(logical(events), more).withColumn("connection_from", F.concat_ws(":", "host", "port"))
+    quoted = ("user", "database", "connection_from", "message", "detail", "query", "application_name", "backend_type", "hint", "context", "location")
+    field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) if c in quoted and c in x.columns else F.coalesce(c, F.lit("")) if c in x.columns else F.lit("")
     return _lines(x, F.concat_ws(",", *[field(c) for c in CSV_COLUMNS[:columns]]))
 
 
