@@ -160,10 +160,11 @@ class Model:
             i, gram, context, suffix = s.order(k)
             if k == 2:
                 below[i] = self.shared[suffix]
-            last = (s.at[i] == k - 1) | (k == ORDER) | ((k == 2) & (s.at[i] == 1))
+            last = (s.at[i] == k - 1) | (k == ORDER)
             for c in (0, 1):
                 own[c][i[last]] = self._order(c, k, gram[last], context[last], below[i[last]])
-            below[i] = self._order(2, k, gram, context, below[i])
+            more = ~last  # what is longest here asks for no more of the shared orders
+            below[i[more]] = self._order(2, k, gram[more], context[more], below[i[more]])
         logs = [np.add.reduceat(np.log(np.maximum(p, 1e-12)), s.start) for p in own]
         return logs[1] - logs[0]
 
