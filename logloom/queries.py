@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,15 +237,22 @@ def _bounded(s: SparkSession, d: str) -> DataFrame:
 _query("top_bounded", _bounded, E + ", x AS (SELECT count(*) AS n FROM r GROUP BY message), y AS (SELECT count(*) FILTER (n * 33 > (SELECT count(*) FROM r)) AS due FROM x) SELECT due, due AS found, TRUE AS within, TRUE AS small, TRUE AS dropped FROM y")
 
 
-def _written(s: SparkSession, lines: DataFrame) -> str:
+#: Events whose records make up one written log file; four files at least.
+_PER_FILE = 50_000
+
+
+def _written(s: SparkSession, d: str, lines: Callable[[DataFrame], DataFrame]) -> str:
+    """Log files of the events' lines, more of them for more events. Events are dealt, so that a record's lines stay together."""
     path = f"{shared_dir(s)}/logloom-rendered-{uuid.uuid4().hex}"
-    lines.repartition(4, "file").sortWithinPartitions("file", "seq").select("line").write.text(path)
+    events = _table(s, d, "events")
+    dealt = events.repartition(max(4, -(-events.count() // _PER_FILE)), "event_id")
+    lines(dealt).sortWithinPartitions("file", "seq").select("line").write.text(path)
     return path
 
 
 def _files(s: SparkSession, d: str, format_: str, split_bytes: int) -> DataFrame:
     """Records of log files written from the events, read in many small ranges."""
-    return read_log(s, _written(s, LINES[format_](_table(s, d, "events"))), LogReadOptions("auto", PREFIX), glob="*", split_bytes=split_bytes)
+    return read_log(s, _written(s, d, LINES[format_]), LogReadOptions("auto", PREFIX), glob="*", split_bytes=split_bytes)
 
 
 for _f in LINES:
@@ -256,7 +264,7 @@ _query("scan_offsets", lambda s, d: _files(s, d, "csv", 30_000).agg(F.count("*")
        E + f"SELECT count(*) AS records, count(*) AS places, CAST(sum(strlen({_LINE}) + 1) AS BIGINT) AS bytes FROM r")
 #: Details that hold whole lines of a csvlog.
 _INNER = lambda: F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("as logged:\n"), "log_time", F.lit(',"u","d",'), "session_line_num", F.lit(",,\n\n"), "log_time", F.lit(",")))
-_query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, csv_lines(_table(s, d, "events"), 26, {"detail": _INNER()})), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
+_query("scan_csv_embedded", lambda s, d: _parsed(read_log(s, _written(s, d, lambda e: csv_lines(e, 26, {"detail": _INNER()})), LogReadOptions("csv"), glob="*", split_bytes=15_000)),
        E + f"SELECT {_COLUMNS} FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 'as logged:' || chr(10) || {_CSV['log_time']} || ',\"u\",\"d\",' || event_id || ',,' || chr(10) || chr(10) || {_CSV['log_time']} || ',' END AS detail) FROM r)")
 
 
@@ -283,7 +291,7 @@ class _Folder:
 
 def _remote(s: SparkSession, d: str) -> DataFrame:
     """Details with whole log lines, read from a remote directory in chunks."""
-    server = _Folder(_written(s, csv_lines(_table(s, d, "events"), 26, {"detail": _INNER()})))
+    server = _Folder(_written(s, d, lambda e: csv_lines(e, 26, {"detail": _INNER()})))
     return read_log(s, "/srv/log", LogReadOptions("csv"), glob="part-*", remote=Remote(server, 40_000, connections=8))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import good_records, parse_records
 from ..prefix import record_start
 from ..schema import LogReadOptions
-from .scan import RECORDS, SPLIT_BYTES, LogScan, first_of_file, read_from_records
+from .scan import RECORDS, SPLIT_BYTES, LogScan, first_of_file, read_from_records, task_bytes
 from .stores import CHUNK_BYTES, Session, as_option, store
 
 #: Names that a directory is read for, by format.
@@ -51,7 +51,7 @@ class Remote:
 def _scan(spark: SparkSession, paths: list[str], glob: str | None, remote: Remote | None = None, **options) -> DataFrame:
     spark.dataSource.register(LogScan)
     reader = spark.read.format("logloom_scan").option("paths", json.dumps(paths))
-    for k, v in (options | {"glob": glob} | (remote.options() if remote else {})).items():
+    for k, v in (options | {"glob": glob, "slots": spark.sparkContext.defaultParallelism} | (remote.options() if remote else {})).items():
         if v is not None:
             reader = reader.option(k, str(v))
     return reader.load()
@@ -77,7 +77,7 @@ def read_records(spark: SparkSession, path: str | list[str], o: LogReadOptions,
         files.close()
         if any(size >= split for size in sizes):
             firsts = _scan(spark, paths, glob, remote, quotes="true", maxrecordbytes=cap, splitbytes=split).groupBy("file").applyInArrow(lambda key, rows: first_of_file(key, rows, cap, server, chunk), "file string, start bigint, stop bigint")
-            n = max(1, math.ceil(sum(sizes) / split))
+            n = max(1, math.ceil(sum(sizes) / task_bytes(sum(sizes), split, spark.sparkContext.defaultParallelism)))
             return firsts.repartition(min(n, remote.connections) if remote and remote.connections else n).mapInArrow(lambda batches: read_from_records(batches, cap, server, chunk), RECORDS)
     return _scan(spark, paths, glob, remote, format=o.format, starts=_multiline(record_start(o)), maxrecordbytes=o.max_record_bytes, splitbytes=split)
 

@@ -29,6 +29,10 @@ from .stores import CHUNK_BYTES, opened, store
 
 #: Bytes of a file that one task reads, and that it frames at a time.
 SPLIT_BYTES, CHUNK = 32 << 20, 4 << 20
+#: Bytes past a range's end that are read with it; where they don't hold the last record's end, as many as there are so far, and so on.
+AHEAD = 4 << 10
+#: Tasks for each slot, where ranges are so small that many share a task.
+TASKS_PER_SLOT = 3
 #: Bytes and lines of a file's head that detection looks at.
 HEAD_BYTES, HEAD_LINES = 256 << 10, 200
 #: Bytes kept of a record that is over the limit.
@@ -44,7 +48,7 @@ _QUOTES = pa.schema([("file", pa.string()), ("bom", pa.bool_()), ("packed", pa.b
 
 @dataclass
 class Range(InputPartition):
-    #: (path, start, end) of each; small files share a task.
+    #: (path, start, end) of each; small files and small ranges share a task.
     parts: list[tuple[str, int, int]]
 
 
@@ -189,14 +193,15 @@ def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, s
     back = 0 if at_record else min(start, BACK)
     frame, buf, base, eof, synced = framer(format_, starts), b"", start - back, False, start == 0 or at_record
     while not eof:
-        chunk = f.read(CHUNK)
+        chunk = f.read(CHUNK if end is None else min(CHUNK, max(AHEAD, end + AHEAD - base - len(buf), len(buf))))
         eof, buf = not chunk, buf + chunk
         if base == 0 and buf.startswith(_BOM):
             buf, base = buf[3:], 3
         if not synced:
             at = _synced(buf, back, format_, starts)
             if not at:
-                if end is not None and base + len(buf) > end + cap:
+                # No line starts in the range, or what may be its first record is over the limit.
+                if end is not None and (base + len(buf) >= end and buf.find(b"\n", back - 1, end - base) < 0 or base + len(buf) > end + cap):
                     return
                 continue
             buf, base, synced = buf[at:], base + at, True
@@ -220,6 +225,11 @@ def records(f: BinaryIO, path: str, start: int, end: int | None, format_: str, s
             buf, base = buf[line or len(buf) :], base + (line or len(buf))
 
 
+def task_bytes(total: int, split: int, slots: int) -> int:
+    """Bytes of ranges that share a task: a range at least, else a part of the whole, up to SPLIT_BYTES."""
+    return max(split, min(SPLIT_BYTES, -(-total // (slots * TASKS_PER_SLOT))))
+
+
 class ScanReader(DataSourceReader):
     def __init__(self, options: dict):
         import json
@@ -227,6 +237,7 @@ class ScanReader(DataSourceReader):
         self.paths, self.glob, self.format = json.loads(options["paths"]), options.get("glob"), options.get("format")
         self.starts = options.get("starts")
         self.cap, self.split = int(options.get("maxrecordbytes", 16 << 20)), int(options.get("splitbytes", SPLIT_BYTES))
+        self.slots = int(options.get("slots", 1))
         self.server, self.chunk, self.most = options.get("server"), int(options.get("chunkbytes", CHUNK_BYTES)), int(options.get("connections", 0))
         self.heads, self.quotes = options.get("heads") == "true", options.get("quotes") == "true"
 
@@ -238,9 +249,10 @@ class ScanReader(DataSourceReader):
             files.close()
         cuts = [(path, at, min(at + self.split, size)) for path, size in found if size for at in (range(0, size, self.split) if not self.heads else [0])]
         out, held = [], 0
+        share = task_bytes(sum(HEAD_BYTES if self.heads else end - at for _, at, end in cuts), self.split, self.slots)
         for path, at, end in cuts:
             bytes_ = HEAD_BYTES if self.heads else end - at
-            if not out or held + bytes_ > self.split:
+            if not out or held + bytes_ > share:
                 out.append(Range([]))
                 held = 0
             out[-1].parts.append((path, at, end))

@@ -156,3 +156,57 @@ def test_nested_json_is_malformed(spark, tmp_path):
     got = read_log(spark, str(tmp_path / "a.json"), LogReadOptions("json"), malformed=True).orderBy("offset").collect()
     assert [(r.process_id, r._malformed) for r in got if not r._malformed] == [(1, None), (None, None)]
     assert [r._malformed for r in got] == [None, "bad json", "bad json", None, "bad json"]
+
+
+class Counted(io.BytesIO):
+    bytes = 0
+
+    def read(self, n=-1):
+        got = super().read(n)
+        self.bytes += len(got)
+        return got
+
+
+@pytest.mark.parametrize("format_", ["csv", "json", "stderr"])
+def test_small_ranges_of_a_large_file_read_little_more_than_their_bytes(format_):
+    data = ("\n".join(texts(format_, 4000)) + "\n").encode()
+    starts = re.compile(b"^(?:" + record_start(LogReadOptions(format_, PREFIX)).encode() + b")", re.MULTILINE) if format_ == "stderr" else None
+    f, cuts, cap = Counted(data), [*range(0, len(data), 15_000), len(data)], 16 << 20
+    ranges = list(zip(cuts, cuts[1:]))
+    if format_ == "csv":
+        ranges = [(first, b) for _, b, first in csv_ranges.first_records(f, [csv_ranges.summary(f, a, b, cap) for a, b in ranges], cap, False)]
+    f.bytes, n = 0, 0
+    for a, b in ranges:
+        f.seek(a if format_ == "csv" else a - min(a, scan.BACK))
+        n += sum(x.num_rows for x in scan.records(f, "p", a, b, format_, starts, cap, at_record=format_ == "csv"))
+    assert n == 4000 and f.bytes < 1.5 * len(data)
+
+
+def test_ranges_within_a_long_record_are_left_at_their_ends():
+    data = b'{"message":"' + b"x" * 2_000_000 + b'"}\n{"message":"y"}\n'
+    f, n = Counted(data), 0
+    for a in range(0, len(data), 15_000):
+        f.seek(a - min(a, scan.BACK))
+        n += sum(x.num_rows for x in scan.records(f, "p", a, min(a + 15_000, len(data)), "json", None, 16 << 20))
+    assert n == 2 and f.bytes < 4 * len(data)
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(texts("json", 3000)) + "\n")
+    options = {"paths": f'["{tmp_path}"]', "format": "json", "splitbytes": "500", "slots": "4"}
+    parts = [r.parts for r in scan.ScanReader(options).partitions()]
+    assert len(parts) <= 4 * scan.TASKS_PER_SLOT + 1 and all(b - a <= 500 for p in parts for _, a, b in p)
+
+
+@pytest.mark.parametrize("query", ["scan_csv", "scan_csv_embedded"])
+def test_log_files_of_the_scan_queries_grow_in_number(spark, tmp_path, monkeypatch, query):
+    import os
+
+    from logloom import queries
+
+    spark.range(400).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id AS user_id", "'error' AS event_type", "1.5D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "_PER_FILE", 50)
+    kept, written = [], queries._written
+    monkeypatch.setattr(queries, "_written", lambda *a: kept.append(written(*a)) or kept[0])
+    got = queries.QUERIES[query](spark, str(tmp_path))
+    assert got.count() == 400 and sum(x.startswith("part-") for x in os.listdir(kept[0])) == 8
