@@ -194,7 +194,7 @@ def _broken(s: SparkSession, d: str) -> DataFrame:
 _query("malformed_side_output", _broken, "SELECT CASE WHEN event_id % 13 = 3 THEN 'over-large record' ELSE 'bad json' END AS reason, count(*) AS count FROM events WHERE event_id % 13 = 3 OR event_id % 7 = 0 OR event_id % 11 = 1 GROUP BY 1")
 _query("template_groups", lambda s, d: plans.template_groups(records(s, d)).select("template", "count"), E + "SELECT template, count(*) AS count FROM r GROUP BY severity, sql_state, template")
 _query("top_patterns", lambda s, d: plans.template_groups(records(s, d, "csv"), 5), E + "SELECT substr(sha256(severity || chr(0) || CASE sql_state WHEN '' THEN '' ELSE sql_state END || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, template, count(*) AS count FROM r GROUP BY 1, 2 ORDER BY count DESC, pattern_id LIMIT 5")
-_query("template_documents", lambda s, d: with_template(_table(s, d, "documents"), "text").select("doc_id", "template"), None)
+_query("template_documents", lambda s, d: with_template(_table(s, d, "documents").repartition("doc_id"), "text").select("doc_id", "template"), None)
 _NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3)"
 
 
