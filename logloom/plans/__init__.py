@@ -173,11 +173,11 @@ def rfc3339(c: str) -> Column:
     return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == ".", "").otherwise(fraction), F.date_format(c, "XXX"))
 
 
-def ndjson(records: DataFrame) -> DataFrame:
-    """One JSON object a record, fields in fixed order; empty and zero values are left out."""
+def ndjson(records: DataFrame, flags: bool = False) -> DataFrame:
+    """One JSON object a record, fields in fixed order; empty and zero values are left out. With flags, those of the record too."""
     zero = lambda c: F.nullif(F.col(c), F.lit(0)).alias(c)
     some = lambda *names: [L.nonempty(F.col(c)).alias(c) for c in names]
     fields = [*[rfc3339(c).alias(c) for c in ("time", "session_start")], *some("severity", "raw_severity", "user", "database", "connection_from", "application_name", "backend_type", "command_tag"),
               zero("process_id"), zero("leader_pid"), *some("session_id"), zero("session_line_num"), *some("virtual_xid"), zero("transaction_id"), zero("query_id"), *some("sql_state", "message", "detail", "hint", "query", "internal_query", "context", "statement"),
-              zero("query_pos"), zero("internal_query_pos"), *some("location"), F.when(F.col("duration_ns") > 0, (F.col("duration_ns") / 1e6).cast("decimal(20,3)")).alias("duration_ms"), zero("offset")]
+              zero("query_pos"), zero("internal_query_pos"), *some("location"), F.when(F.col("duration_ns") > 0, (F.col("duration_ns") / 1e6).cast("decimal(20,3)")).alias("duration_ms"), *([zero("flags")] if flags else []), zero("offset")]
     return records.select(F.to_json(F.struct(*fields)).alias("value"))

@@ -195,18 +195,18 @@ _query("malformed_side_output", _broken, "SELECT CASE WHEN event_id % 13 = 3 THE
 _query("template_groups", lambda s, d: plans.template_groups(records(s, d)).select("template", "count"), E + "SELECT template, count(*) AS count FROM r GROUP BY severity, sql_state, template")
 _query("top_patterns", lambda s, d: plans.template_groups(records(s, d, "csv"), 5), E + "SELECT substr(sha256(severity || chr(0) || CASE sql_state WHEN '' THEN '' ELSE sql_state END || chr(0) || '1' || chr(0) || template), 1, 16) AS pattern_id, template, count(*) AS count FROM r GROUP BY 1, 2 ORDER BY count DESC, pattern_id LIMIT 5")
 _query("template_documents", lambda s, d: with_template(_table(s, d, "documents").repartition("doc_id"), "text").select("doc_id", "template"), None)
-_NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3)"
+_NDJSON = "time string, process_id int, severity string, message string, detail string, query string, duration_ms decimal(20,3), flags int"
 
 
 def _ndjson(s: SparkSession, d: str) -> DataFrame:
     """Records written as NDJSON and read back: what is empty or zero is absent."""
     j = F.from_json("value", _NDJSON)
-    return plans.ndjson(records(s, d, "csv")).select(j.alias("j")).select("j.*")
+    return plans.ndjson(records(s, d, "csv"), flags=True).select(j.alias("j")).select("j.*")
 
 
 # A csvlog record needs unquoting where its text doubles a quote; 2 is several lines, 8 a duration, 16 a statement.
 _FLAGS = "CASE WHEN contains(message, '\"') OR detail IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN detail IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN duration_ns IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN query IS NOT NULL THEN 16 ELSE 0 END"
-_query("parse_ndjson", _ndjson, E + f"SELECT regexp_replace(strftime(time, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0+$', '') || 'Z' AS time, process_id, severity, message, detail, query, CASE WHEN duration_ns > 0 THEN CAST(duration_ns / 1000000.0 AS DECIMAL(20,3)) END AS duration_ms FROM r")
+_query("parse_ndjson", _ndjson, E + f"SELECT regexp_replace(strftime(time, '%Y-%m-%dT%H:%M:%S.%f'), '[.]?0+$', '') || 'Z' AS time, process_id, severity, message, detail, query, CASE WHEN duration_ns > 0 THEN CAST(duration_ns / 1000000.0 AS DECIMAL(20,3)) END AS duration_ms, nullif({_FLAGS}, 0) AS flags FROM r")
 _query("record_flags", lambda s, d: records(s, d, "csv").groupBy("flags").count(), E + f"SELECT {_FLAGS} AS flags, count(*) AS count FROM r GROUP BY 1")
 _query("record_lines", lambda s, d: records(s, d).select(F.col("session_line_num").alias("n"), L.record_line().alias("line")),
        E + "SELECT event_id AS n, strftime(time, '%Y-%m-%d %H:%M:%S.%g') || ' ' || severity || ': ' || message || coalesce(' | DETAIL: ' || detail, '') || coalesce(' | STATEMENT: ' || query, '') AS line FROM r")

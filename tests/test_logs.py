@@ -142,3 +142,13 @@ def test_medians_manifest_and_times(spark):
     assert m == {("corpus", "version"): 1, ("corpus", "seed"): 7, ("bytes", "a"): 7, ("bytes", "b"): 1, ("lines", "a"): 2, ("lines", "b"): 1, ("severity", "LOG"): 1, ("severity", "UNKNOWN"): 1, ("total", "bytes"): 8, ("total", "records"): 2}
     t = spark.createDataFrame([(x,) for x in ("2026-01-02 03:04:00", "2026-01-02 03:04:05.1", "2026-01-02 03:04:05.000120", "2026-01-02 10:20:30")], "t string").select(F.col("t").cast("timestamp").alias("t")).select(rfc3339("t").alias("x"))
     assert [r.x for r in t.collect()] == ["2026-01-02T03:04:00Z", "2026-01-02T03:04:05.1Z", "2026-01-02T03:04:05.00012Z", "2026-01-02T10:20:30Z"]
+
+
+def test_ndjson_query_has_the_flags_of_records(spark):
+    """Records without any have none; the reader's own form of NDJSON leaves them out."""
+    from logloom.queries import records
+
+    r = records(spark, SF, "csv")
+    want = {row.flags or None: row["count"] for row in r.groupBy("flags").count().collect()}
+    assert {row.flags: row["count"] for row in QUERIES["parse_ndjson"](spark, SF).groupBy("flags").count().collect()} == want and len(want) > 2
+    assert "flags" not in plans.ndjson(r).where("value LIKE '%first part of%'").first().value
