@@ -152,3 +152,14 @@ def test_ndjson_query_has_the_flags_of_records(spark):
     want = {row.flags or None: row["count"] for row in r.groupBy("flags").count().collect()}
     assert {row.flags: row["count"] for row in QUERIES["parse_ndjson"](spark, SF).groupBy("flags").count().collect()} == want and len(want) > 2
     assert "flags" not in plans.ndjson(r).where("value LIKE '%first part of%'").first().value
+
+
+def test_formats_are_compared_in_one_parse_each(spark, monkeypatch):
+    plan = QUERIES["tri_format_agree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == len(LINES)
+    from logloom import queries
+
+    rows = {"json": [1, 1, 2, 3], "csv": [1, 2, 2, 4], "stderr": [1, 1, 1]}
+    made = {f: spark.createDataFrame([(None, x, "u", None, "LOG", None, "m", None, None, None) for x in n], "time timestamp, process_id int, user string, database string, severity string, sql_state string, message string, detail string, query string, duration_ns long") for f, n in rows.items()}
+    monkeypatch.setattr(queries, "records", lambda s, d, f="json": made[f])
+    assert [r.differences for r in QUERIES["tri_format_agree"](spark, SF).collect()] == [7]
