@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ ORDER = 6
 GRAM_BITS, CONTEXT_BITS = 21, 20
 #: Labelled rows that are learnt from at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
+#: Bytes of texts and number of words that a worker takes at a time: its tables for each of their bytes take some 150 bytes.
+PART_BYTES, PART_WORDS = 1 << 20, 1 << 13
 #: Words of a stretch.
 STRETCH = 12
 _START, _STOP = b"\x01", b"\x02"
@@ -66,11 +70,24 @@ def _place(h: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _parts(batch: pa.RecordBatch, text: pa.Array, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in order, by parts of so many rows and PART_BYTES of text at most, or one row."""
+    size = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float))
+    first, held = 0, 0.0
+    for at, n in enumerate(size.tolist()):
+        if at > first and (at - first == rows or held + n > PART_BYTES):
+            yield batch.slice(first, at - first)
+            first, held = at, 0.0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(cls, k, gram, context, suffix, initial, n) of rows (t binary, cls int): how often each gram occurs, by places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # tables of all grams of so many texts
+        for batch in (part for b in batches for part in _parts(b, b.column(0), 500)):  # tables of all grams of so many texts
             found = [Counter(), Counter()]
             for text, cls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[cls].update(words_of(text))
@@ -81,9 +98,10 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 for k in range(2, ORDER + 1):
                     i, gram, context, suffix = s.order(k)
                     initial = (s.at[i] == k - 1).astype(np.int64)
-                    key, back = np.unique(np.stack([gram, context, suffix, initial]), axis=1, return_inverse=True)
-                    n = np.bincount(back.ravel(), often[s.word[i]], key.shape[1]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), x, np.int32)) for x in (cls, k)] + [pa.array(key[j].astype(np.int32)) for j in range(4)] + [pa.array(n)], names=["cls", "k", "gram", "context", "suffix", "initial", "n"])
+                    packed, back = np.unique(((gram << CONTEXT_BITS | context) << GRAM_BITS | suffix) << 1 | initial, return_inverse=True)
+                    n = np.bincount(back, often[s.word[i]], len(packed)).astype(np.int64)
+                    key = packed >> GRAM_BITS + CONTEXT_BITS + 1, packed >> GRAM_BITS + 1 & (1 << CONTEXT_BITS) - 1, packed >> 1 & (1 << GRAM_BITS) - 1, packed & 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), x, np.int32)) for x in (cls, k)] + [pa.array(x.astype(np.int32)) for x in key] + [pa.array(n)], names=["cls", "k", "gram", "context", "suffix", "initial", "n"])
 
     keys = ("cls", "k", "gram", "context", "suffix", "initial")
     return rows.mapInArrow(run, ", ".join(f"{x} int" for x in keys) + ", n long").groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -152,8 +170,9 @@ class Model:
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word."""
-        if not words:
-            return np.empty(0)
+        return np.concatenate([np.empty(0), *(self._ratios(words[at : at + PART_WORDS]) for at in range(0, len(words), PART_WORDS))])
+
+    def _ratios(self, words: list[bytes]) -> np.ndarray:
         s = Spelling(words)
         below, own = np.ones(len(s.bytes)), [np.ones(len(s.bytes)) for _ in range(2)]
         for k in range(2, ORDER + 1):
@@ -204,7 +223,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """(Model, curve) from labelled rows, max_labelled of them at most.
+    """(broadcast Model, curve) from labelled rows, max_labelled of them at most.
 
     Rows whose text or label is null teach nothing; a repeated id teaches by its largest label and by
     one of its texts. One row in four goes to the curve, the others to the counts. Without rows of both labels all
@@ -217,7 +236,7 @@ def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     # An id teaches by one of its texts and equal texts teach once, by the first id: max_labelled rows at most, found without moving texts.
     once = held.select("id", "fp").join(F.broadcast(some), "id").groupBy("id", "cls", "h").agg(F.min("fp").alias("fp")).groupBy("fp", "cls").agg(F.min(F.struct("h", "id")).alias("x")).select("fp", "cls", "x.h", "x.id")
     rows = held.join(F.broadcast(once), ["id", "fp"])
-    model = Model(gram_counts(rows.where("pmod(h, 4) <> 0").select("t", "cls")).toArrow())
+    model = texts.sparkSession.sparkContext.broadcast(Model(gram_counts(rows.where("pmod(h, 4) <> 0").select("t", "cls")).toArrow()))  # tables of fixed size
     held = _features(rows.where("pmod(h, 4) = 0").select("cls", "t"), model, "t").select("row.cls", *[f"f{i}" for i in range(N_FEATURES)]).toArrow()
     y, x = held.column(0).to_numpy().astype(float), np.stack([held.column(1 + i).to_numpy() for i in range(N_FEATURES)], 1)
     if 0 < y.sum() < len(y):
@@ -226,22 +245,21 @@ def train(texts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return model, np.array([np.log(share / (1 - share)), *[0.0] * N_FEATURES])
 
 
-def _features(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
+def _features(rows: DataFrame, model: Broadcast, text_col: str) -> DataFrame:
     """Each row of rows as struct `row`, and its features; nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    held = rows.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
     names = [f"f{i}" for i in range(N_FEATURES)]
     at, kind = rows.columns.index(text_col), rows.schema
     schema = T.StructType([T.StructField("row", kind), *(T.StructField(x, T.DoubleType()) for x in names)])
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = model.value
         for batch in batches:
             f = []
-            for first in range(0, batch.num_rows, 256):
-                texts = [words_of(t) for t in batch.column(0).slice(first, 256).field(at).cast(pa.binary()).to_pylist()]
+            for part in _parts(batch, batch.column(0).field(at), 256):
+                texts = [words_of(t) for t in part.column(0).field(at).cast(pa.binary()).to_pylist()]
                 known = list(set().union(*texts))
                 ratio = dict(zip(known, m.ratios(known).tolist(), strict=True))
                 f += [features(np.fromiter(map(ratio.__getitem__, t), np.float64, len(t))) for t in texts]

@@ -108,3 +108,20 @@ def test_an_expression_of_few_labelled_documents_tells(spark):
     docs = spark.createDataFrame(rows + new, DOCS)
     got = {r.doc_id: r.score for r in toxicity(docs, docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert new and all(got[i] > 10 * got[i - 4900] for i, *_ in new)
+
+
+def test_workers_take_bounded_parts_of_text_and_words(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from logloom.llm import toxicity as t
+
+    texts = [b"x" * n if n is not None else None for n in (10, 900_000, 400_000, None, 3_000_000, 0, 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(range(7))], names=["t", "i"])
+    parts = list(t._parts(batch, batch.column(0), 3))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == list(range(7)) and [p.num_rows for p in parts] == [2, 2, 1, 2]
+    assert not list(t._parts(batch.slice(0, 0), batch.column(0).slice(0, 0), 3))
+    taken, model = [], object.__new__(t.Model)
+    monkeypatch.setattr(t.Model, "_ratios", lambda self, words: taken.append(len(words)) or np.array([float(len(w)) for w in words]))
+    words = [b"a" * (i % 7) for i in range(20_000)]
+    assert model.ratios(words).tolist() == [len(w) for w in words] and max(taken) == t.PART_WORDS and model.ratios([]).shape == (0,)
