@@ -117,6 +117,47 @@ def discounts(k: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(counts: pa.Table) -> dict[str, list[tuple[int, np.float32, np.ndarray, np.ndarray]]]:
+    """A Model's tables, each as its length, its least value and the places of others with their values."""
+    cls, k, gram, context, suffix, initial, n = (counts.column(i).to_numpy() for i in range(7))
+    size, contexts = 1 << GRAM_BITS, 1 << CONTEXT_BITS
+    out: dict[str, list] = {x: [] for x in ("value", "total", "kept", "discount")}
+
+    def sparse(x: np.ndarray) -> tuple[int, np.float32, np.ndarray, np.ndarray]:
+        x = x.astype(np.float32)
+        least = x.min()
+        at = np.flatnonzero(x != least).astype(np.int32)
+        return len(x), least, at, x[at]
+
+    def add(k, gram, context, value) -> None:
+        d = discounts(k, value)
+        out["value"].append(sparse(np.bincount(gram, value, size)))
+        out["total"].append(sparse(np.bincount(context, value, contexts)))
+        out["kept"].append(sparse(np.bincount(context, np.maximum(value - d[k], 0), contexts)))
+        out["discount"].append(sparse(d))
+
+    for c in (0, 1):
+        own = np.flatnonzero((cls == c) & ((k == ORDER) | (initial == 1)))
+        add(k[own], gram[own], context[own], n[own])
+    # Below, a gram counts by the grams that end with it.
+    after = np.zeros(size, np.int32)
+    for order in range(2, ORDER + 1):
+        own = k == order
+        ends = (np.unique(gram[own].astype(np.int64) << GRAM_BITS | suffix[own]) & size - 1).astype(np.int32)
+        if order == 2:
+            shared = np.bincount(ends, minlength=size) + 0.5
+            shared /= shared[shared > 0.5].sum() + 128
+            out["shared"] = [sparse(shared)]
+            del shared
+        else:
+            np.add.at(after, ends, 1)
+    inner = np.flatnonzero((k < ORDER) & (after[gram] > 0))
+    inner = np.unique((k[inner].astype(np.int64) << GRAM_BITS | gram[inner]) << CONTEXT_BITS | context[inner])
+    k, gram, context = (x.astype(np.int32) for x in (inner >> GRAM_BITS + CONTEXT_BITS, inner >> CONTEXT_BITS & size - 1, inner & contexts - 1))
+    add(k, gram, context, after[gram])
+    return out
+
+
 class Model:
     """Log-ratio of the two classes for words, from dense tables.
 
@@ -124,52 +165,27 @@ class Model:
     counts of both classes together, by what stands before a gram.
     """
 
+    #: Tables are mostly one value: only places that differ are held till the first use, and travel.
+    packed: dict | None = None
+
     def __init__(self, counts: pa.Table):
-        cls, k, gram, context, suffix, initial, n = (counts.column(i).to_numpy() for i in range(7))
-        longest = (k == ORDER) | (initial == 1)
-        size, contexts = 1 << GRAM_BITS, 1 << CONTEXT_BITS
-        self.value, self.total, self.kept, self.discount = [], [], [], []
-
-        def add(k, gram, context, value) -> None:
-            d = discounts(k, value)
-            self.value.append(np.bincount(gram, value, size).astype(np.float32))
-            self.total.append(np.bincount(context, value, contexts).astype(np.float32))
-            self.kept.append(np.bincount(context, np.maximum(value - d[k], 0), contexts).astype(np.float32))
-            self.discount.append(d.astype(np.float32))
-
-        for c in (0, 1):
-            own = (cls == c) & longest
-            add(k[own], gram[own], context[own], n[own])
-        # Below, a gram counts by the grams that end with it.
-        both = np.unique(np.stack([k, gram, suffix]), axis=1)
-        after = np.bincount(both[2][both[0] > 2], minlength=size)
-        inner = np.unique(np.stack([k, gram, context])[:, k < ORDER], axis=1)
-        inner = inner[:, after[inner[1]] > 0]
-        add(inner[0], inner[1], inner[2], after[inner[1]])
-        shared = np.bincount(both[2][both[0] == 2], minlength=size) + 0.5
-        self.shared = (shared / (shared[shared > 0.5].sum() + 128)).astype(np.float32)
-
-    def __getstate__(self) -> dict:
-        """Tables are mostly one value: only places that differ travel."""
-
-        def sparse(x: np.ndarray) -> tuple[int, np.float32, np.ndarray, np.ndarray]:
-            at = np.flatnonzero(x != x.min()).astype(np.int32)
-            return len(x), x.min(), at, x[at]
-
-        return {k: [sparse(x) for x in (v if isinstance(v, list) else [v])] for k, v in self.__dict__.items()}
-
-    def __setstate__(self, state: dict) -> None:
+        self.packed = _packed(counts)
+
+    def _unpack(self) -> None:
         def dense(size: int, rest: np.float32, at: np.ndarray, x: np.ndarray) -> np.ndarray:
             out = np.full(size, rest, np.float32)
             out[at] = x
             return out
 
-        for k, v in state.items():
+        for k, v in self.packed.items():
             tables = [dense(*x) for x in v]
             setattr(self, k, tables[0] if k == "shared" else tables)
+        self.packed = None
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word."""
+        if self.packed:
+            self._unpack()
         return np.concatenate([np.empty(0), *(self._ratios(words[at : at + PART_WORDS]) for at in range(0, len(words), PART_WORDS))])
 
     def _ratios(self, words: list[bytes]) -> np.ndarray:

@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from logloom.llm.toxicity import ORDER, Model, Spelling, features, gram_counts, toxicity, without_toxic
+from logloom.llm.toxicity import CONTEXT_BITS, GRAM_BITS, ORDER, Model, Spelling, features, gram_counts, toxicity, without_toxic
 
 DOCS = "doc_id long, text string, lang string, score string"
 
@@ -125,3 +126,19 @@ def test_workers_take_bounded_parts_of_text_and_words(monkeypatch):
     monkeypatch.setattr(t.Model, "_ratios", lambda self, words: taken.append(len(words)) or np.array([float(len(w)) for w in words]))
     words = [b"a" * (i % 7) for i in range(20_000)]
     assert model.ratios(words).tolist() == [len(w) for w in words] and max(taken) == t.PART_WORDS and model.ratios([]).shape == (0,)
+
+
+def test_tables_are_made_in_bounded_memory():
+    """The driver makes them: beside the tables, a few arrays as long as the counts."""
+    import tracemalloc
+
+    rng, rows = np.random.default_rng(1), 1_000_000
+    most = {"cls": 2, "k": (2, 7), "gram": 1 << GRAM_BITS, "context": 1 << CONTEXT_BITS, "suffix": 1 << GRAM_BITS, "initial": 2}
+    counts = pa.table({k: rng.integers(*(x if isinstance(x, tuple) else (0, x)), rows).astype(np.int32) for k, x in most.items()} | {"n": rng.integers(1, 9, rows)})
+    tracemalloc.start()
+    try:
+        Model(counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 90e6
